@@ -256,7 +256,7 @@ def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, unit, addr, size, first_idx) of one block per event."""
     ev = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("sample"), F.col("user_id").alias("unit"), "event_id",
-        F.unix_seconds("ts").alias("addr"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("addr"),
         (600 * (F.floor("value").cast("long") + 1)).alias("size"),
         (F.get_json_object("props", "$.k").cast("long") % 2 == 0).alias("linked"))
     return ranked(ev, ["sample", "unit"], [F.col("addr"), F.col("event_id")], "first_idx", 0)
