@@ -11,35 +11,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import keyed_join, materialize
+from ..scale import keyed_join, materialize, spread
 from .graph import connected_components
 
 
 def shingles(text: Column, k: int) -> Column:
     """Distinct k-word shingles of lower-cased text; none when it has fewer than k words."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([^ \\n]+)"))
-    return F.array_distinct(F.when(
-        F.size(words) >= k,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(words, i, k)))
-    ).otherwise(F.array().cast("array<string>")))
+    # the one-element array binds the words to a variable, so they are split once per row
+    spans = F.transform(F.array(words), lambda ws: F.when(
+        F.size(ws) >= k,
+        F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.concat_ws(" ", *[
+            F.element_at(ws, i + j) for j in range(k)]))))
+    return F.array_distinct(F.coalesce(F.element_at(spans, 1), F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    return F.lit(100.0) * both / (F.size(a) + F.size(b) - both)
+    sets = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.struct(
+        F.size(F.array_intersect(p["a"], p["b"])).cast("double").alias("both"),
+        (F.size(p["a"]) + F.size(p["b"])).alias("sum")))
+    return F.element_at(F.transform(sets, lambda p: F.lit(100.0) * p["both"] / (p["sum"] - p["both"])), 1)
 
 
 def _classes(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, sig, first): rows, their shingle-set signature and the first row that has it."""
-    sets = df.select(F.col(key).alias("id"), F.array_sort(shingles(F.col(text), k)).alias("s"))
-    sig = sets.filter(F.size("s") > 0).select("id", F.sha2(F.concat_ws("\x1f", "s"), 256).alias("sig"))
+    digest = F.element_at(F.transform(F.array(F.sort_array(shingles(F.col(text), k))), lambda s: F.when(
+        F.size(s) > 0, F.sha2(F.concat_ws("\x1f", s), 256))), 1)
+    sig = materialize(df.select(F.col(key).alias("id"), digest.alias("sig"))).filter(F.col("sig").isNotNull())
     firsts = sig.groupBy("sig").agg(F.min("id").alias("first"))
     return keyed_join(sig, firsts, ["sig"])
 
 
 def _hashed(df: DataFrame, k: int) -> DataFrame:
     """(id, h): one row per distinct shingle, as a 64-bit hash.  Hashes only propose candidates."""
-    return df.select("id", F.explode(F.array_distinct(F.transform(shingles(F.col("text"), k), F.xxhash64))).alias("h"))
+    return df.select("id", F.explode(F.array_distinct(F.transform(shingles(F.col("text"), k), lambda s: F.xxhash64(s)))).alias("h"))
 
 
 def _prefixes(hashed: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
@@ -62,7 +67,9 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, thresho
     a = left.select(F.col("id").alias("src"), F.col("text").alias("ta"))
     b = right.select(F.col("id").alias("dst"), F.col("text").alias("tb"))
     both = keyed_join(keyed_join(pairs, a, ["src"]), b, ["dst"])
-    return (both.withColumn("similarity", jaccard(shingles(F.col("ta"), k), shingles(F.col("tb"), k)))
+    # explode keeps the filter from computing the similarity a second time
+    sim = F.explode(F.array(jaccard(shingles(F.col("ta"), k), shingles(F.col("tb"), k))))
+    return (both.select("src", "dst", sim.alias("similarity"))
             .filter(F.col("similarity") >= threshold - 1e-9).select("src", "dst", "similarity"))
 
 
@@ -76,7 +83,8 @@ def near_dup_pairs(df: DataFrame, text: str, threshold: float = 90.0, shingle: i
     """
     if not 0 < threshold <= 100:
         raise ValueError("threshold must be in (0, 100]")
-    classes = materialize(_classes(df, key, text, shingle))
+    df = spread(df.select(key, text), key)
+    classes = _classes(df, key, text, shingle)
     copies = classes.filter(F.col("id") != F.col("first")).select(
         F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(100.0).alias("similarity"))
     firsts = classes.select(F.col("first").alias("id")).distinct()
@@ -98,7 +106,7 @@ def near_dup_pairs(df: DataFrame, text: str, threshold: float = 90.0, shingle: i
 
 
 def _minhash_candidates(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    base = texts.select("id", F.transform(shingles(F.col("text"), k), F.xxhash64).alias("s")).filter(F.size("s") > 0)
+    base = texts.select("id", F.transform(shingles(F.col("text"), k), lambda s: F.xxhash64(s)).alias("s")).filter(F.size("s") > 0)
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[
         F.array_min(F.transform("s", lambda h, i=b * rows + r: F.xxhash64(h, F.lit(i)))) for r in range(rows)
     ]).alias("bucket")) for b in range(bands)])
@@ -114,7 +122,8 @@ def max_similarity_to_ref(df: DataFrame, ref: DataFrame, text: str, shingle: int
 
     Equal shingle sets are compared once on both sides; ties go to the first reference row.
     """
-    classes = materialize(_classes(df, key, text, shingle))
+    df = spread(df.select(key, text), key)
+    classes = _classes(df, key, text, shingle)
     ref_classes = _classes(ref, ref_key, text, shingle)
     new = keyed_join(df.select(F.col(key).alias("id"), F.col(text).alias("text")),
                      classes.select(F.col("first").alias("id")).distinct(), ["id"])

@@ -71,6 +71,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a small input that costs much work per row; large inputs have splits enough."""
+    if not is_small(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest group (one number comes back; counting is combined map-side)."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
