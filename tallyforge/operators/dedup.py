@@ -207,10 +207,10 @@ def leader_clustering(df: DataFrame, pairs: DataFrame, order: str, key: str = "i
     e = keyed_join(keyed_join(pairs.select("src", "dst"), pos.select(F.col("id").alias("src"), F.col("pos").alias("ps")), ["src"]),
                    pos.select(F.col("id").alias("dst"), F.col("pos").alias("pd")), ["dst"])
     flip = F.struct("ps", "src") > F.struct("pd", "dst")
-    up = e.select(F.when(flip, F.struct("pd", "dst")).otherwise(F.struct("ps", "src")).alias("first"),
+    at = lambda p, i: F.struct(F.col(p).alias("pos"), F.col(i).alias("at"))
+    up = e.select(F.when(flip, at("pd", "dst")).otherwise(at("ps", "src")).alias("first"),
                   F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("id"))
-    first_name = "first.dst" if "dst" in up.schema["first"].dataType.names else "first.src"
-    parent = materialize(up.groupBy("id").agg(F.min("first").alias("first")).select("id", F.col(first_name).alias("leader")))
+    parent = materialize(up.groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.at").alias("leader")))
     for _ in range(max_rounds):
         jump = parent.select(F.col("id").alias("leader"), F.col("leader").alias("up"))
         moved = materialize(keyed_join(parent, jump, ["leader"], "left")
