@@ -294,3 +294,35 @@ links AS (
 incoming AS (
   SELECT DISTINCT sample, unit, dst_seg AS seg, src_seg FROM links
   WHERE linked AND src_seg IS NOT NULL AND src_seg <> dst_seg)"""
+
+
+# ---- documents as nested graph records: lines are units, words are nodes, four words a block
+def graph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def node(word: Column, j: Column, addr: Column) -> Column:
+        n = F.length(word)
+        api = (F.when(n % 5 == 0, word).when(n % 7 == 0, F.to_json(F.array(word, F.lit("alt")))))
+        return F.struct(F.concat(addr.cast("string"), F.lit(":"), j.cast("string")).alias("node_id"), j.cast("int").alias("idx"),
+                        (addr * 1000 + j).alias("addr"), F.floor(j / 4).alias("block"), F.lower(word).alias("token"),
+                        F.when(n % 3 == 0, "call").otherwise("mov").alias("mnemonic"), api.alias("api"))
+
+    def unit(line: Column, i: Column) -> Column:
+        addr = (i.cast("long") + 1) * 70
+        words = F.regexp_extract_all(line, F.lit("([^ \\n]+)"))
+        body = F.transform(F.array(words), lambda ws: F.struct(
+            addr.alias("addr"), F.concat(F.lit("f"), i.cast("string")).alias("name"),
+            F.transform(ws, lambda w, j: node(w, j, addr)).alias("nodes"),
+            F.filter(F.transform(ws, lambda w, j: F.array((j - 1).cast("int"), j.cast("int"))),
+                     lambda e: e[1] % 4 != 0).alias("edges_seq"),
+            F.filter(F.transform(ws, lambda w, j: F.array((j - 1).cast("int"), j.cast("int"))),
+                     lambda e: (e[1] % 4 == 0) & (e[1] > 0)).alias("edges_cfg"),
+            F.transform(F.filter(F.transform(ws, lambda w, j: j), lambda j: j % 4 == 0), lambda j: F.struct(
+                F.floor(j / 4).alias("addr"), F.lit(4).alias("size"), j.cast("int").alias("first_idx"))).alias("blocks"),
+            F.when(i % 5 != 4, F.array(F.struct(F.lit("T1").alias("technique_id"), F.lit("r").alias("rule_name"))))
+            .alias("node_indicators")))
+        return F.struct(F.concat(F.lit("func_"), addr.cast("string")).alias("key"), F.element_at(body, 1).alias("value"))
+
+    units = F.map_from_entries(F.transform(F.split("text", "\n"), unit))
+    return docs.select(F.col("doc_id").cast("string").alias("sample_id"), F.col("n_chars").alias("file_size"),
+                       (F.col("doc_id") % 2).cast("int").alias("label"), units.alias("intra_procedural_graphs"))
