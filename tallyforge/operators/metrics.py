@@ -14,7 +14,13 @@ from ..functions.order import hash_index
 from ..functions.stats import finite, ratio, wilson_bounds
 from ..scale import Carry, exact_quantiles, keyed_join, prefix_scan, ranked
 
-POS, NEG = F.col("label") == 1, F.col("label") == 0
+
+def _pos() -> Column:
+    return F.col("label") == 1
+
+
+def _neg() -> Column:
+    return F.col("label") == 0
 
 
 def valid_scores(scores: DataFrame) -> DataFrame:
@@ -26,8 +32,8 @@ def _points(scores: DataFrame, by: Sequence[str], weight: Column | None = None)
     """Positives and negatives per distinct score: the only thing curves need."""
     w = F.lit(1) if weight is None else weight
     return (valid_scores(scores).groupBy(*by, "score")
-            .agg(F.sum(F.when(POS, w).otherwise(0)).cast("double").alias("pos"),
-                 F.sum(F.when(NEG, w).otherwise(0)).cast("double").alias("neg")))
+            .agg(F.sum(F.when(_pos(), w).otherwise(0)).cast("double").alias("pos"),
+                 F.sum(F.when(_neg(), w).otherwise(0)).cast("double").alias("neg")))
 
 
 def _auc_of_points(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -60,8 +66,8 @@ def balanced_accuracy(scores: DataFrame, thr: float, by: Sequence[str] = ("model
     """Mean of the recalls of the classes that are present, predicting 1 at score >= thr."""
     hit = F.col("score") >= F.lit(float(thr))
     return (valid_scores(scores).groupBy(*by)
-            .agg(F.avg(F.when(POS, hit.cast("double"))).alias("r1"),
-                 F.avg(F.when(NEG, (~hit).cast("double"))).alias("r0"))
+            .agg(F.avg(F.when(_pos(), hit.cast("double"))).alias("r1"),
+                 F.avg(F.when(_neg(), (~hit).cast("double"))).alias("r0"))
             .select(*by, ((F.coalesce("r1", "r0") + F.coalesce("r0", "r1")) / 2).alias("balanced_accuracy")))
 
 
@@ -81,7 +87,7 @@ def accuracy_prf1(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ())
 
 def threshold_at_tpr(scores: DataFrame, tpr: float = 0.95, by: Sequence[str] = ("model",)) -> DataFrame:
     """Score that keeps ``tpr`` of the positives: their linear ``1 - tpr`` quantile."""
-    return exact_quantiles(valid_scores(scores).filter(POS), by, "score", {"thr": 1.0 - tpr})
+    return exact_quantiles(valid_scores(scores).filter(_pos()), by, "score", {"thr": 1.0 - tpr})
 
 
 def _share_at(scores: DataFrame, thresholds: DataFrame, by: Sequence[str], cls: Column, name: str) -> DataFrame:
@@ -93,19 +99,19 @@ def _share_at(scores: DataFrame, thresholds: DataFrame, by: Sequence[str], cls:
 
 def fpr_at_tpr(scores: DataFrame, tpr: float = 0.95, by: Sequence[str] = ("model",)) -> DataFrame:
     """Threshold at the wanted recall and the share of negatives at or above it."""
-    return _share_at(scores, threshold_at_tpr(scores, tpr, by), by, NEG, "fpr")
+    return _share_at(scores, threshold_at_tpr(scores, tpr, by), by, _neg(), "fpr")
 
 
 def recall_at_fpr(scores: DataFrame, fprs: Sequence[float] = (0.01, 0.05, 0.10),
                   by: Sequence[str] = ("model",)) -> DataFrame:
     """Recall where the threshold is the ``1 - fpr`` quantile of the negatives, one row per fpr."""
     by = list(by)
-    wide = exact_quantiles(valid_scores(scores).filter(NEG), by, "score",
+    wide = exact_quantiles(valid_scores(scores).filter(_neg()), by, "score",
                            {f"q{i}": 1.0 - f for i, f in enumerate(fprs)})
     levels = F.array(*[F.struct(F.lit(float(f)).alias("fpr"), F.col(f"q{i}").alias("thr"))
                        for i, f in enumerate(fprs)])
     per = wide.select(*by, levels.alias("levels"))
-    rows = valid_scores(scores).filter(POS)
+    rows = valid_scores(scores).filter(_pos())
     joined = keyed_join(rows, per, by) if by else rows.withColumn("levels", per.scalar())
     return (joined.select(*by, "score", F.inline("levels"))
             .groupBy(*by, "fpr")
@@ -127,7 +133,7 @@ def wilson_ci(df: DataFrame, k: str, n: str, z: float = 1.96) -> DataFrame:
 
 def fpr_by_bin(scores: DataFrame, thr: DataFrame | float, by: Sequence[str] = ("model",)) -> DataFrame:
     """False-positive rate with interval per stratum; strata without negatives do not appear."""
-    neg = valid_scores(scores).filter(NEG)
+    neg = valid_scores(scores).filter(_neg())
     if isinstance(thr, DataFrame):
         neg = keyed_join(neg, thr.select(*by, "thr"), list(by))
     else:
@@ -180,8 +186,8 @@ def _boot_rate(weighted: DataFrame, hit: Column, cls: Column) -> DataFrame:
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "auc": lambda w: _boot_auc(w, "score"),
-    "fpr_at_half": lambda w: _boot_rate(w, F.col("score") >= 0.5, NEG),
-    "recall_at_half": lambda w: _boot_rate(w, F.col("score") >= 0.5, POS),
+    "fpr_at_half": lambda w: _boot_rate(w, F.col("score") >= 0.5, _neg()),
+    "recall_at_half": lambda w: _boot_rate(w, F.col("score") >= 0.5, _pos()),
 }
 
 

@@ -46,7 +46,7 @@ def write_result_table(df: DataFrame, path: str, source: str, note: str) -> None
                                  F.lit(",".join(df.columns)).alias("columns"))
     head.write.json(f"{path}/provenance")
     df.write.option("header", True).csv(f"{path}/csv")
-    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("--")), r"([%_&#])", r"\\\\$1") for c in df.columns]
+    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("--")), r"([%_&#])", r"\\$1") for c in df.columns]
     row = F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\"))
     df.select(row.alias("value")).write.text(f"{path}/latex")
 
