@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import keyed_join, materialize, spread
+from ..scale import is_small, keyed_join, largest_group, materialize, spread
 from .graph import connected_components
 
 
@@ -44,7 +44,12 @@ def _classes(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 def _hashed(df: DataFrame, k: int) -> DataFrame:
     """(id, h): one row per distinct shingle, as a 64-bit hash.  Hashes only propose candidates."""
-    return df.select("id", F.explode(F.array_distinct(F.transform(shingles(F.col("text"), k), lambda s: F.xxhash64(s)))).alias("h"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([^ \\n]+)"))
+    spans = F.transform(F.array(words), lambda ws: F.when(
+        F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(
+            F.element_at(ws, i), *[F.element_at(ws, i + j) for j in range(1, k)]))))
+    out = df.select("id", F.explode(F.array_distinct(F.element_at(spans, 1))).alias("h"))
+    return materialize(out) if is_small(out) else out
 
 
 def _prefixes(hashed: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
@@ -73,38 +78,92 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, thresho
             .filter(F.col("similarity") >= threshold - 1e-9).select("src", "dst", "similarity"))
 
 
+def _distinct_texts(df: DataFrame, text: str, k: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of the first row of every class, and the links from it to its copies."""
+    df = spread(df.select(key, text), key)
+    classes = _classes(df, key, text, k)
+    copies = classes.filter(F.col("id") != F.col("first")).select(
+        F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(100.0).alias("similarity"))
+    firsts = classes.select(F.col("first").alias("id")).distinct()
+    return keyed_join(df.select(F.col(key).alias("id"), F.col(text).alias("text")), firsts, ["id"]), copies
+
+
+def _cells(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(id, n, h): prefix shingles that at least two rows have."""
+    hashed = _hashed(texts, k)
+    freq = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    cells = materialize(_prefixes(hashed, freq, threshold))
+    shared = cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return materialize(keyed_join(cells, shared.select("h"), ["h"]))
+
+
+def _close(threshold: float) -> Column:
+    return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold / 100.0) - F.lit(1e-9)
+
+
+def _meet(cells: DataFrame, threshold: float, *extra: str) -> DataFrame:
+    """Candidate pairs that share a prefix shingle; with a label column, only across labels."""
+    a = cells.select(F.col("id").alias("src"), F.col("n").alias("na"), "h", *[F.col(c).alias(f"{c}_a") for c in extra])
+    b = cells.select(F.col("id").alias("dst"), F.col("n").alias("nb"), "h", *[F.col(c).alias(f"{c}_b") for c in extra])
+    cond = (F.col("src") < F.col("dst")) & _close(threshold)
+    for c in extra:
+        cond = cond & (F.col(f"{c}_a") != F.col(f"{c}_b"))
+    return a.join(b, "h").filter(cond).select("src", "dst").distinct()
+
+
 def near_dup_pairs(df: DataFrame, text: str, threshold: float = 90.0, shingle: int = 5,
                    mode: str = "exact", key: str = "id", bands: int = 16, rows_per_band: int = 4) -> DataFrame:
     """(src, dst, similarity), src first; see the module text for how copies are listed.
 
     ``exact`` joins on rare-shingle prefixes and finds every pair of distinct sets.  ``minhash``
     proposes, per band of min-hashes, each row with the first row of its bucket, which is
-    linear in the rows but may miss pairs.  Both verify against the whole texts.
+    linear in the rows but may miss pairs.  Both verify against the whole texts.  For clusters
+    of a corpus with huge families of near copies use ``near_dup_links``.
     """
     if not 0 < threshold <= 100:
         raise ValueError("threshold must be in (0, 100]")
-    df = spread(df.select(key, text), key)
-    classes = _classes(df, key, text, shingle)
-    copies = classes.filter(F.col("id") != F.col("first")).select(
-        F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(100.0).alias("similarity"))
-    firsts = classes.select(F.col("first").alias("id")).distinct()
-    texts = keyed_join(df.select(F.col(key).alias("id"), F.col(text).alias("text")), firsts, ["id"])
+    texts, copies = _distinct_texts(df, text, shingle, key)
     if mode == "minhash":
         found = _minhash_candidates(texts, shingle, bands, rows_per_band)
     else:
-        hashed = _hashed(texts, shingle)
-        freq = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-        # a shingle of one row only can propose nothing, but it still counts as prefix
-        p = materialize(_prefixes(hashed, freq, threshold))
-        shared = p.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
-        p = p.join(shared, "h", "left_semi")
-        a = p.select(F.col("id").alias("src"), F.col("n").alias("na"), "h")
-        b = p.select(F.col("id").alias("dst"), F.col("n").alias("nb"), "h")
-        close = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold / 100.0) - F.lit(1e-9)
-        found = a.join(b, "h").filter((F.col("src") < F.col("dst")) & close).select("src", "dst").distinct()
+        found = _meet(_cells(texts, shingle, threshold), threshold)
     return _verify(found, texts, texts, shingle, threshold).unionByName(copies)
 
 
+def near_dup_links(df: DataFrame, text: str, threshold: float = 90.0, shingle: int = 5, key: str = "id",
+                   hot_bucket: int = 1000, star_rounds: int = 3) -> DataFrame:
+    """Pairs whose connected components are those of all near-duplicate pairs, but far fewer of them.
+
+    Where many rows share a prefix shingle, each round compares them with one hub of their
+    bucket, which is linear, and merges what matches.  Pairs inside a component need no
+    comparison any more, and buckets left with one component vanish; what remains is compared
+    in full, so nothing is missed.
+    """
+    texts, copies = _distinct_texts(df, text, shingle, key)
+    cells = _cells(texts, shingle, threshold)
+    if largest_group(cells, ["h"]) <= hot_bucket:
+        return _verify(_meet(cells, threshold), texts, texts, shingle, threshold).unionByName(copies)
+    links = None
+    tagged = cells.withColumn("component", F.col("id"))
+    for r in range(star_rounds):
+        hub = tagged.groupBy("h").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(r))).alias("hub"))
+        found = (keyed_join(tagged, hub, ["h"])
+                 .filter((F.col("hub.component") != F.col("component")))
+                 .select(F.least("id", "hub.id").alias("src"), F.greatest("id", "hub.id").alias("dst"),
+                         F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+                 .filter(_close(threshold)).select("src", "dst").distinct())
+        new = materialize(_verify(found, texts, texts, shingle, threshold))
+        links = new if links is None else links.unionByName(new)
+        labels = connected_components(links)
+        tagged = (keyed_join(cells, labels, ["id"], "left")
+                  .withColumn("component", F.coalesce("component", "id")))
+        mixed = (tagged.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                 .filter("lo <> hi").select("h"))
+        tagged = materialize(keyed_join(tagged, mixed, ["h"]))
+    rest = _verify(_meet(tagged, threshold, "component"), texts, texts, shingle, threshold)
+    return links.unionByName(rest).unionByName(copies)
+
+
 def _minhash_candidates(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     base = texts.select("id", F.transform(shingles(F.col("text"), k), lambda s: F.xxhash64(s)).alias("s")).filter(F.size("s") > 0)
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[
@@ -137,8 +196,7 @@ def max_similarity_to_ref(df: DataFrame, ref: DataFrame, text: str, shingle: int
     freq = materialize(freq)
     a = _prefixes(new_h, freq, threshold).select(F.col("id").alias("src"), F.col("n").alias("na"), "h")
     b = _prefixes(old_h, freq, threshold).select(F.col("id").alias("dst"), F.col("n").alias("nb"), "h")
-    close = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold / 100.0) - F.lit(1e-9)
-    found = a.join(b, "h").filter(close).select("src", "dst").distinct()
+    found = a.join(b, "h").filter(_close(threshold)).select("src", "dst").distinct()
     best = (_verify(found, new, old, shingle, threshold).groupBy(F.col("src").alias("first"))
             .agg(F.max("similarity").alias("similarity"),
                  F.min_by("dst", F.struct(-F.col("similarity"), F.col("dst"))).alias("best_ref")))

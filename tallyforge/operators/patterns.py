@@ -158,14 +158,12 @@ def cross_unit_chain_1hop(calls: DataFrame, call_edges: DataFrame, rules: DataFr
     matched = _chain_calls(calls, rules)
     reach = (F.size("apis") - 1) * F.lit(int(window))
     ends = calls.groupBy(*UNIT).agg((F.max("position").cast("long") + 1).alias("offset"))
-    callers = (_stretch(matched, _chain_starts(matched), window)
-               .groupBy(*UNIT, "technique_id", "rule_name", "apis", "min_len").agg(_seq("caller").alias("p_seq"))
-               .join(ends, UNIT)
+    own = _chains(calls, rules, window)
+    callers = (keyed_join(own, ends, UNIT).withColumnRenamed("seq", "p_seq")
                .groupBy("sample", F.col("unit").alias("src"))
                .agg(F.collect_list(F.struct("technique_id", "rule_name", "apis", "min_len", "p_seq", "offset"))
                     .alias("rule")))  # one entry per rule
-    full = (_chains(calls, rules, window).filter((F.size("found") == F.size("apis")) &
-                                                 (F.size("found") >= F.col("min_len")))
+    full = (own.filter((F.size("found") == F.size("apis")) & (F.size("found") >= F.col("min_len")))
             .select(*UNIT, "technique_id"))
     callees = (matched.filter(F.col("position") <= reach)
                .groupBy(*UNIT, "technique_id").agg(_seq("callee").alias("f_seq"))

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHAIN, SET, FAMILY = "ordered_chain", "any_order_set", "family_sequence"
 
-SCHEMA = ("technique_id string, rule_name string, mode string, apis array<string>, "
-          "prefixes array<string>, min_len int, singleton boolean, caveat string")
-
-
 @dataclass(frozen=True)
 class Rule:
     technique_id: str
@@ -40,5 +36,10 @@ WINDOWS_API_RULES = (
 
 
 def rule_table(spark: SparkSession, rules: Iterable[Rule] = WINDOWS_API_RULES) -> DataFrame:
-    rows = [tuple(list(v) if isinstance(v, tuple) else v for v in astuple(r)) for r in rules]
-    return spark.createDataFrame(rows, SCHEMA)
+    """The rules as rows of literals, so that the planner knows how small the table is."""
+    names = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    rows = [F.struct(
+        F.lit(r.technique_id).alias("technique_id"), F.lit(r.rule_name).alias("rule_name"), F.lit(r.mode).alias("mode"),
+        names(r.apis).alias("apis"), names(r.prefixes).alias("prefixes"), F.lit(r.min_len).alias("min_len"),
+        F.lit(r.singleton).alias("singleton"), F.lit(r.caveat).alias("caveat")) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))

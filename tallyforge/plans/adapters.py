@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.rules import CHAIN, FAMILY, SET, Rule, rule_table
-from ..scale import Carry, prefix_scan, ranked
+from ..scale import Carry, prefix_scan, ranked, spread
 from .registry import table
 
 WINDOW = 8
@@ -161,7 +161,7 @@ osamples AS (SELECT c_custkey AS sample, c_custkey % 2 AS label, c_mktsegment AS
 
 # ---- documents as samples, lines as units, words as nodes
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = docs.select(F.col("doc_id").alias("sample"), F.posexplode(F.split("text", "\n")).alias("unit", "line"))
     return lines.select("sample", F.col("unit").cast("long").alias("unit"), F.posexplode(
         F.regexp_extract_all("line", F.lit("([^ \\n]+)"))).alias("idx", "token")).withColumn("idx", F.col("idx").cast("long"))
@@ -298,7 +298,7 @@ incoming AS (
 
 # ---- documents as nested graph records: lines are units, words are nodes, four words a block
 def graph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
 
     def node(word: Column, j: Column, addr: Column) -> Column:
         n = F.length(word)

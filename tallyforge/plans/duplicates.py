@@ -70,7 +70,7 @@ def connected_components(spark, sf):
 
 
 def clusters(spark, sf):
-    return D.near_dup_clusters(documents(spark, sf), pairs(spark, sf))
+    return D.near_dup_clusters(documents(spark, sf), D.near_dup_links(documents(spark, sf), "text", THR))
 
 
 @query("near_dup_clusters", f"WITH RECURSIVE {REACH} SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM comp")

@@ -158,11 +158,11 @@ def call_count_two_ways(spark, sf):
 
 @query("induced_subgraph_remap", f"""WITH {A.ORDER_GRAPH_SQL}, {OIDX_SQL.format(where="")},
   sel AS (SELECT sample, unit, row_number() OVER (PARTITION BY sample ORDER BY idx) - 1 AS new_idx
-          FROM oidx WHERE idx % 2 = 0)
+          FROM oidx JOIN orders ON o_orderkey = unit WHERE o_orderstatus <> 'P')
   SELECT g.sample, a.new_idx AS src, b.new_idx AS dst FROM ograph g
   JOIN sel a ON a.sample = g.sample AND a.unit = g.src JOIN sel b ON b.sample = g.sample AND b.unit = g.dst""")
 def induced_subgraph_remap(spark, sf):
-    kept = order_index(spark, sf).filter("idx % 2 = 0")
+    kept = order_index(spark, sf, "o_orderstatus <> 'P'")
     kept = ranked(kept, ["sample"], [F.col("idx")], "new_idx", 0).withColumnRenamed("unit", "pos")
     return G.induced_subgraph_remap(A.order_edges(spark, sf), kept.select("sample", "pos", "new_idx"))
 

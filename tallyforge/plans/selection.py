@@ -54,9 +54,10 @@ def evidence_first_top_k(spark, sf):
     return S.evidence_first_top_k(units(spark, sf), order_evidence(spark, sf), K)
 
 
-@query("drop_empty", f"WITH {N} SELECT * FROM osamples WHERE sample IN (SELECT sample FROM ounits WHERE unit % 16 = 0)")
+@query("drop_empty", f"WITH {N} SELECT * FROM osamples WHERE sample IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def drop_empty(spark, sf):
-    return S.drop_empty(A.order_samples(spark, sf), units(spark, sf).filter("unit % 16 = 0"))
+    urgent = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
+    return S.drop_empty(A.order_samples(spark, sf), urgent.select(F.col("o_custkey").alias("sample")))
 
 
 def labels(spark, sf):

@@ -12,7 +12,7 @@ D = A.DOC_NODES_SQL
 VOCAB = """SELECT '<UNK>' AS token, 0 AS id UNION ALL
   SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM (
     SELECT token, count(*) AS n FROM {rows} GROUP BY token HAVING count(*) >= {least})"""
-HALF = "sample % 2 = 0"
+HALF = "sample IN (SELECT doc_id FROM labels)"
 
 
 @query("build_vocab", f"WITH {D}, v AS ({VOCAB.format(rows='dnodes', least=2)}) SELECT * FROM v WHERE id < 2000")
@@ -21,7 +21,9 @@ def build_vocab(spark, sf):
 
 
 def half_vocab(spark, sf):
-    return V.build_vocab(A.document_nodes(spark, sf).filter(HALF), 2)
+    """Vocabulary of the training documents, those that have a label."""
+    train = table(spark, sf, "labels").select(F.col("doc_id").alias("sample"))
+    return V.build_vocab(A.document_nodes(spark, sf).join(train, "sample", "left_semi"), 2)
 
 
 HALF_SQL = f"{D}, half AS (SELECT * FROM dnodes WHERE {HALF}), v AS ({VOCAB.format(rows='half', least=2)})"

@@ -8,8 +8,8 @@ it is not.
 
 Settings (ordinary Spark configuration keys):
 
-``tallyforge.smallBytes``      planned size up to which a window is used directly
-``tallyforge.broadcastBytes``  planned size up to which a join side may be broadcast
+``tallyforge.smallBytes``      bytes read up to which a window is used directly
+``tallyforge.broadcastBytes``  bytes read up to which a join side may be broadcast
 ``tallyforge.hotRows``         rows of one group above which it counts as hot
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 DEFAULTS = {
     "tallyforge.smallBytes": 256 << 20,
-    "tallyforge.broadcastBytes": 32 << 20,
+    "tallyforge.broadcastBytes": 16 << 20,
     "tallyforge.hotRows": 20_000_000,
 }
 
@@ -35,22 +35,22 @@ def setting(df: DataFrame, key: str) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's estimate of the bytes a plan yields; very large when it is unknown."""
+    """Bytes of all tables a plan reads after column pruning; very large when one is unknown.
+
+    The optimizer's own figure for a join is the product of its sides, which would call any
+    plan with a few joins large.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     except AttributeError:  # a session without a JVM handle
         return 1 << 62
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame) -> bool:
     return plan_bytes(df) <= setting(df, "tallyforge.smallBytes")
 
 
-def sized_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint only when the planned size is inside the bound."""
-    return F.broadcast(df) if plan_bytes(df) <= setting(df, "tallyforge.broadcastBytes") else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the one the cluster names."""
     named = spark.conf.get("spark.checkpoint.dir", None)
