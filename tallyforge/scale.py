@@ -53,13 +53,13 @@ def is_small(df: DataFrame) -> bool:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the one the cluster names."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyforge.sharedDir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    named = tempfile.mkdtemp(prefix="spark-tallyforge-")
-    spark.conf.set("spark.checkpoint.dir", named)
+    named = tempfile.mkdtemp(prefix="spark-")  # one machine: tests and trials
+    spark.conf.set("tallyforge.sharedDir", named)
     return named
 
 
