@@ -282,8 +282,8 @@ running AS (
   SELECT *, max(addr + size) OVER (PARTITION BY sample, unit ORDER BY first_idx
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM blocks),
 seg_blocks AS (
-  SELECT *, sum(CASE WHEN prev_end IS NULL OR addr > prev_end + 43200 THEN 1 ELSE 0 END)
-            OVER (PARTITION BY sample, unit ORDER BY first_idx) - 1 AS seg FROM running),
+  SELECT *, (sum(CASE WHEN prev_end IS NULL OR addr > prev_end + 43200 THEN 1 ELSE 0 END)
+            OVER (PARTITION BY sample, unit ORDER BY first_idx) - 1)::BIGINT AS seg FROM running),
 segs AS (
   SELECT sample, unit, seg, min(addr) AS seg_start, max(addr + size) AS seg_end, count(*) AS n_blocks
   FROM seg_blocks GROUP BY sample, unit, seg),

@@ -119,11 +119,11 @@ def technique_discrimination(spark, sf):
     return rounded(out, "neg_pct", "pos_pct", "diff")
 
 
-@query("evidence_histogram", f"""WITH {EV}, n AS (SELECT sample, count(*) AS n FROM edges GROUP BY sample)
+@query("evidence_histogram", f"""WITH {EV}, n AS (SELECT sample, count(*) AS n FROM chain_edges GROUP BY sample)
   SELECT label, least(coalesce(n, 0), 20) AS n_edges, count(*) AS n_samples
   FROM user_samples u LEFT JOIN n ON n.sample = u.sample GROUP BY ALL""")
 def evidence_histogram(spark, sf):
-    return Q.evidence_histogram(A.user_samples(spark, sf), E.seed_edges(spark, sf))
+    return Q.evidence_histogram(A.user_samples(spark, sf), E.ordered_chain(spark, sf))
 
 
 @query("boundary_lift", f"""WITH {EV}, {KINDS}, fl AS (SELECT sample, unit, count(*) AS n, count(*) >= 15 AS flagged FROM calls GROUP BY ALL),

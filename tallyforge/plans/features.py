@@ -42,7 +42,7 @@ def simple_features(spark, sf):
 
 
 @query("meta8", """SELECT p_partkey AS sample, (p_size % 2)::DOUBLE AS has_sig, p_size / 4.0::DOUBLE AS linker, (2000 + p_size)::DOUBLE AS year,
-    (p_size % 3 = 0)::INT::DOUBLE AS has_rich, CASE WHEN p_size % 4 = 0 THEN 3.0 ELSE 2.0 END AS n_sec, CASE WHEN p_size % 4 = 0 THEN 1.0 ELSE 0.0 END AS nonstd_sec,
+    (p_size % 3 = 0)::INT::DOUBLE AS has_rich, CASE WHEN p_size % 4 = 0 THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END AS n_sec, CASE WHEN p_size % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS nonstd_sec,
     CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_size / 8.0::DOUBLE END AS max_ent, round(log10(greatest(p_partkey, 1)), 6) AS log_size FROM part""")
 def meta8(spark, sf):
     s = F.col("p_size")
@@ -78,7 +78,7 @@ def graph7(spark, sf):
 
 
 @query("global_features", """SELECT c_custkey AS sample, round(c_acctbal / 1000, 6) AS mean_entropy, round(c_acctbal / 500, 6) AS max_entropy,
-    round(c_acctbal / 2000, 6) AS min_entropy, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE 1.0 END AS has_any_external_call FROM customer""")
+    round(c_acctbal / 2000, 6) AS min_entropy, CASE WHEN c_custkey % 4 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS has_any_external_call FROM customer""")
 def global_features(spark, sf):
     df = customers(spark, sf).withColumn("has_any_external_call", F.when(F.col("sample") % 4 != 0, 1))
     return rounded(X.global_features(df), "mean_entropy", "max_entropy", "min_entropy")

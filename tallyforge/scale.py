@@ -47,6 +47,14 @@ def plan_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def may_broadcast(df: DataFrame) -> bool:
+    """Inside the broadcast bound, with room for rows that explode out of few bytes."""
+    size = plan_bytes(df)
+    if size < 1 << 60 and "Generate " in df._jdf.queryExecution().optimizedPlan().toString():
+        size *= 16
+    return size <= setting(df, "tallyforge.broadcastBytes")
+
+
 def is_small(df: DataFrame) -> bool:
     return plan_bytes(df) <= setting(df, "tallyforge.smallBytes")
 
@@ -94,7 +102,7 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     rows / hotRows, meet a broadcast of just those keys, and the rest is shuffled.
     """
     keys = list(keys)
-    if plan_bytes(right) <= setting(right, "tallyforge.broadcastBytes"):
+    if may_broadcast(right):
         return left.join(F.broadcast(right), keys, how)
     if is_small(left):
         return left.join(right, keys, how)
