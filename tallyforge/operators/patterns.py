@@ -153,7 +153,8 @@ def cross_unit_chain_1hop(calls: DataFrame, call_edges: DataFrame, rules: DataFr
 
     ``call_edges`` is ``(sample, src, dst)`` over units.  The callee's positions are moved
     behind all of the caller's.  A chain has to touch both units, so it starts in the caller;
-    of the callee only its first ``(steps - 1) * window`` positions can be reached.
+    of the callee only its first ``(steps - 1) * window`` positions can be reached.  A node id
+    is taken to belong to one unit.
     """
     matched = _chain_calls(calls, rules)
     reach = (F.size("apis") - 1) * F.lit(int(window))

@@ -60,3 +60,9 @@ def test_binary_dir(spark, tmp_path):
 def test_forwarders(spark):
     df = spark.createDataFrame([("API-ms-win-x.dll",), ("MySetup.exe",), ("tool.exe",), (None,)], "n string")
     assert [r["n"] for r in IO.filename_exclusion(df, "n").collect()] == ["tool.exe", None]
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["metadata_prefilter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(p_size,30)" in plan and "p_retailprice" not in plan
