@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import licenses, mixing, sharding
+from . import licenses, mixing, sharding, warc
 
 
 def _sql_text(text: str) -> str:
@@ -40,8 +40,8 @@ p AS (SELECT d.*, s.source_size, t.target,
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, source_size, target,
-       CAST(CASE WHEN source_size > 0 THEN floor(target) // source_size ELSE 0 END * size
-            + least(size, greatest(0, floor(target) - CASE WHEN source_size > 0 THEN floor(target) // source_size ELSE 0 END * source_size - before)) AS BIGINT) AS taken
+       CAST(CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END * size
+            + least(size, greatest(0, CAST(floor(target) AS BIGINT) - CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END * source_size - before)) AS BIGINT) AS taken
 FROM p
 """
 
@@ -90,3 +90,21 @@ SELECT doc_id, unit, h.digest, license FROM hashed h LEFT JOIN known k ON h.dige
 @query("op10_license_scan", LICENSE_SQL)
 def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+# ------------------------------------------------------------------ 6 WARC
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN last IS NOT NULL AND (page_id IS NULL OR page_id < last) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest
+"""
+
+
+@query("op6_warc_normalise", WARC_SQL)
+def op6_warc_normalise(spark, sf_dir):
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
