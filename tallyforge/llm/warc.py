@@ -120,7 +120,7 @@ def _write_file(folder: str, name: str, parts: Iterable[bytes]) -> None:
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
     draft = posixpath.join(base, f".{name}.{uuid.uuid4().hex}")
-    with store.open_output_stream(draft) as out:
+    with store.open_output_stream(draft, compression=None) as out:
         for part in parts:
             out.write(part)
     store.move(draft, posixpath.join(base, name))
@@ -128,7 +128,7 @@ def _write_file(folder: str, name: str, parts: Iterable[bytes]) -> None:
 
 def _chunks(uri: str) -> Iterator[bytes]:
     store, path = _store(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         while data := f.read(CHUNK):
             yield bytes(data)
 
