@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import decontam, licenses, mixing, sharding, warc
+from . import ann, decontam, langid, licenses, mixing, sharding, warc
 
 
 def _sql_text(text: str) -> str:
@@ -134,3 +134,33 @@ def op2_decontaminate(spark, sf_dir):
     judge = decontam.contamination(table(spark, sf_dir, "benchmark"))
     docs = table(spark, sf_dir, "documents").select("doc_id", judge(F.col("text")).alias("r"))
     return docs.select("doc_id", "r.n_words", "r.n_hit", "r.n_items", "r.items_sha256", "r.contaminated")
+
+
+# ------------------------------------------------------------------ 7 language ID
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(langid.in_training(F.col("doc_id"))))
+    judged = docs.select("doc_id", langid.in_training(F.col("doc_id")).alias("t"), langid.classify(model, spark)(F.col("text")).alias("r"))
+    return judged.select("doc_id", (~F.col("t")).alias("held_out"), F.col("r.lang").alias("lang_pred"), "r.score")
+
+
+# ------------------------------------------------------------------ 1 nearest neighbours
+
+ANN_SQL = """
+WITH e AS (SELECT vec_id, max(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) AS score
+      FROM e q JOIN e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op1_onebit_search", ANN_SQL)
+def op1_onebit_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
