@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import ann, decontam, langid, licenses, mixing, sharding, warc
+from . import ann, decontam, langid, licenses, mixing, ngramjoin, sharding, warc
 
 
 def _sql_text(text: str) -> str:
@@ -164,3 +164,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op1_onebit_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+# ------------------------------------------------------------------ 4 n-gram Jaccard join
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * inter >= 85 * (p.n + q.n - inter)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT x, min(y) AS low FROM r GROUP BY 1) m ON m.x = d.doc_id
+"""
+
+
+@query("op4_jaccard_join", JACCARD_SQL)
+def op4_jaccard_join(spark, sf_dir):
+    return ngramjoin.near_copies(table(spark, sf_dir, "documents"))
