@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import ann, decontam, langid, licenses, mixing, ngramjoin, sharding, warc
+from . import ann, decontam, langid, licenses, mixing, ngramjoin, sharding, urlfilter, warc
 
 
 def _sql_text(text: str) -> str:
@@ -185,3 +185,52 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT x, min(y) AS low FRO
 @query("op4_jaccard_join", JACCARD_SQL)
 def op4_jaccard_join(spark, sf_dir):
     return ngramjoin.near_copies(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 3 URL filter
+
+#: The rules of the list.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+URL_SQL = r"""
+WITH p0 AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
+p1 AS (SELECT r, page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+              regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+              regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS low FROM p0),
+rl(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+hit AS (SELECT r, max_by(rule, len(rule)) AS rule, max_by(verdict, len(rule)) AS listed FROM p1 JOIN rl
+        ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+           AND starts_with(path, '/' || substr(rule, strpos(rule, '/') + 1)) GROUP BY r),
+lab AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 'block' ELSE 'allow' END) AS label FROM labels GROUP BY 1),
+p AS (SELECT p1.*, rule, listed, coalesce(listed, label) AS label FROM p1 LEFT JOIN hit ON p1.r = hit.r LEFT JOIN lab ON page_id = doc_id),
+parts AS (SELECT r, regexp_extract(low, '://([^/?#]*)', 1) AS h, regexp_extract(low, '://[^/?#]*([^?#]*)', 1) AS q, low FROM p),
+tok AS (SELECT DISTINCT r, t FROM (
+  SELECT r, 'h:' || x AS t FROM (SELECT r, unnest(string_split(h, '.')) AS x FROM parts) WHERE x <> ''
+  UNION ALL SELECT r, 'p:' || x FROM (SELECT r, unnest(string_split(q, '/')) AS x FROM parts) WHERE x <> ''
+  UNION ALL SELECT r, '1:' || split_part(q, '/', 2) FROM parts WHERE split_part(q, '/', 2) <> ''
+  UNION ALL SELECT r, 'e:' || regexp_extract(q, '\.([a-z0]+)$', 1) FROM parts WHERE regexp_extract(q, '\.([a-z0]+)$', 1) <> ''
+  UNION ALL SELECT r, 'q:' || x FROM (SELECT r, regexp_replace(unnest(string_split(regexp_extract(low, '\?([^#]*)', 1), '&')), '=.*', '') AS x FROM parts) WHERE x <> ''
+  UNION ALL SELECT r, '#' FROM parts WHERE contains(low, '#'))),
+lt AS (SELECT tok.r, t, label FROM tok JOIN p ON p.r = tok.r WHERE label IS NOT NULL),
+least_n AS (SELECT ceil(0.005 * count(DISTINCT r)) AS m FROM lt),
+fr AS (SELECT t FROM lt GROUP BY t HAVING count(*) >= (SELECT m FROM least_n)),
+f AS (SELECT lt.* FROM lt JOIN fr ON fr.t = lt.t),
+sets AS (SELECT r, label, [t] AS s FROM f
+  UNION ALL SELECT a.r, a.label, [a.t, b.t] FROM f a JOIN f b ON a.r = b.r AND a.t < b.t
+  UNION ALL SELECT a.r, a.label, [a.t, b.t, c.t] FROM f a JOIN f b ON a.r = b.r AND a.t < b.t JOIN f c ON b.r = c.r AND b.t < c.t),
+cnt AS (SELECT s, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY s) AS total FROM sets GROUP BY s, label),
+mined AS (SELECT s, label, n, n / total AS conf FROM cnt WHERE n >= (SELECT m FROM least_n) AND n / total >= 0.8),
+kept AS (SELECT *, row_number() OVER (ORDER BY conf DESC, n DESC, len(s) DESC, array_to_string(s, ' '), label) AS id FROM mined m
+         WHERE NOT EXISTS (SELECT 1 FROM mined k WHERE k.label = m.label AND len(k.s) < len(m.s) AND k.conf >= m.conf AND len(list_intersect(k.s, m.s)) = len(k.s))),
+pt AS (SELECT r, list(t) AS ts FROM tok GROUP BY r),
+best AS (SELECT r, min_by(label, id) AS label FROM pt JOIN kept ON len(list_intersect(s, ts)) = len(s) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(listed, best.label, 'allow') AS verdict FROM p LEFT JOIN best ON p.r = best.r
+"""
+
+
+@query("op3_url_filter", URL_SQL)
+def op3_url_filter(spark, sf_dir):
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("label"))
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
