@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import ann, decontam, langid, licenses, mixing, ngramjoin, sharding, urlfilter, warc
+from . import ann, chat, decontam, langid, licenses, mixing, ngramjoin, sharding, urlfilter, warc
 
 
 def _sql_text(text: str) -> str:
@@ -234,3 +234,12 @@ def op3_url_filter(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("label"))
     judged = urlfilter.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# ------------------------------------------------------------------ 8 chat formatting
+
+
+@query("op8_chat_format")
+def op8_chat_format(spark, sf_dir):
+    turns = chat.recover_roles(table(spark, sf_dir, "conversations"))
+    return turns.select(F.col("conv").cast("long").alias("conv_id"), "turn", "role", "text", "rendered")
