@@ -38,10 +38,16 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of the rows, without overflow of the squares."""
+    most = np.abs(vectors).max(axis=1, initial=0.0)
+    return most * np.linalg.norm(vectors / np.where(most > 0, most, 1.0)[:, None], axis=1)
+
+
 def encode(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(packed sign bits, [length, agreement] per vector) of the rows of a float64 matrix."""
     dim = vectors.shape[1]
-    length = np.linalg.norm(vectors, axis=1)
+    length = lengths(vectors)
     turned = (vectors / length[:, None]) @ rotation(dim, seed)
     agreement = np.abs(turned).sum(axis=1) / np.sqrt(dim)
     return np.packbits(turned >= 0, axis=1), np.stack([length, agreement], axis=1)
@@ -71,21 +77,32 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalar
                  query_ids: np.ndarray, queries: np.ndarray, settings: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, vec ids, scores): the ``k`` best of a block for each query, by bounds and reranking."""
     k = settings.k
+    # bounds and first sums are in units of the longest vector and of the query's length: single precision will do
+    longest = scalars[:, 0].max(initial=0.0) or 1.0
+    light = (vectors / longest).astype(np.float32)
+    scalars = scalars / np.array([longest, 1.0])
+    units = queries / lengths(queries)[:, None]
+    slack = 2e-5
     for at in range(0, len(queries), 256):
         part = queries[at:at + 256]
-        found, bound = estimate(codes, scalars, part, settings)
+        found, bound = estimate(codes, scalars, units[at:at + 256], settings)
         for i, query in enumerate(part):
+            unit = units[at + i].astype(np.float32)
             own = ids == query_ids[at + i]
             guess, upper = found[i], found[i] + bound[i]
             guess[own], upper[own] = -np.inf, -np.inf
             others = len(ids) - int(own.sum())
-            if others <= 2 * k:
+            if others <= 8 * k:
                 chosen = np.flatnonzero(~own)
             else:
-                likely = np.argpartition(-guess, k)[:k]
-                least = exact(vectors[likely], query).min()  # k vectors reach this, so a bound below it is out
-                chosen = np.flatnonzero((upper >= least) & ~own)
-                chosen = np.union1d(chosen, likely)
+                likely = np.argpartition(-guess, 4 * k)[:4 * k]
+                near = light[likely] @ unit
+                least = np.partition(near, -k)[-k]  # k vectors reach this, so an upper bound below it is out
+                upper[likely] = np.inf
+                chosen = np.flatnonzero(upper >= least - slack)
+            near = light[chosen] @ unit
+            if len(chosen) > k:  # single precision and a margin for its rounding; then the defined sum decides
+                chosen = chosen[near >= np.partition(near, -k)[-k] - slack]
             score = exact(vectors[chosen], query)
             best = np.lexsort((ids[chosen], -score))[:k]
             yield int(query_ids[at + i]), ids[chosen[best]], score[best]
