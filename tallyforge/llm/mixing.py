@@ -81,15 +81,15 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
     """
     mix = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     cuts = (mix.withColumn("_at", _place(seed, id_col, F.col("size")))
-            .groupBy("source").agg(F.max("epochs").alias("_epochs"),
-                                   F.max(F.when(F.col("part") > 0, F.struct("_at", "part"))).alias("_cut"))
-            .withColumnRenamed("source", "_source"))
+            .groupBy("source").agg(F.max("epochs").alias("__mix_epochs"),
+                                   F.max(F.when(F.col("part") > 0, F.struct("_at", "part"))).alias("__mix_cut"))
+            .withColumnRenamed("source", "__mix_source"))
     at = _place(seed, id_col, blank_words(text_col))
-    last = F.col("_cut._at")
-    whole = 2 * F.col("_cut.part") >= F.col("_cut._at.size")
+    last = F.col("__mix_cut._at")
+    whole = 2 * F.col("__mix_cut.part") >= F.col("__mix_cut._at.size")
     again = F.when((at < last) | ((at == last) & whole), 1).otherwise(0)
-    copies = (F.col("_epochs") + again).cast("int")
+    copies = (F.col("__mix_epochs") + again).cast("int")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return (docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-            .withColumn("_copies", copies).filter("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns))
+    return (docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")))
+            .withColumn("__mix_copies", copies).filter("__mix_copies > 0")
+            .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*columns))

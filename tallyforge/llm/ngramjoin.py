@@ -243,20 +243,20 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     scratch = Scratch(docs.sparkSession)
     sketch, named = _linked(docs, scratch, settings, id_col, text_col)
     first = (named.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("no"), "low", "key")).alias("m"))
-             .select(F.col("m.low").alias("_id"), F.col("m.key").alias("_key")))
-    often = sketch.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("id").alias("_often"))
-    once = first.join(often, F.col("_id").eqNullSafe(F.col("_often")), "left_anti")
-    several = first.join(often, F.col("_id").eqNullSafe(F.col("_often")), "left_semi")
+             .select(F.col("m.low").alias("__join_id"), F.col("m.key").alias("__join_key")))
+    often = sketch.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("id").alias("__join_often"))
+    once = first.join(often, F.col("__join_id").eqNullSafe(F.col("__join_often")), "left_anti")
+    several = first.join(often, F.col("__join_id").eqNullSafe(F.col("__join_often")), "left_semi")
     full = docs.filter(F.coalesce(F.col(text_col).rlike(NOT_BLANK), F.lit(False)))
     blank = docs.filter(~F.coalesce(F.col(text_col).rlike(NOT_BLANK), F.lit(False)))
-    same = lambda: F.col(id_col).eqNullSafe(F.col("_id"))
+    same = lambda: F.col(id_col).eqNullSafe(F.col("__join_id"))
 
     @F.pandas_udf("binary")
     def key(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _key(shingles(t, settings.words)))
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    unique = full.join(once.select("_id"), same(), "left_semi")
-    repeated = (full.join(several, same()).filter(key(F.col(text_col)) == F.col("_key"))
-                .dropDuplicates(["_id", "_key"]).select(*columns))
+    unique = full.join(once.select("__join_id"), same(), "left_semi")
+    repeated = (full.join(several, same()).filter(key(F.col(text_col)) == F.col("__join_key"))
+                .dropDuplicates(["__join_id", "__join_key"]).select(*columns))
     return unique.unionByName(repeated).unionByName(blank)
