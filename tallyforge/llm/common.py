@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -40,8 +41,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
+        """Delete tables, and let Spark remove the shuffle files of finished steps, which it does when garbage is collected."""
         for name in names:
             self._fs().delete(self._path(self.path(name)), True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def blank_words(text: Column | str) -> Column:

@@ -4,14 +4,15 @@ Two sets with enough in common share a token among the first few of each, whatev
 So a pair has to pass under every order, and the filters are intersected before any set is compared:
 
 1. By hash order, with a longer prefix: documents whose prefix has too few tokens that any other document's prefix
-   has as well cannot have a partner. Only these prefixes, a fifth of all tokens, are counted.
+   has as well cannot have a partner. Only these prefixes, a quarter of all tokens, are counted.
 2. For what is left, three orders by document frequency, rare tokens first, that break ties differently. Tokens of one
    document only cannot match and take up prefix places; a document whose prefix is full of them is out.
 3. Pairs meet through a shared prefix token of one order, have to share one under the other orders too, and are
    then verified on their whole sets.
 
-Large families are not expanded into all pairs: every prefix token's documents first meet a few hubs; what is then
-connected needs no further look, and only pairs across components are enumerated. No link between components is lost.
+Large families are not expanded into all pairs: every prefix token's documents first meet a few hubs, central ones;
+what is then connected needs no further look, and only pairs across components are enumerated, if both have enough
+tokens that any other document has. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import connected_components
+from ..scale import may_broadcast
 from .common import Scratch
 
 NOT_BLANK = r"[^\x20\x09-\x0D]"
@@ -96,10 +98,10 @@ def _sketch(settings: Settings):
             for text in batch.column("text"):
                 tokens = shingles(text.as_py(), settings.words)
                 n = len(tokens)
-                more = n // 20  # places beyond the plain prefix; as many more tokens have to be shared
+                more = n // 10  # places beyond the plain prefix; as many more tokens have to be shared
                 keys.append(_key(tokens))
                 sizes.append(n)
-                needs.append(1 + settings.least_overlap(n) // 20)
+                needs.append(1 + settings.least_overlap(n) // 10)
                 prefixes.append(tokens[:n - settings.least_overlap(n) + 1 + more] if n else tokens)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
@@ -119,18 +121,23 @@ def _tokens(settings: Settings):
 
 def _survivors(sketch: DataFrame, reps: DataFrame) -> DataFrame:
     """Representatives with enough prefix tokens that another representative's prefix has too."""
-    entries = sketch.join(reps.select("rid"), "rid", "left_semi").select("rid", "need", F.explode("prefix").alias("token"))
+    chosen = reps.select("rid")
+    entries = (sketch.join(F.broadcast(chosen) if may_broadcast(chosen) else chosen, "rid", "left_semi")
+               .select("rid", "need", F.explode("prefix").alias("token")))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     return (entries.join(shared, "token").groupBy("rid").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"))
             .filter("c >= need").select("rid"))
 
 
 def _ordered(tokens: DataFrame, settings: Settings) -> DataFrame:
-    """(rid, n, tokens, p1, p2, p3): tokens that several documents have, and the prefixes under three orders."""
+    """(rid, n, m, centre, tokens, p1, p2, p3): the tokens that several documents have, and the prefixes under three orders.
+
+    ``m`` counts these tokens and ``centre`` tells how common they are.
+    """
     entries = tokens.select("rid", "n", F.explode("tokens").alias("token"))
     frequent = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     lists = (entries.join(frequent, "token").groupBy("rid")
-             .agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("t")))
+             .agg(F.max("n").alias("n"), F.avg(F.log2("df")).alias("centre"), F.collect_list(F.struct("df", "token")).alias("t")))
     least = F.floor((settings.percent * F.col("n") + 99) / 100)
     # tokens of this document only stand first under every order
     room = (F.col("n") - least + 1) - (F.col("n") - F.size("t"))
@@ -141,12 +148,19 @@ def _ordered(tokens: DataFrame, settings: Settings) -> DataFrame:
         return F.transform(F.slice(ranked, F.lit(1), F.col("room").cast("int")), lambda x: x["token"])
 
     return (lists.withColumn("room", room).filter("room > 0")
-            .select("rid", "n", F.transform("t", lambda x: x["token"]).alias("tokens"),
+            .select("rid", "n", F.size("t").cast("long").alias("m"), "centre", F.transform("t", lambda x: x["token"]).alias("tokens"),
                     prefix(lambda x: [x["df"].alias("a")]).alias("p1"),
                     prefix(lambda x: [level(x).alias("a"), F.xxhash64(x["token"]).alias("b")]).alias("p2"),
                     prefix(lambda x: [level(x).alias("a"), F.xxhash64(x["token"], F.lit(1)).alias("b")]).alias("p3")))
 
 
+def _possible(settings: Settings, x: str, y: str) -> Column:
+    """Sizes near enough, and enough tokens on both sides that any other document has."""
+    p = settings.percent
+    return ((100 * F.col(f"{x}n") >= p * F.col(f"{y}n")) & (100 * F.col(f"{y}n") >= p * F.col(f"{x}n"))
+            & ((100 + p) * F.least(f"{x}m", f"{y}m") >= p * (F.col(f"{x}n") + F.col(f"{y}n"))))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (a, b) that share a prefix token under the other orders as well and are as similar as asked."""
     side = lambda x: sets.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "tokens", "p2", "p3")])
@@ -158,33 +172,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
             .select("a", "b"))
 
 
-def _near_sizes(settings: Settings, a: str, b: str) -> Column:
-    return ((100 * F.col(a) >= settings.percent * F.col(b)) & (100 * F.col(b) >= settings.percent * F.col(a)))
-
-
 def _hub_pairs(entries: DataFrame, settings: Settings) -> DataFrame:
-    """Each document with a few hubs of each of its prefix tokens: linear in the number of entries."""
+    """Each document with a few hubs of each of its prefix tokens: linear in the number of entries.
+
+    Hubs are the document with the largest share of tokens that others have, the one whose tokens are the most
+    common, and further ones by hash.
+    """
+    orders = [-F.col("m") / F.col("n"), -F.col("centre"), *[F.xxhash64("rid", F.lit(i)).cast("double") for i in range(settings.hubs)]]
     hubs = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("c"),
-        *[F.min(F.struct(F.xxhash64("rid", F.lit(i)).alias("h"), "rid", "n")).alias(f"h{i}") for i in range(settings.hubs)])
+        *[F.min(F.struct(o.alias("o"), "rid", "n", "m")).alias(f"h{i}") for i, o in enumerate(orders[:settings.hubs])])
     hubs = hubs.filter("c > 1").select("token", F.explode(F.array_distinct(F.array(
-        *[F.struct(F.col(f"h{i}.rid").alias("hub"), F.col(f"h{i}.n").alias("hub_n")) for i in range(settings.hubs)]))).alias("x"))
-    met = entries.join(hubs.select("token", "x.hub", "x.hub_n"), "token").filter("rid <> hub").filter(_near_sizes(settings, "n", "hub_n"))
+        *[F.struct(F.col(f"h{i}.rid").alias("hub"), F.col(f"h{i}.n").alias("h_n"), F.col(f"h{i}.m").alias("h_m")) for i in range(settings.hubs)]))).alias("x"))
+    hubs = hubs.select("token", "x.hub", "x.h_n", "x.h_m")
+    met = entries.select("token", "rid", F.col("n").alias("d_n"), F.col("m").alias("d_m")).join(hubs, "token")
+    met = met.filter((F.col("rid") != F.col("hub")) & _possible(settings, "d_", "h_"))
     return met.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
 
 
-def _cross_pairs(entries: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of documents that share a prefix token and lie in different components."""
+#: Prefixes up to this size travel with the entries of open tokens, so a pair is told once and tested early.
+CARRIED = 64
+
+
+def _cross_pairs(entries: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of documents that share a prefix token and lie in different components.
+
+    A token is open if it has documents of several components. Documents that have too few shared tokens even for
+    the smallest document of a token leave it. A pair that meets at several tokens is told at the first of them, and
+    only if it meets under the other orders too, where the prefixes are short enough to be carried; the rest is
+    tested later in the same way.
+    """
+    p = settings.percent
     placed = (entries.join(labels.withColumnRenamed("id", "rid"), "rid", "left")
               .withColumn("component", F.coalesce("component", "rid")))
-    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    open_ = placed.join(several, "token")
-    parts = open_.select("token", F.col("component").alias("other")).distinct()
-    # a document meets the components of its token, not their documents; only then their documents
-    left = open_.join(parts, "token").filter("component < other").select("token", "other", F.col("rid").alias("x"), F.col("n").alias("x_n"))
-    right = open_.select("token", F.col("component").alias("other"), F.col("rid").alias("y"), F.col("n").alias("y_n"))
-    return (left.join(right, ["token", "other"]).filter(_near_sizes(settings, "x_n", "y_n"))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    several = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
+               .filter("lo < hi").select("token", "least"))
+    smallest = F.greatest(F.col("least"), F.floor((p * F.col("n") + 99) / 100))
+    open_ = placed.join(several, "token").filter((100 + p) * F.col("m") >= p * (F.col("n") + smallest))
+    short = lambda c: F.when(F.size("p1") <= CARRIED, F.col(c)).alias(c)
+    open_ = open_.select("token", "rid", "n", "m", "component").join(sets.select("rid", short("p1"), short("p2"), short("p3")), "rid")
+    side = lambda x: open_.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "m", "component", "p1", "p2", "p3")])
+    first = F.array_min(F.array_intersect("x_p1", "y_p1"))
+    meets = F.coalesce((first == F.col("token")) & F.arrays_overlap("x_p2", "y_p2") & F.arrays_overlap("x_p3", "y_p3"), F.lit(True))
+    on = (F.col("x_component") < F.col("y_component")) & _possible(settings, "x_", "y_") & meets
+    met = side("x").join(side("y"), "token").filter(on)
+    return met.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
 
 
 def _linked(docs: DataFrame, scratch: Scratch, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -197,6 +229,8 @@ def _linked(docs: DataFrame, scratch: Scratch, s: Settings, id_col: str, text_co
         F.min(F.struct("rid", "id")).alias("first"), F.min("id").alias("low"), F.max("n").alias("n"))
         .select("key", "first.rid", F.col("first.id").alias("id"), "low", "n"), "classes")
     kept = scratch.write(reps.join(_survivors(sketch, reps), "rid").select("rid", "id", "key", "n"), "survivors")
+    sketch = scratch.write(sketch.select("id", "key", "n"), "rows")
+    scratch.drop("sketch")
     wanted = kept.select(F.col("id").alias("_id")).distinct()
     again = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(
         _tokens(s), f"id {kind}, key binary, tokens array<long>")
@@ -205,10 +239,10 @@ def _linked(docs: DataFrame, scratch: Scratch, s: Settings, id_col: str, text_co
               .groupBy("rid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     sets = scratch.write(_ordered(scratch.write(tokens, "tokens"), s), "sets")
     scratch.drop("tokens", "survivors")
-    entries = scratch.write(sets.select("rid", "n", F.explode("p1").alias("token")), "entries")
+    entries = scratch.write(sets.select("rid", "n", "m", "centre", F.explode("p1").alias("token")), "entries")
     links = scratch.write(_verified(_hub_pairs(entries, s), sets, s), "hub_links")
     labels = connected_components(links, src="a", dst="b")
-    across = scratch.write(_verified(_cross_pairs(entries, labels, s), sets, s), "cross_links")
+    across = scratch.write(_verified(_cross_pairs(entries, sets, labels, s), sets, s), "cross_links")
     if not across.isEmpty():
         labels = connected_components(links.unionByName(across), src="a", dst="b")
     scratch.drop("sets", "entries")
