@@ -1,98 +1,95 @@
 """Duplicates, near-duplicates, clusters and dataset lineage.
 
 Near-duplicates are rows whose sets of distinct lower-cased k-word shingles have a Jaccard
-similarity (0..100) of at least the threshold.  Rows with the same shingle set form a class;
+similarity (0..100) of at least the threshold.  A text with fewer than k words has one shingle,
+all of its words; words are split on any white space.  Rows with the same shingle set form a class;
 the class is compared through its first row only and its other rows are linked to that row
 with similarity 100.  So a group of copies costs one pair per copy, however large it is,
-and clusters, keep-first and leader results are the same as with all pairs listed.
+and clusters, keep-first and leader results are the same as with all pairs listed, provided that
+the pairs were made with the ``order`` of the scan.
+
+Shingles are kept as sorted arrays of 64-bit hashes, made once per row; similarities are those of
+these sets.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import is_small, keyed_join, largest_group, materialize, spread
+from ..scale import keyed_join, materialize, shared_dir, spread
 from .graph import connected_components
 
+#: A word: a run of anything but white space, ASCII or beyond.
+WORD = r"([^\x20\x09-\x0D\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+)"
+
 
-def shingles(text: Column, k: int) -> Column:
-    """Distinct k-word shingles of lower-cased text; none when it has fewer than k words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([^ \\n]+)"))
+def shingle_hashes(text: Column, k: int) -> Column:
+    """Sorted distinct hashes of the k-word shingles of lower-cased text; of all its words if they are fewer; none for null."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD))
     # the one-element array binds the words to a variable, so they are split once per row
     spans = F.transform(F.array(words), lambda ws: F.when(
-        F.size(ws) >= k,
-        F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.concat_ws(" ", *[
-            F.element_at(ws, i + j) for j in range(k)]))))
-    return F.array_distinct(F.coalesce(F.element_at(spans, 1), F.array().cast("array<string>")))
+        F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(
+            F.element_at(ws, i), *[F.element_at(ws, i + j) for j in range(1, k)])))
+        .otherwise(F.array(F.xxhash64(F.size(ws), F.concat_ws(" ", ws)))))
+    return F.when(text.isNull(), F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(F.element_at(spans, 1))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    sets = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.struct(
-        F.size(F.array_intersect(p["a"], p["b"])).cast("double").alias("both"),
-        (F.size(p["a"]) + F.size(p["b"])).alias("sum")))
-    return F.element_at(F.transform(sets, lambda p: F.lit(100.0) * p["both"] / (p["sum"] - p["both"])), 1)
+def _sets(df: DataFrame, key: str, text: str, k: int, order: str | None = None) -> DataFrame:
+    """(id, pos, sig, s): rows with words to compare, their place in the scan, and their shingle set; written once."""
+    cols = [F.col(key).alias("id"), F.col(order or key).alias("pos"), F.col(text).alias("text")]
+    out = spread(df.select(*cols), "id").select("id", "pos", shingle_hashes(F.col("text"), k).alias("s"))
+    out = out.filter(F.size("s") > 0)
+    return materialize(out.select("id", "pos", F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256).alias("sig"), "s"))
 
 
-def _classes(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, sig, first): rows, their shingle-set signature and the first row that has it."""
-    digest = F.element_at(F.transform(F.array(F.sort_array(shingles(F.col(text), k))), lambda s: F.when(
-        F.size(s) > 0, F.sha2(F.concat_ws("\x1f", s), 256))), 1)
-    sig = materialize(df.select(F.col(key).alias("id"), digest.alias("sig"))).filter(F.col("sig").isNotNull())
-    firsts = sig.groupBy("sig").agg(F.min("id").alias("first"))
-    return keyed_join(sig, firsts, ["sig"])
+def _classes(sets: DataFrame) -> DataFrame:
+    """(id, first): every row and the first row, in scan order, that has its set."""
+    firsts = sets.groupBy("sig").agg(F.min(F.struct("pos", "id")).alias("f")).select("sig", F.col("f.id").alias("first"))
+    return materialize(keyed_join(sets.select("id", "sig"), firsts, ["sig"]).select("id", "first"))
 
 
-def _hashed(df: DataFrame, k: int) -> DataFrame:
-    """(id, h): one row per distinct shingle, as a 64-bit hash.  Hashes only propose candidates."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([^ \\n]+)"))
-    spans = F.transform(F.array(words), lambda ws: F.when(
-        F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(
-            F.element_at(ws, i), *[F.element_at(ws, i + j) for j in range(1, k)]))))
-    out = df.select("id", F.explode(F.array_distinct(F.element_at(spans, 1))).alias("h"))
-    return materialize(out) if is_small(out) else out
+def _distinct_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, s) of the first row of every class."""
+    return materialize(keyed_join(sets.select("id", "s"), classes.select(F.col("first").alias("id")).distinct(), ["id"]))
 
 
-def _prefixes(hashed: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
+def _copies(classes: DataFrame) -> DataFrame:
+    return classes.filter(F.col("id") != F.col("first")).select(
+        F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(100.0).alias("similarity"))
+
+
+def _prefixes(sets: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
     """The rarest shingles of every row: two sets that are similar enough share one of these.
 
     With all sets ordered by (frequency, hash), sets of sizes n and m with similarity t share an
     element among the first n - ceil(t n) + 1 of the one and m - ceil(t m) + 1 of the other.
+    Shingles without a frequency are in one row only; they stand first and need not be listed.
     """
     t = threshold / 100.0
-    ordered = (keyed_join(hashed, freq, ["h"]).groupBy("id")
-               .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s")))  # bounded by the row's own text
     n = F.size("s")
-    keep = n - F.ceil(n * F.lit(t) - F.lit(1e-9)).cast("int") + 1
-    return ordered.select("id", n.alias("n"), F.explode(F.slice("s", F.lit(1), keep)).alias("e")) \
+    sized = sets.select("id", n.alias("n"), F.explode("s").alias("h"))
+    ordered = (keyed_join(sized, freq, ["h"]).groupBy("id")
+               .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s")))  # bounded by the row's own text
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("s"))
+    return ordered.withColumn("keep", keep).filter("keep > 0").select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("keep"))).alias("e")) \
         .select("id", "n", "e.h")
 
 
-def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Exact similarity of candidate pairs, from the whole texts."""
-    a = left.select(F.col("id").alias("src"), F.col("text").alias("ta"))
-    b = right.select(F.col("id").alias("dst"), F.col("text").alias("tb"))
-    both = keyed_join(keyed_join(pairs, a, ["src"]), b, ["dst"])
-    # explode keeps the filter from computing the similarity a second time
-    sim = F.explode(F.array(jaccard(shingles(F.col("ta"), k), shingles(F.col("tb"), k))))
-    return (both.select("src", "dst", sim.alias("similarity"))
-            .filter(F.col("similarity") >= threshold - 1e-9).select("src", "dst", "similarity"))
-
-
-def _distinct_texts(df: DataFrame, text: str, k: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """Texts of the first row of every class, and the links from it to its copies."""
-    df = spread(df.select(key, text), key)
-    classes = _classes(df, key, text, k)
-    copies = classes.filter(F.col("id") != F.col("first")).select(
-        F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(100.0).alias("similarity"))
-    firsts = classes.select(F.col("first").alias("id")).distinct()
-    return keyed_join(df.select(F.col(key).alias("id"), F.col(text).alias("text")), firsts, ["id"]), copies
+def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Similarity of candidate pairs, from the whole sets of hashes."""
+    a = left.select(F.col("id").alias("src"), F.col("s").alias("sa"))
+    b = right.select(F.col("id").alias("dst"), F.col("s").alias("sb"))
+    both = pairs.join(a, "src").join(b, "dst").withColumn("k", F.size(F.array_intersect("sa", "sb")).cast("double"))
+    sim = F.lit(100.0) * F.col("k") / (F.size("sa") + F.size("sb") - F.col("k"))
+    return both.select("src", "dst", sim.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
 
 
-def _cells(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _cells(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, n, h): prefix shingles that at least two rows have."""
-    hashed = _hashed(texts, k)
-    freq = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    cells = materialize(_prefixes(hashed, freq, threshold))
+    freq = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    cells = materialize(_prefixes(sets, freq, threshold))
     shared = cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     return materialize(keyed_join(cells, shared.select("h"), ["h"]))
 
@@ -112,37 +109,42 @@ def _meet(cells: DataFrame, threshold: float, *extra: str) -> DataFrame:
 
 
 def near_dup_pairs(df: DataFrame, text: str, threshold: float = 90.0, shingle: int = 5,
-                   mode: str = "exact", key: str = "id", bands: int = 16, rows_per_band: int = 4) -> DataFrame:
-    """(src, dst, similarity), src first; see the module text for how copies are listed.
+                   mode: str = "exact", key: str = "id", bands: int = 16, rows_per_band: int = 4,
+                   order: str | None = None) -> DataFrame:
+    """(src, dst, similarity); see the module text for how copies are listed.
+
+    ``order`` is the scan order that decides which row stands for its copies (default: the key).
+    Pairs of distinct sets have the smaller key as ``src``; pairs of copies have the first row as ``src``.
 
     ``exact`` joins on rare-shingle prefixes and finds every pair of distinct sets.  ``minhash``
     proposes, per band of min-hashes, each row with the first row of its bucket, which is
-    linear in the rows but may miss pairs.  Both verify against the whole texts.  For clusters
+    linear in the rows but may miss pairs.  Both verify against the whole sets.  For clusters
     of a corpus with huge families of near copies use ``near_dup_links``.
     """
     if not 0 < threshold <= 100:
         raise ValueError("threshold must be in (0, 100]")
-    texts, copies = _distinct_texts(df, text, shingle, key)
+    rows = _sets(df, key, text, shingle, order)
+    classes = _classes(rows)
+    sets = _distinct_sets(rows, classes)
     if mode == "minhash":
-        found = _minhash_candidates(texts, shingle, bands, rows_per_band)
+        found = _minhash_candidates(sets, bands, rows_per_band)
     else:
-        found = _meet(_cells(texts, shingle, threshold), threshold)
-    return _verify(found, texts, texts, shingle, threshold).unionByName(copies)
+        found = _meet(_cells(sets, threshold), threshold)
+    return _verify(found, sets, sets, threshold).unionByName(_copies(classes))
 
 
 def near_dup_links(df: DataFrame, text: str, threshold: float = 90.0, shingle: int = 5, key: str = "id",
-                   hot_bucket: int = 1000, star_rounds: int = 3) -> DataFrame:
+                   star_rounds: int = 2) -> DataFrame:
     """Pairs whose connected components are those of all near-duplicate pairs, but far fewer of them.
 
-    Where many rows share a prefix shingle, each round compares them with one hub of their
-    bucket, which is linear, and merges what matches.  Pairs inside a component need no
-    comparison any more, and buckets left with one component vanish; what remains is compared
-    in full, so nothing is missed.
+    Each round compares the rows that share a prefix shingle with one hub of that shingle, which is
+    linear, and merges what matches.  Pairs inside a component need no comparison any more, and
+    shingles left with one component vanish; what remains is compared in full, so nothing is missed.
     """
-    texts, copies = _distinct_texts(df, text, shingle, key)
-    cells = _cells(texts, shingle, threshold)
-    if largest_group(cells, ["h"]) <= hot_bucket:
-        return _verify(_meet(cells, threshold), texts, texts, shingle, threshold).unionByName(copies)
+    rows = _sets(df, key, text, shingle)
+    classes = _classes(rows)
+    sets = _distinct_sets(rows, classes)
+    cells = _cells(sets, threshold)
     links = None
     tagged = cells.withColumn("component", F.col("id"))
     for r in range(star_rounds):
@@ -152,7 +154,7 @@ def near_dup_links(df: DataFrame, text: str, threshold: float = 90.0, shingle: i
                  .select(F.least("id", "hub.id").alias("src"), F.greatest("id", "hub.id").alias("dst"),
                          F.col("n").alias("na"), F.col("hub.n").alias("nb"))
                  .filter(_close(threshold)).select("src", "dst").distinct())
-        new = materialize(_verify(found, texts, texts, shingle, threshold))
+        new = materialize(_verify(found, sets, sets, threshold))
         links = new if links is None else links.unionByName(new)
         labels = connected_components(links)
         tagged = (keyed_join(cells, labels, ["id"], "left")
@@ -160,49 +162,67 @@ def near_dup_links(df: DataFrame, text: str, threshold: float = 90.0, shingle: i
         mixed = (tagged.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                  .filter("lo <> hi").select("h"))
         tagged = materialize(keyed_join(tagged, mixed, ["h"]))
-    rest = _verify(_meet(tagged, threshold, "component"), texts, texts, shingle, threshold)
-    return links.unionByName(rest).unionByName(copies)
+    rest = _verify(_meet(tagged, threshold, "component"), sets, sets, threshold)
+    return links.unionByName(rest).unionByName(_copies(classes))
 
 
-def _minhash_candidates(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    base = texts.select("id", F.transform(shingles(F.col("text"), k), lambda s: F.xxhash64(s)).alias("s")).filter(F.size("s") > 0)
+def _minhash_candidates(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[
         F.array_min(F.transform("s", lambda h, i=b * rows + r: F.xxhash64(h, F.lit(i)))) for r in range(rows)
     ]).alias("bucket")) for b in range(bands)])
-    cells = base.select("id", F.inline(keys))
+    cells = sets.select("id", F.inline(keys))
     head = cells.groupBy("band", "bucket").agg(F.min("id").alias("src"))
     return (keyed_join(cells, head, ["band", "bucket"]).filter(F.col("src") < F.col("id"))
             .select("src", F.col("id").alias("dst")).distinct())
 
 
+def _class_matches(rows: DataFrame, classes: DataFrame, ref_rows: DataFrame, ref_classes: DataFrame, threshold: float) -> DataFrame:
+    """(first, ref_first, similarity) of every pair of sets, one of each side, that reaches the threshold."""
+    new, old = _distinct_sets(rows, classes), _distinct_sets(ref_rows, ref_classes)
+    count = lambda side, name: side.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias(name))
+    # shingles that one side lacks never match and stand first in the shared order
+    freq = materialize(count(new, "a").join(count(old, "b"), "h").select("h", (F.col("a") * F.col("b")).alias("df")))
+    a = _prefixes(new, freq, threshold).select(F.col("id").alias("src"), F.col("n").alias("na"), "h")
+    b = _prefixes(old, freq, threshold).select(F.col("id").alias("dst"), F.col("n").alias("nb"), "h")
+    found = a.join(b, "h").filter(_close(threshold)).select("src", "dst").distinct()
+    return _verify(found, new, old, threshold).select(F.col("src").alias("first"), F.col("dst").alias("ref_first"), "similarity")
+
+
 def max_similarity_to_ref(df: DataFrame, ref: DataFrame, text: str, shingle: int = 5, threshold: float = 90.0,
                           key: str = "id", ref_key: str = "ref_id") -> DataFrame:
     """Best match of every row in a reference set, for rows that reach the threshold.
 
     Equal shingle sets are compared once on both sides; ties go to the first reference row.
     """
-    df = spread(df.select(key, text), key)
-    classes = _classes(df, key, text, shingle)
-    ref_classes = _classes(ref, ref_key, text, shingle)
-    new = keyed_join(df.select(F.col(key).alias("id"), F.col(text).alias("text")),
-                     classes.select(F.col("first").alias("id")).distinct(), ["id"])
-    old = keyed_join(ref.select(F.col(ref_key).alias("id"), F.col(text).alias("text")),
-                     ref_classes.select(F.col("first").alias("id")).distinct(), ["id"])
-    new_h, old_h = _hashed(new, shingle), _hashed(old, shingle)
-    # shingles that one side lacks never match; they take frequency 0 in the shared order
-    freq = (new_h.groupBy("h").agg(F.count(F.lit(1)).alias("a"))
-            .join(old_h.groupBy("h").agg(F.count(F.lit(1)).alias("b")), "h", "full")
-            .select("h", F.coalesce(F.col("a") * F.col("b"), F.lit(0)).alias("df")))
-    freq = materialize(freq)
-    a = _prefixes(new_h, freq, threshold).select(F.col("id").alias("src"), F.col("n").alias("na"), "h")
-    b = _prefixes(old_h, freq, threshold).select(F.col("id").alias("dst"), F.col("n").alias("nb"), "h")
-    found = a.join(b, "h").filter(_close(threshold)).select("src", "dst").distinct()
-    best = (_verify(found, new, old, shingle, threshold).groupBy(F.col("src").alias("first"))
+    rows, ref_rows = _sets(df, key, text, shingle), _sets(ref, ref_key, text, shingle)
+    classes, ref_classes = _classes(rows), _classes(ref_rows)
+    best = (_class_matches(rows, classes, ref_rows, ref_classes, threshold).groupBy("first")
             .agg(F.max("similarity").alias("similarity"),
-                 F.min_by("dst", F.struct(-F.col("similarity"), F.col("dst"))).alias("best_ref")))
+                 F.min_by("ref_first", F.struct(-F.col("similarity"), F.col("ref_first"))).alias("best_ref")))
     return keyed_join(classes, best, ["first"]).select("id", "best_ref", "similarity")
 
 
+def matches_to_ref(df: DataFrame, ref: DataFrame, text: str, by: str | None = None, shingle: int = 5, threshold: float = 90.0,
+                   key: str = "id", ref_key: str = "ref_id") -> DataFrame:
+    """All matches of every row in a reference set that reach the threshold, copies included.
+
+    (id, ref_id, similarity) per matching reference row, or, with ``by``, (id, ``by``, similarity): the best
+    similarity per value of that column, which is what a split decision needs and stays small however
+    many copies a reference row has.
+    """
+    rows, ref_rows = _sets(df, key, text, shingle), _sets(ref, ref_key, text, shingle)
+    classes, ref_classes = _classes(rows), _classes(ref_rows)
+    found = _class_matches(rows, classes, ref_rows, ref_classes, threshold)
+    members = ref_classes.select(F.col("id").alias("ref_id"), F.col("first").alias("ref_first"))
+    if by is None:
+        listed = found.join(members, "ref_first").select("first", "ref_id", "similarity")
+        return classes.join(listed, "first").select("id", "ref_id", "similarity")
+    named = keyed_join(members, ref.select(F.col(ref_key).alias("ref_id"), F.col(by)), ["ref_id"])
+    values = named.select("ref_first", by).distinct()
+    listed = found.join(values, "ref_first").groupBy("first", by).agg(F.max("similarity").alias("similarity"))
+    return classes.join(listed, "first").select("id", by, "similarity")
+
+
 def near_dup_clusters(df: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
     """(id, cluster, size): connected components of the pairs, single rows included."""
     labels = connected_components(pairs, df.select(F.col(key).alias("id")))
@@ -225,13 +245,15 @@ def cluster_representative(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.min("id").alias("representative"))
 
 
-def greedy_keep_first(df: DataFrame, pairs: DataFrame, order: str, key: str = "id", max_rounds: int = 1000) -> DataFrame:
+def greedy_keep_first(df: DataFrame, pairs: DataFrame, order: str, key: str = "id") -> DataFrame:
     """Rows a scan in ``order`` keeps when it drops every row near an already kept one.
 
     Each round keeps the rows without an undecided earlier neighbour and drops the neighbours
     of kept rows, which is the sequential result without the sequence.  A later row with
-    similarity 100 to an earlier one is never kept.
+    similarity 100 to an earlier one is never kept.  Rounds go on until all is decided; each
+    writes its own drops only.
     """
+    spark = df.sparkSession
     pos = df.select(F.col(key).alias("id"), F.col(order).alias("pos"))
     e = keyed_join(keyed_join(pairs, pos.select(F.col("id").alias("src"), F.col("pos").alias("ps")), ["src"]),
                    pos.select(F.col("id").alias("dst"), F.col("pos").alias("pd")), ["dst"])
@@ -239,28 +261,27 @@ def greedy_keep_first(df: DataFrame, pairs: DataFrame, order: str, key: str = "i
     cols = {"a": F.when(flip, F.col("dst")).otherwise(F.col("src")), "b": F.when(flip, F.col("src")).otherwise(F.col("dst"))}
     same = F.col("similarity") >= 100.0 if "similarity" in pairs.columns else F.lit(False)
     edges = materialize(e.select(cols["a"].alias("a"), cols["b"].alias("b"), same.alias("same")))
-    dropped = edges.filter("same").select(F.col("b").alias("id")).distinct()
+    path = f"{shared_dir(spark)}/tallyforge-{uuid.uuid4().hex}"
+    copies = edges.filter("same").select(F.col("b").alias("id")).distinct()
+    copies.write.parquet(path)
     live = materialize(edges.filter("not same").select("a", "b").distinct()
-                       .join(dropped.withColumnRenamed("id", "a"), "a", "left_anti")
-                       .join(dropped.withColumnRenamed("id", "b"), "b", "left_anti"))
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+                       .join(copies.withColumnRenamed("id", "a"), "a", "left_anti")
+                       .join(copies.withColumnRenamed("id", "b"), "b", "left_anti"))
+    while not live.isEmpty():
         kept = (live.select(F.col("a").alias("id")).distinct()
                 .join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
         out = materialize(live.join(kept.withColumnRenamed("id", "a"), "a", "left_semi")
                           .select(F.col("b").alias("id")).distinct())
-        dropped = materialize(dropped.unionByName(out))
+        out.write.mode("append").parquet(path)
         live = materialize(live.join(kept.withColumnRenamed("id", "a"), "a", "left_anti")
                            .join(out.withColumnRenamed("id", "a"), "a", "left_anti")
                            .join(out.withColumnRenamed("id", "b"), "b", "left_anti"))
-    else:
-        raise RuntimeError(f"keep-first did not settle in {max_rounds} rounds")
+    dropped = spark.read.schema(copies.schema).parquet(path)
     return df.join(dropped.withColumnRenamed("id", key), key, "left_anti")
 
 
-def leader_clustering(df: DataFrame, pairs: DataFrame, order: str, key: str = "id", max_rounds: int = 60) -> DataFrame:
-    """(id, leader): every row joins the root of its first earlier match, by pointer jumping."""
+def leader_clustering(df: DataFrame, pairs: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """(id, leader): every row joins the root of its first earlier match, by pointer jumping until none moves."""
     pos = df.select(F.col(key).alias("id"), F.col(order).alias("pos"))
     e = keyed_join(keyed_join(pairs.select("src", "dst"), pos.select(F.col("id").alias("src"), F.col("pos").alias("ps")), ["src"]),
                    pos.select(F.col("id").alias("dst"), F.col("pos").alias("pd")), ["dst"])
@@ -269,13 +290,13 @@ def leader_clustering(df: DataFrame, pairs: DataFrame, order: str, key: str = "i
     up = e.select(F.when(flip, at("pd", "dst")).otherwise(at("ps", "src")).alias("first"),
                   F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("id"))
     parent = materialize(up.groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.at").alias("leader")))
-    for _ in range(max_rounds):
+    moving = True
+    while moving:
         jump = parent.select(F.col("id").alias("leader"), F.col("leader").alias("up"))
         moved = materialize(keyed_join(parent, jump, ["leader"], "left")
                             .select("id", F.coalesce("up", "leader").alias("leader"), F.col("up").isNotNull().alias("moved")))
         parent = moved.select("id", "leader")
-        if moved.filter("moved").isEmpty():
-            break
+        moving = not moved.filter("moved").isEmpty()
     return (keyed_join(pos.select("id"), parent, ["id"], "left")
             .withColumn("leader", F.coalesce("leader", "id")))
 
@@ -300,20 +321,20 @@ def anti_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return df.join(known.select(key).distinct(), key, "left_anti")
 
 
-def inherit_split(new: DataFrame, matches: DataFrame, holdouts: list[str]) -> DataFrame:
-    """Place new rows by their best match: (id, split, decision).
+def inherit_split(new: DataFrame, matches: DataFrame, holdouts: list[str], least: float = 90.0) -> DataFrame:
+    """Place new rows by their matches: (id, split, decision).
 
-    ``matches`` is ``(id, ref_split, similarity)``.  An identical match drops the row; a
-    near match hands down its split, unless that is a holdout, which drops the row too.
+    ``matches`` is ``(id, ref_split, similarity)`` with *every* match of at least ``least``, as
+    ``matches_to_ref`` gives them.  An identical match drops the row, and so does any near match in a
+    holdout, even if a better one is elsewhere; otherwise the best match hands down its split.
     """
-    best = matches.groupBy("id").agg(
+    best = matches.filter(F.col("similarity") >= least - 1e-9).groupBy("id").agg(
         F.max("similarity").alias("similarity"),
         F.min_by("ref_split", F.struct(-F.col("similarity"), F.col("ref_split"))).alias("ref_split"),
-        F.max((F.col("ref_split").isin(holdouts) & (F.col("similarity") >= 90)).cast("int")).alias("near_holdout"))
+        F.max(F.col("ref_split").isin(holdouts)).alias("near_holdout"))
     out = keyed_join(new, best, ["id"], "left")
-    decision = (F.when(F.col("similarity") >= 100, "drop_identical")
-                .when((F.col("similarity") >= 90) & (F.col("near_holdout") == 1), "drop_holdout")
-                .when(F.col("similarity") >= 90, "inherit").otherwise("new"))
+    decision = (F.when(F.col("similarity").isNull(), "new").when(F.col("similarity") >= 100, "drop_identical")
+                .when(F.col("near_holdout"), "drop_holdout").otherwise("inherit"))
     return out.withColumn("decision", decision).select(
         *new.columns, F.when(F.col("decision") == "inherit", F.col("ref_split")).alias("split"), "decision")
 

@@ -10,30 +10,53 @@ from .registry import big, query, rounded, table
 
 THR = 50.0
 
-SETS = """w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[^ \\n]+') AS ws FROM documents),
-  sh AS (SELECT DISTINCT id, list_aggregate(list_slice(ws, i, i + 4), 'string_agg', ' ') AS s
-         FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+WORD = D.WORD
+#: Distinct five-word shingles of lower-cased texts; all the words of a shorter text; ``POS`` is the scan order.
+POS = "md5('scan|' || {id})"
+
+
+def shingle_sql(table: str, key: str) -> str:
+    return f"""(SELECT DISTINCT id, s FROM (
+    SELECT id, list_aggregate(list_slice(ws, i, i + 4), 'string_agg', ' ') AS s
+    FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM (SELECT {key} AS id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM {table}) WHERE len(ws) >= 5)
+    UNION ALL SELECT id, len(ws) || '|' || coalesce(array_to_string(ws, ' '), '')
+    FROM (SELECT {key} AS id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM {table}) WHERE len(ws) < 5))"""
+
+
+def sets_sql(order: str) -> str:
+    return f"""sh AS {shingle_sql("documents", "doc_id")},
   sets AS (SELECT id, list_sort(list(s)) AS s, count(*) AS n FROM sh GROUP BY id),
-  cls AS (SELECT id, s, n, min(id) OVER (PARTITION BY s) AS first FROM sets),
+  cls AS (SELECT id, s, n, first_value(id) OVER (PARTITION BY s ORDER BY {order}, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first FROM sets),
   firsts AS (SELECT id, s, n FROM cls WHERE id = first)"""
-PAIRS = f"""{SETS},
+
+
+def pairs_sql(thr: float, order: str = "id") -> str:
+    return f"""{sets_sql(order)},
   fsh AS (SELECT sh.id, sh.s, n FROM sh JOIN firsts USING (id)),
   hits AS (SELECT a.id AS src, b.id AS dst, count(*) AS k, max(a.n) AS na, max(b.n) AS nb
            FROM fsh a JOIN fsh b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
   pairs AS (SELECT src, dst, 100.0::DOUBLE * k / (na + nb - k) AS similarity FROM hits
-            WHERE 100.0::DOUBLE * k / (na + nb - k) >= {{thr}} - 1e-9
+            WHERE 100.0::DOUBLE * k / (na + nb - k) >= {thr} - 1e-9
             UNION ALL SELECT first, id, 100.0 FROM cls WHERE id <> first)"""
 
 
+SETS = sets_sql("id")
+
+
 def documents(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def pairs(spark, sf, threshold=THR):
-    return D.near_dup_pairs(documents(spark, sf), "text", threshold)
+def scanned(spark, sf):
+    """Documents with a scan order that is unlike the id."""
+    return documents(spark, sf).withColumn("pos", F.md5(F.concat(F.lit("scan|"), F.col("id").cast("string"))))
+
 
+def pairs(spark, sf, threshold=THR, order=None):
+    return D.near_dup_pairs(scanned(spark, sf), "text", threshold, order=order)
 
-@query("near_dup_pairs", f"WITH {PAIRS.format(thr=90)} SELECT src, dst, round(similarity, 6) AS similarity FROM pairs")
+
+@query("near_dup_pairs", f"WITH {pairs_sql(90)} SELECT src, dst, round(similarity, 6) AS similarity FROM pairs")
 def near_dup_pairs(spark, sf):
     return rounded(pairs(spark, sf, 90.0), "similarity")
 
@@ -43,9 +66,7 @@ def near_dup_pairs_minhash(spark, sf):
     return rounded(D.near_dup_pairs(documents(spark, sf), "text", 90.0, mode="minhash"), "similarity")
 
 
-@query("max_similarity_to_ref", f"""WITH {SETS}, bw AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[^ \\n]+') AS ws FROM benchmark),
-  bs AS (SELECT DISTINCT id, list_aggregate(list_slice(ws, i, i + 4), 'string_agg', ' ') AS s
-         FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM bw WHERE len(ws) >= 5)),
+@query("max_similarity_to_ref", f"""WITH {SETS}, bs AS {shingle_sql("benchmark", "item_id")},
   bn AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
   k AS (SELECT sh.id, bs.id AS ref, count(*) AS k FROM sh JOIN bs USING (s) GROUP BY ALL),
   sim AS (SELECT k.id, ref, 100.0::DOUBLE * k / (sets.n + bn.n - k) AS similarity
@@ -57,7 +78,7 @@ def max_similarity_to_ref(spark, sf):
     return rounded(D.max_similarity_to_ref(documents(spark, sf), ref, "text", threshold=1.0), "similarity")
 
 
-REACH = f"""{PAIRS.format(thr=THR)},
+REACH = f"""{pairs_sql(THR)},
   both_ways AS (SELECT src AS a, dst AS b FROM pairs UNION ALL SELECT dst, src FROM pairs),
   walk(a, b) AS (SELECT a, b FROM both_ways UNION SELECT w.a, e.b FROM walk w JOIN both_ways e ON e.a = w.b),
   comp AS (SELECT doc_id AS id, least(doc_id, coalesce(min(b), doc_id)) AS cluster
@@ -92,30 +113,29 @@ def cluster_representative(spark, sf):
     return D.cluster_representative(clusters(spark, sf))
 
 
-# An order that differs from the id inside a set of near copies, but keeps the first copy first.
-@query("greedy_keep_first", f"""WITH RECURSIVE {PAIRS.format(thr=THR)},
-  fp AS (SELECT src, dst FROM pairs WHERE similarity < 100),
-  live AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM (SELECT src AS id FROM fp UNION SELECT dst FROM fp)),
+@query("greedy_keep_first", f"""WITH RECURSIVE {pairs_sql(THR, POS.format(id="id"))},
+  fp AS (SELECT CASE WHEN {POS.format(id="src")} < {POS.format(id="dst")} THEN src ELSE dst END AS a,
+                CASE WHEN {POS.format(id="src")} < {POS.format(id="dst")} THEN dst ELSE src END AS b FROM pairs WHERE similarity < 100),
+  live AS (SELECT id, row_number() OVER (ORDER BY {POS.format(id="id")}) AS r FROM (SELECT a AS id FROM fp UNION SELECT b FROM fp)),
   scan AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL
-    SELECT l.r, CASE WHEN EXISTS (SELECT 1 FROM fp WHERE fp.dst = l.id AND list_contains(s.kept, fp.src)) THEN s.kept
+    SELECT l.r, CASE WHEN EXISTS (SELECT 1 FROM fp WHERE fp.b = l.id AND list_contains(s.kept, fp.a)) THEN s.kept
                      ELSE list_append(s.kept, l.id) END FROM scan s JOIN live l ON l.r = s.r + 1),
   fin AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM scan ORDER BY r DESC LIMIT 1))
   SELECT doc_id AS id FROM documents
   WHERE doc_id NOT IN (SELECT id FROM cls WHERE id <> first)
     AND (doc_id NOT IN (SELECT id FROM live) OR doc_id IN (SELECT id FROM fin))""")
 def greedy_keep_first(spark, sf):
-    docs = documents(spark, sf).select("id")
-    return D.greedy_keep_first(docs.withColumn("pos", F.col("id")), pairs(spark, sf), "pos").select("id")
+    return D.greedy_keep_first(scanned(spark, sf).select("id", "pos"), pairs(spark, sf, order="pos"), "pos").select("id")
 
 
-@query("leader_clustering", f"""WITH RECURSIVE {PAIRS.format(thr=THR)},
-  up AS (SELECT dst AS id, min(src) AS parent FROM pairs GROUP BY dst),
+@query("leader_clustering", f"""WITH RECURSIVE {pairs_sql(THR, POS.format(id="id"))},
+  ends AS (SELECT src AS a, dst AS b FROM pairs UNION ALL SELECT dst, src FROM pairs),
+  up AS (SELECT b AS id, arg_min(a, ({POS.format(id="a")}, a)) AS parent FROM ends WHERE {POS.format(id="a")} < {POS.format(id="b")} GROUP BY b),
   chase AS (SELECT id, parent AS leader FROM up UNION ALL
             SELECT c.id, u.parent FROM chase c JOIN up u ON u.id = c.leader)
-  SELECT doc_id AS id, coalesce(min(leader), doc_id) AS leader FROM documents LEFT JOIN chase ON id = doc_id GROUP BY doc_id""")
+  SELECT doc_id AS id, coalesce(arg_min(leader, {POS.format(id="leader")}), doc_id) AS leader FROM documents LEFT JOIN chase ON id = doc_id GROUP BY doc_id""")
 def leader_clustering(spark, sf):
-    docs = documents(spark, sf).select("id").withColumn("pos", F.col("id"))
-    return D.leader_clustering(docs, pairs(spark, sf), "pos")
+    return D.leader_clustering(scanned(spark, sf).select("id", "pos"), pairs(spark, sf, order="pos"), "pos")
 
 
 @query("exact_dedup", """SELECT doc_id, source, n_chars, sha256(text) AS sha256, count(*) OVER (PARTITION BY text) AS copies
@@ -131,22 +151,36 @@ def anti_known(spark, sf):
 
 
 # Documents divisible by 5 are an earlier version; those with a source that ends in 5 are its holdout.
-@query("inherit_split", f"""WITH {SETS}, osh AS (SELECT sh.id, sh.s, n FROM sh JOIN sets USING (id)),
+MATCHES = f"""WITH {SETS}, osh AS (SELECT sh.id, sh.s, n FROM sh JOIN sets USING (id)),
   m AS (SELECT a.id, b.id AS ref, 100.0::DOUBLE * count(*) / (max(a.n) + max(b.n) - count(*)) AS similarity
-        FROM osh a JOIN osh b ON a.s = b.s WHERE a.id % 5 <> 0 AND b.id % 5 = 0 GROUP BY ALL),
-  best AS (SELECT id, arg_min(ref, (-similarity, ref)) AS ref, max(similarity) AS similarity FROM m WHERE similarity >= 90 - 1e-9 GROUP BY id),
-  d AS (SELECT doc_id AS id, similarity, CASE WHEN (SELECT source FROM documents r WHERE r.doc_id = ref) LIKE '%5'
-        THEN 'holdout' ELSE 'train' END AS ref_split FROM documents LEFT JOIN best ON id = doc_id WHERE doc_id % 5 <> 0)
-  SELECT id, CASE WHEN similarity < 100 AND ref_split = 'train' THEN ref_split END AS split,
+        FROM osh a JOIN osh b ON a.s = b.s WHERE a.id % 5 <> 0 AND b.id % 5 = 0 GROUP BY ALL)"""
+
+
+def versions(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    old = docs.filter("id % 5 = 0").withColumnRenamed("id", "ref_id")
+    split = F.when(F.col("source").endswith("5"), "holdout").otherwise("train")
+    return docs.filter("id % 5 <> 0"), old.withColumn("ref_split", split)
+
+
+@query("matches_to_ref", f"""{MATCHES} SELECT id, ref AS ref_id, round(similarity, 6) AS similarity FROM m WHERE similarity >= 50 - 1e-9""")
+def matches_to_ref(spark, sf):
+    new, old = versions(spark, sf)
+    return rounded(D.matches_to_ref(new, old, "text", threshold=50.0), "similarity")
+
+
+@query("inherit_split", f"""{MATCHES},
+  r AS (SELECT m.id, similarity, CASE WHEN source LIKE '%5' THEN 'holdout' ELSE 'train' END AS ref_split
+        FROM m JOIN documents d ON d.doc_id = ref WHERE similarity >= 50 - 1e-9),
+  best AS (SELECT id, max(similarity) AS similarity, bool_or(ref_split = 'holdout') AS held, arg_min(ref_split, (-similarity, ref_split)) AS ref_split FROM r GROUP BY id),
+  d AS (SELECT doc_id AS id, similarity, held, ref_split FROM documents LEFT JOIN best ON id = doc_id WHERE doc_id % 5 <> 0)
+  SELECT id, CASE WHEN similarity < 100 AND NOT held THEN ref_split END AS split,
          CASE WHEN similarity IS NULL THEN 'new' WHEN similarity >= 100 THEN 'drop_identical'
-              WHEN ref_split = 'holdout' THEN 'drop_holdout' ELSE 'inherit' END AS decision FROM d""")
+              WHEN held THEN 'drop_holdout' ELSE 'inherit' END AS decision FROM d""")
 def inherit_split(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    new, old = docs.filter("id % 5 <> 0"), docs.filter("id % 5 = 0")
-    best = D.max_similarity_to_ref(new, old.withColumnRenamed("id", "ref_id"), "text", threshold=90.0)
-    splits = old.select(F.col("id").alias("best_ref"),
-                        F.when(F.col("source").endswith("5"), "holdout").otherwise("train").alias("ref_split"))
-    return D.inherit_split(new.select("id"), best.join(splits, "best_ref"), ["holdout"])
+    new, old = versions(spark, sf)
+    matches = D.matches_to_ref(new, old, "text", by="ref_split", threshold=50.0)
+    return D.inherit_split(new.select("id"), matches, ["holdout"], least=50.0)
 
 
 @query("provenance_join", """WITH log AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS src FROM orders GROUP BY o_custkey)
