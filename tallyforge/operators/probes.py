@@ -114,13 +114,13 @@ def majority_from_label(df: DataFrame, target: str, label: str) -> DataFrame:
     return per.agg(ratio(F.sum("best"), F.sum("n")).alias("accuracy"), F.count(F.lit(1)).alias("n_labels"))
 
 
-def pair_link_probe(vectors: DataFrame, pairs: DataFrame, dim: int, threshold: float = 0.5, max_pairs: int = 200,
+def pair_link_probe(vectors: DataFrame, pairs: DataFrame, dim: int, threshold: float = 0.5, max_pairs: int | None = None,
                     seed: int = 42, iterations: int = 30) -> DataFrame:
     """Predicted links of node pairs from their concatenated vectors, learned from weak labels.
 
     ``vectors`` is ``(graph, i, vector)``, ``pairs`` ``(graph, i, j, label)`` as given by
-    ``negative_pair_sampling``.  Per graph the ``max_pairs`` best candidates above the
-    threshold are returned, as many as the linking rule itself allows.
+    ``negative_pair_sampling``.  All candidates above the threshold are returned, or the
+    ``max_pairs`` best of each graph if that is given.
     """
     a = vectors.select("graph", "i", F.col("vector").alias("va"))
     b = vectors.select("graph", F.col("i").alias("j"), F.col("vector").alias("vb"))
@@ -131,4 +131,6 @@ def pair_link_probe(vectors: DataFrame, pairs: DataFrame, dim: int, threshold: f
                                          seed=seed, maxIter=iterations)
     scored = net.fit(data).transform(data).withColumn("p", vector_to_array("probability")[1])
     links = scored.filter(F.col("p") > threshold).select("graph", "i", "j", "label", "p")
+    if max_pairs is None:
+        return links
     return first_rows(links, ["graph"], [F.col("p").desc(), F.col("i").asc(), F.col("j").asc()], max_pairs)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.order import hash_index, hash_key
-from ..scale import Carry, first_rows, keyed_join, plan_bytes, prefix_scan, ranked, setting
+from ..scale import Carry, first_rows, keyed_join, materialize, plan_bytes, prefix_scan, ranked, setting
 
 UNIT = ["sample", "unit"]
 
@@ -29,8 +29,8 @@ def density_top_k(units: DataFrame, nodes: DataFrame, k: int, order: str = "unit
     is_call = F.col("api").isNotNull()
     if "mnemonic" in nodes.columns:
         is_call = is_call | (F.col("mnemonic") == "call")
-    dense = nodes.filter(is_call).groupBy("unit").agg(F.count(F.lit(1)).alias("n_calls"))
-    with_n = units.join(dense, "unit", "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0)))
+    dense = nodes.filter(is_call).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_calls"))  # unit names repeat across samples
+    with_n = units.join(dense, UNIT, "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0)))
     return first_rows(with_n, ["sample"], [F.col("n_calls").desc(), F.col(order).asc()], k)
 
 
@@ -284,26 +284,38 @@ def negative_pair_sampling(sizes: DataFrame, positives: DataFrame, ratio: int =
     """Node pairs with weak labels: the graph's positives and ``ratio`` times as many random others.
 
     ``sizes`` is ``(graph, n)``, ``positives`` ``(graph, i, j)``.  A graph without positives
-    gets ``min(4, n)`` negatives; graphs of fewer than two nodes get nothing.  Up to ten tries
-    per wanted negative; tries are numbered and expanded in chunks, so one large graph is
-    spread over tasks.
+    gets ``min(4, n)`` negatives; graphs of fewer than two nodes get nothing, and neither do graphs
+    whose pairs are all positive.  Pairs are drawn with replacement, by numbered tries; the first
+    free ones count.  Graphs that fall short draw again, with twice as many tries, until they have
+    all they want.  Tries are expanded in chunks, so one large graph is spread over tasks.
     """
     graphs = sizes.filter(F.col("n") >= 2)
     pos = keyed_join(positives, graphs, ["graph"]).filter((F.col("i") < F.col("n")) & (F.col("j") < F.col("n")))
+    known = pos.select("graph", "i", "j").distinct()
     counts = pos.groupBy("graph").agg(F.count(F.lit(1)).alias("n_pos"))
-    need = (graphs.join(counts, "graph", "left")
+    used = known.filter("i <> j").groupBy("graph").agg(F.count(F.lit(1)).alias("n_used"))
+    need = (graphs.join(counts, "graph", "left").join(used, "graph", "left")
+            .filter(F.coalesce("n_used", F.lit(0)) < F.col("n") * (F.col("n") - 1))
             .withColumn("n_neg", F.when(F.col("n_pos") > 0, F.col("n_pos") * ratio)
-                        .otherwise(F.least(F.lit(4), F.col("n"))).cast("long")).drop("n_pos"))
-    chunk = 100_000
-    chunks = need.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_neg") * 10 - 1) / chunk))))
-    if plan_bytes(sizes) > setting(sizes, "tallyforge.smallBytes"):
-        chunks = chunks.repartition("graph", "_c")
-    tries = chunks.withColumn("t", F.explode(F.sequence(
-        F.col("_c") * chunk, F.least(F.col("n_neg") * 10, (F.col("_c") + 1) * chunk) - 1)))
-    drawn = tries.select("graph", "n_neg", "t", hash_index(seed, F.col("n"), "graph", "t", F.lit("i")).alias("i"),
-                         hash_index(seed, F.col("n"), "graph", "t", F.lit("j")).alias("j"))
-    free = (drawn.filter(F.col("i") != F.col("j"))
-            .join(pos.select("graph", "i", "j").distinct(), ["graph", "i", "j"], "left_anti"))
-    taken = ranked(free, ["graph"], [F.col("t")], "_rk").filter(F.col("_rk") <= F.col("n_neg"))
-    return (pos.select("graph", "i", "j", F.lit(1).alias("label"))
-            .unionByName(taken.select("graph", "i", "j", F.lit(0).alias("label"))))
+                        .otherwise(F.least(F.lit(4), F.col("n"))).cast("long")).select("graph", "n", "n_neg"))
+    need = materialize(need.filter("n_neg > 0").withColumns({"first": F.lit(0).cast("long"), "stop": F.col("n_neg") * 2, "have": F.lit(0).cast("long")}))
+    taken = None
+    while not need.isEmpty():
+        chunk = 100_000
+        chunks = need.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("stop") - F.col("first") - 1) / chunk))))
+        if plan_bytes(sizes) > setting(sizes, "tallyforge.smallBytes"):
+            chunks = chunks.repartition("graph", "_c")
+        tries = chunks.withColumn("t", F.explode(F.sequence(
+            F.col("first") + F.col("_c") * chunk, F.least(F.col("stop"), F.col("first") + (F.col("_c") + 1) * chunk) - 1)))
+        drawn = tries.select("graph", "n_neg", "have", "t", hash_index(seed, F.col("n"), "graph", "t", F.lit("i")).alias("i"),
+                             hash_index(seed, F.col("n"), "graph", "t", F.lit("j")).alias("j"))
+        free = drawn.filter(F.col("i") != F.col("j")).join(known, ["graph", "i", "j"], "left_anti")
+        new = materialize(ranked(free, ["graph"], [F.col("t")], "_rk").filter(F.col("have") + F.col("_rk") <= F.col("n_neg"))
+                          .select("graph", "i", "j"))
+        taken = new if taken is None else taken.unionByName(new)
+        got = new.groupBy("graph").agg(F.count(F.lit(1)).alias("got"))
+        need = materialize(need.join(got, "graph", "left").withColumn("have", F.col("have") + F.coalesce("got", F.lit(0)))
+                           .filter("have < n_neg").select("graph", "n", "n_neg", F.col("stop").alias("first"),
+                                                          (F.col("stop") * 3 - F.col("first") * 2).alias("stop"), "have"))
+    out = pos.select("graph", "i", "j", F.lit(1).alias("label"))
+    return out if taken is None else out.unionByName(taken.select("graph", "i", "j", F.lit(0).alias("label")))

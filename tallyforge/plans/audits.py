@@ -201,7 +201,8 @@ def evidence_truncation(spark, sf):
   SELECT policy, count(*) AS kept, total, round(100.0::DOUBLE * count(*) / total, 6) AS kept_pct
   FROM a JOIN oev USING (sample, unit), t GROUP BY policy, total""")
 def selection_coverage(spark, sf):
-    units, nodes = A.order_units(spark, sf), A.order_nodes(spark, sf)
+    units = A.order_units(spark, sf)
+    nodes = A.order_nodes(spark, sf).join(units, "unit")  # an order has one customer
     out = Q.selection_coverage(order_evidence(spark, sf), {
         "first": S.first_k_units(units, CAP), "density": S.density_top_k(units, nodes, CAP),
         "spread": S.spread_top_k(units, CAP)})

@@ -10,7 +10,8 @@ from . import adapters as A
 from .registry import big, query, rounded, table
 
 COLS = ["f_chars", "n_words", "distinct_ratio", "n_digits", "n_lines"]
-FOLDS = 3
+FOLDS = 5
+TREES = 100
 
 
 def rows(spark, sf):
@@ -24,7 +25,7 @@ def halves(spark, sf):
 
 @query("rf_probe")
 def rf_probe(spark, sf):
-    return rounded(B.rf_probe(*halves(spark, sf), COLS, 20), "score").select("id", "label", "score")
+    return rounded(B.rf_probe(*halves(spark, sf), COLS, TREES), "score").select("id", "label", "score")
 
 
 @query("logreg_probe")
@@ -45,7 +46,7 @@ def folded(spark, sf):
 
 
 def forest(train, test):
-    return B.rf_probe(train, test, COLS, 10)
+    return B.rf_probe(train, test, COLS, TREES)
 
 
 @query("oof_scores")
@@ -61,7 +62,7 @@ def cv_probe(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     train, test = halves(spark, sf)
-    model = B.rf_probe(train, test, COLS, 20, with_model=True)[1]
+    model = B.rf_probe(train, test, COLS, TREES, with_model=True)[1]
     return rounded(B.feature_importance(model, COLS, spark), "importance")
 
 
@@ -77,7 +78,7 @@ def feature_ablation(spark, sf):
 
 @query("group_probe")
 def group_probe(spark, sf):
-    return rounded(B.group_probe(rows(spark, sf), "lang", "label", COLS, 20, "42", 10), "accuracy", "f1")
+    return rounded(B.group_probe(rows(spark, sf), "lang", "label", COLS, 20, "42", TREES), "accuracy", "f1")
 
 
 @query("majority_baseline", """SELECT arg_min(label, (-n, label)) AS majority, round(max(n)::DOUBLE / sum(n), 6) AS accuracy
@@ -95,9 +96,9 @@ def majority_from_label(spark, sf):
 # Vectors of one label are a graph; neighbours by vec_id with close first components are its positives.
 @query("pair_link_probe")
 def pair_link_probe(spark, sf):
-    vec = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("graph"), "vec_id", F.slice("embedding", 1, 8).alias("vector"))
+    vec = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("graph"), "vec_id", F.col("embedding").alias("vector"))
     index = ranked(vec, ["graph"], [F.col("vec_id")], "i", 0).drop("vec_id")
     sizes = index.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
     pos = index.filter(F.col("vector")[0] > 0).select("graph", "i", (F.col("i") + 1).alias("j"))
     pairs = S.negative_pair_sampling(sizes, pos, 3, "42")
-    return rounded(B.pair_link_probe(index, pairs, 8), "p", places=4)
+    return rounded(B.pair_link_probe(index, pairs, 64), "p", places=4)

@@ -27,11 +27,15 @@ def first_k_units(spark, sf):
 DENSE = "SELECT unit, count(*) AS n_calls FROM onodes WHERE api IS NOT NULL GROUP BY unit"
 
 
-@query("density_top_k", f"""WITH {N}, d AS ({DENSE})
-  SELECT sample, unit, coalesce(n_calls, 0) AS n_calls FROM ounits LEFT JOIN d USING (unit)
-  QUALIFY row_number() OVER (PARTITION BY sample ORDER BY coalesce(n_calls, 0) DESC, unit) <= {K}""")
+# Event types are the units here: their names repeat in every sample.
+@query("density_top_k", """WITH u AS (SELECT DISTINCT user_id AS sample, event_type AS unit FROM events),
+  d AS (SELECT user_id AS sample, event_type AS unit, count(*) AS n_calls FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+  SELECT sample, unit, coalesce(n_calls, 0) AS n_calls FROM u LEFT JOIN d USING (sample, unit)
+  QUALIFY row_number() OVER (PARTITION BY sample ORDER BY coalesce(n_calls, 0) DESC, unit) <= 2""")
 def density_top_k(spark, sf):
-    return S.density_top_k(units(spark, sf), A.order_nodes(spark, sf), K)
+    nodes = table(spark, sf, "events").select(F.col("user_id").alias("sample"), F.col("event_type").alias("unit"),
+                                              F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("api"))
+    return S.density_top_k(nodes.select("sample", "unit").distinct(), nodes, 2)
 
 
 SPREAD = f"""SELECT sample, unit FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY unit) - 1 AS p,
@@ -249,7 +253,7 @@ def draw(t: str) -> str:
 @query("negative_pair_sampling", f"""WITH {PAIRS},
   need AS (SELECT s.graph, n, CASE WHEN count(p.i) > 0 THEN count(p.i) * 3 ELSE least(4, n) END AS n_neg
            FROM sizes s LEFT JOIN pos p USING (graph) WHERE n >= 2 GROUP BY s.graph, n),
-  tries AS (SELECT graph, n, n_neg, unnest(range(n_neg * 10)) AS t FROM need),
+  tries AS (SELECT graph, n, n_neg, unnest(range(n_neg * 60 + 200)) AS t FROM need),
   drawn AS (SELECT graph, n_neg, t, {draw('i')}, {draw('j')} FROM tries),
   free AS (SELECT * FROM drawn d WHERE i <> j AND NOT EXISTS (SELECT 1 FROM pos p WHERE p.graph = d.graph AND p.i = d.i AND p.j = d.j))
   SELECT graph, i, j, 1 AS label FROM pos

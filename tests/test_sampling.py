@@ -75,3 +75,18 @@ def test_negative_pairs(spark):
     neg = [r for r in got if r["label"] == 0]
     assert len([r for r in neg if r["graph"] == 3]) == 3 and all(r["i"] != r["j"] for r in neg)
     assert all((r["i"], r["j"]) != (0, 1) for r in neg if r["graph"] == 3)
+
+
+def test_density_counts_a_units_own_calls(spark):
+    nodes = spark.createDataFrame([("a", "func_70", "x")] * 3 + [("b", "func_70", None), ("b", "func_80", "x")], "sample string, unit string, api string")
+    units = nodes.select("sample", "unit").distinct()
+    got = {(r["sample"], r["unit"], r["n_calls"]) for r in S.density_top_k(units, nodes, 1).collect()}
+    assert got == {("a", "func_70", 3), ("b", "func_80", 1)}
+
+
+def test_dense_graphs_get_all_their_negatives(spark):
+    sizes = spark.createDataFrame([("g", 3), ("full", 2), ("none", 5)], "graph string, n long")
+    taken = [(i, j) for i in range(3) for j in range(3) if i != j][:5]
+    pos = spark.createDataFrame([("g", i, j) for i, j in taken] + [("full", 0, 1), ("full", 1, 0)], "graph string, i long, j long")
+    got = S.negative_pair_sampling(sizes, pos, 3, "x").filter("label = 0").groupBy("graph").count().collect()
+    assert {r["graph"]: r["count"] for r in got} == {"g": 15, "none": 4}
