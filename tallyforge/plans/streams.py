@@ -12,7 +12,7 @@ from .sources import new_dir
 
 def events(spark, sf):
     schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/event[s].parquet")  # a pattern takes a file and a folder alike
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -36,7 +36,7 @@ def stream_hourly_activity(spark, sf):
 def stream_exact_dedup(spark, sf):
     folder = new_dir(spark, "dedup")
     rows = events(spark, sf).withColumn("sha256", F.sha2(F.concat_ws("|", "event_type", "user_id", "props"), 256))
-    J.run_batches(J.stream_exact_dedup(rows, "sha256", "30 days").select("sha256"), folder, "append")
+    J.run_batches(J.stream_exact_dedup(rows, "sha256").select("sha256"), folder, "append")
     return J.appended(spark, folder, "sha256 string")
 
 
@@ -46,7 +46,7 @@ def stream_update_vocab(spark, sf):
     folder = new_dir(spark, "vocab")
     tokens = events(spark, sf).select(F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("token"))
     J.stream_update_vocab(tokens, folder)
-    return J.vocab_version(spark, folder, 1)
+    return J.vocab_version(spark, folder)
 
 
 @query("stream_ordered_chain", f"""WITH {A.EVENT_EDGES_SQL}, bounds AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
@@ -59,6 +59,6 @@ def stream_ordered_chain(spark, sf):
         F.col("user_id").alias("sample"), F.concat_ws("|", "user_id", F.date_format(week, "yyyy-MM-dd")).alias("unit"),
         F.lpad(F.col("event_id").cast("string"), 20, "0").alias("node_id"), F.col("event_type").alias("api"), "ts",
         (week + F.expr("interval 7 days")).alias("unit_end"))
-    J.run_batches(J.stream_ordered_chain(rows, A.EVENT_RULES[0], A.WINDOW), folder, "append")
+    J.stream_ordered_chain(rows, A.EVENT_RULES[:1], folder, A.WINDOW)
     strip = lambda c: F.col(c).cast("long").cast("string").alias(c)
     return J.appended(spark, folder, J.CHAIN_OUT).select("sample", "unit", strip("src"), strip("dst"), "technique_id", "confidence")

@@ -6,12 +6,14 @@ output.  State is bounded by a small key set or by a watermark.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.patterns import ordered_chain
+from ..operators.rules import rule_table
 from ..operators.vocab import UNK, update_vocab
+from ..scale import ranked
 
 
 def stream_funnel(stream: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def appended(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def stream_update_vocab(stream: DataFrame, folder: str) -> None:
-    """Grow a vocabulary kept as versions ``folder/vocab/v=<batch>``: version n+1 adds batch n.
+    """Grow a vocabulary: batch n writes its new ``(token, id)`` rows only, to ``folder/vocab/v=<n+1>``.
 
     Ids never change and the writer is single, as batches run one after another; running a
     batch again starts from the version before it and gives the same ids.
@@ -64,79 +66,62 @@ def stream_update_vocab(stream: DataFrame, folder: str) -> None:
 
     def grow(df: DataFrame, batch: int) -> None:
         old = vocab_version(spark, folder, batch)
-        update_vocab(old, df).write.mode("overwrite").parquet(f"{folder}/vocab/v={batch + 1}")
+        new = update_vocab(old, df).join(old.select("token"), "token", "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/vocab/v={batch + 1}")
     query = (stream.writeStream.foreachBatch(grow).option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def vocab_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
+def vocab_version(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """(token, id) after ``version`` batches; after all of them by default."""
+    base = spark.createDataFrame([(UNK, 0)], "token string, id long")
     if version == 0:
-        return spark.createDataFrame([(UNK, 0)], "token string, id long")
-    return spark.read.schema("token string, id long").parquet(f"{folder}/vocab/v={version}")
+        return base
+    rows = spark.read.schema("token string, id long, v long").parquet(f"{folder}/vocab")
+    if version is not None:
+        rows = rows.filter(F.col("v") <= version)
+    return base.unionByName(rows.select("token", "id"))
 
 
 CHAIN_OUT = "sample string, unit string, src string, dst string, technique_id string, confidence string"
-CHAIN_STATE = ("position long, done_ms long, times array<long>, ids array<string>, apis array<string>, "
-               "step int, at long, found array<string>, open boolean")
-
-
-def chain_step(apis: list[str], window: int, min_len: int, technique: str) -> Callable:
-    """State function of one rule: rows wait for the watermark, then move the chain in time order."""
-    import pandas as pd
-
-    def run(key: tuple, batches: Iterator["pd.DataFrame"], state: GroupState) -> Iterator["pd.DataFrame"]:
-        if state.exists:
-            position, done, times, ids, names, step, at, found, is_open = state.get
-            waiting = list(zip(times, ids, names))
-            found = list(found)
-        else:
-            position, done, waiting, step, at, found, is_open = 0, -1, [], 0, -1, [], True
-        end = None
-        if not state.hasTimedOut:
-            for pdf in batches:
-                end = int(pdf["end_ms"].iloc[0])
-                rows = zip(pdf["ts_ms"].tolist(), pdf["node_id"].tolist(), pdf["api"].tolist())
-                waiting.extend(r for r in rows if r[0] > done)  # at or before: too late
-        mark = state.getCurrentWatermarkMs()
-        ready = sorted(r for r in waiting if state.hasTimedOut or r[0] <= mark)
-        waiting = [r for r in waiting if not (state.hasTimedOut or r[0] <= mark)]
-        for ts, node, api in ready:
-            if is_open and step < len(apis) and api == apis[step]:
-                if found and position - at > window:
-                    is_open = False
-                else:
-                    found.append(node)
-                    at, step = position, step + 1
-            position += 1
-            done = max(done, ts)
-        if state.hasTimedOut:
-            state.remove()
-            if len(found) >= max(min_len, 2):
-                kind = "full_chain" if len(found) == len(apis) else "partial_chain"
-                yield pd.DataFrame([(key[0], key[1], a, b, technique, kind) for a, b in zip(found, found[1:])],
-                                   columns=["sample", "unit", "src", "dst", "technique_id", "confidence"])
-            return
-        state.update((position, max(done, mark) if mark > 0 else done, [r[0] for r in waiting], [r[1] for r in waiting],
-                      [r[2] for r in waiting], step, at, found, is_open))
-        if end is not None and end > mark:
-            state.setTimeoutTimestamp(end)
-        elif end is not None:
-            state.setTimeoutTimestamp(mark + 1)
-
-    return run
 
 
-def stream_ordered_chain(stream: DataFrame, rule, window: int = 8, watermark: str = "1 day") -> DataFrame:
-    """Greedy chain edges per unit, emitted once the watermark has passed the unit's end.
+def stream_ordered_chain(stream: DataFrame, rules: Sequence, folder: str, window: int = 8, watermark: str = "1 day") -> None:
+    """Greedy chain edges of all rules, per unit, once the watermark has passed the unit's end.
 
-    ``stream`` is ``(sample, unit, node_id, api, ts, unit_end)``; positions are counted here,
-    in (ts, node_id) order behind the watermark, so arrivals may be out of order within it.
-    State per unit is its chain so far and the rows inside the watermark delay.
+    ``stream`` is ``(sample, unit, node_id, api, ts, unit_end)``.  Each batch files its rows under the day their
+    unit ends and moves the watermark, which trails the latest time seen by ``watermark``.  Units that it
+    passed are read back from their days, put in (ts, node_id) order and matched by the batch operator, so rows may
+    arrive in any order until their unit is closed, and the result does not depend on the batches.  Rows of a closed
+    unit come too late and are left out.  Output goes to ``folder/data``, one partition per batch.
     """
-    rows = stream.withWatermark("ts", watermark).select(
-        F.col("sample").cast("string").alias("sample"), "unit", F.col("node_id").cast("string").alias("node_id"), "api", "ts",
-        F.unix_millis("ts").alias("ts_ms"), F.unix_millis("unit_end").alias("end_ms"))
-    return rows.groupBy("sample", "unit").applyInPandasWithState(
-        chain_step(list(rule.apis), window, rule.min_len, rule.technique_id), CHAIN_OUT, CHAIN_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    spark = stream.sparkSession
+    names = "sample string, unit string, node_id string, api string, ts timestamp, unit_end timestamp"
+
+    def step(df: DataFrame, batch: int) -> None:
+        rows = df.select(F.col("sample").cast("string").alias("sample"), F.col("unit").cast("string").alias("unit"),
+                         F.col("node_id").cast("string").alias("node_id"), "api", "ts", "unit_end")
+        (rows.withColumn("day", F.to_date("unit_end")).write.mode("overwrite").partitionBy("day")
+         .parquet(f"{folder}/rows/batch={batch}"))
+        marks = [r["mark"] for r in spark.read.schema("mark timestamp, batch long").parquet(f"{folder}/marks")
+                 .filter(F.col("batch") < batch).agg(F.max("mark").alias("mark")).collect()] if batch else [None]
+        before = marks[0]
+        seen = rows.agg((F.max("ts") - F.expr(f"interval {watermark}")).alias("mark")).first()["mark"]
+        mark = max((m for m in (before, seen) if m is not None), default=None)
+        spark.createDataFrame([(mark,)], "mark timestamp").write.mode("overwrite").parquet(f"{folder}/marks/batch={batch}")
+        if mark is None:
+            return
+        kept = spark.read.schema(f"{names}, batch long, day date").parquet(f"{folder}/rows").filter(
+            (F.col("day") <= F.lit(mark.date())) & (F.col("unit_end") < F.lit(mark)) & (F.col("batch") <= batch))
+        if before is not None:
+            kept = kept.filter((F.col("day") >= F.lit(before.date())) & (F.col("unit_end") >= F.lit(before)))
+        calls = ranked(kept.select("sample", "unit", "node_id", "api", "ts"), ["sample", "unit"],
+                       [F.col("ts"), F.col("node_id")], "position", 0)
+        found = ordered_chain(calls, rule_table(spark, list(rules)), window)
+        (found.select("sample", "unit", "src", "dst", "technique_id", "confidence").write.mode("overwrite")
+         .parquet(f"{folder}/data/batch={batch}"))
+
+    query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()

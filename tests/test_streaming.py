@@ -45,12 +45,12 @@ def test_chain_equals_batch_with_disorder(spark, tmp_path):
         part.withColumn("unit_end", F.date_trunc("day", "ts") + F.expr("interval 1 day")).coalesce(1) \
             .write.mode("append").parquet(str(tmp_path / "in"))
     full = spark.read.parquet(str(tmp_path / "in"))
-    J.run_batches(J.stream_ordered_chain(feed(spark, str(tmp_path / "in"), full.schema), rule, 8, "1 hour"),
-                  str(tmp_path / "out"), "append")
+    rules = [rule, Rule("Q", "q", CHAIN, apis=("x", "y"))]
+    J.stream_ordered_chain(feed(spark, str(tmp_path / "in"), full.schema), rules, str(tmp_path / "out"), 8, "1 hour")
     got = sorted(map(tuple, J.appended(spark, str(tmp_path / "out"), J.CHAIN_OUT).collect()))
     calls = ranked(full.filter("unit <> 'tail'"), ["sample", "unit"], [F.col("ts"), F.col("node_id")], "position", 0)
     want = sorted((str(r["sample"]), r["unit"], r["src"], r["dst"], r["technique_id"], r["confidence"])
-                  for r in P.ordered_chain(calls, rule_table(spark, [rule]), 8).collect())
+                  for r in P.ordered_chain(calls, rule_table(spark, rules), 8).collect())
     assert want and got == want
 
 
