@@ -25,12 +25,16 @@ def _score(model: PipelineModel, test: DataFrame) -> DataFrame:
 
 
 def rf_probe(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 100, weight: str | None = None,
-             label: str = "label", seed: int = 42, with_model: bool = False):
-    """Random forest; P(class 1) of every test row.  Without a weight column classes are balanced."""
+             label: str = "label", seed: int = 42, with_model: bool = False, bootstrap: bool = True):
+    """Random forest; P(class 1) of every test row.  Without a weight column classes are balanced.
+
+    One tree without ``bootstrap`` is a plain decision tree on all rows.
+    """
     if weight is None:
         train, weight = class_weights_balanced(train, label, "_w"), "_w"
     steps = [VectorAssembler(inputCols=list(features), outputCol="_x"),
-             RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, seed=seed)]
+             RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, seed=seed,
+                                    bootstrap=bootstrap)]
     model = Pipeline(stages=steps).fit(train)
     out = _score(model, test)
     return (out, model) if with_model else out

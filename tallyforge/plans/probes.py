@@ -1,4 +1,8 @@
-"""Queries of the probe models; those that fit a model have no SQL."""
+"""Queries of the probe models.
+
+Fits on real features have no SQL. The ``*_cells`` queries run the same operators on features that are the cells of a
+partition, where the fit has a closed form: a model that can tell the cells apart scores a row with its cell's share.
+"""
 
 from __future__ import annotations
 
@@ -102,3 +106,79 @@ def pair_link_probe(spark, sf):
     pos = index.filter(F.col("vector")[0] > 0).select("graph", "i", (F.col("i") + 1).alias("j"))
     pairs = S.negative_pair_sampling(sizes, pos, 3, "42")
     return rounded(B.pair_link_probe(index, pairs, 64), "p", places=4)
+
+
+# Cells are the remainders of the id by 3; parts are by 5, from another digit of the id's hash order.
+CELLS = ["c1", "c2"]
+CELL_SQL = """c AS (SELECT doc_id AS id, doc_id % 3 AS cell, (doc_id // 3) % 5 AS fold, quality::INT AS label FROM labels),
+  n AS (SELECT f.fold, c.cell, count(*)::DOUBLE AS n, sum(c.label)::DOUBLE AS k FROM c, (SELECT DISTINCT fold FROM c) f
+        WHERE c.fold <> f.fold GROUP BY ALL),
+  s AS (SELECT c.id, c.fold, c.cell, c.label, k / n AS share FROM c JOIN n ON n.fold = c.fold AND n.cell = c.cell)"""
+
+
+def cells(spark, sf):
+    cell = F.col("doc_id") % 3
+    return table(spark, sf, "labels").select(
+        F.col("doc_id").alias("id"), cell.cast("double").alias("cell"), (F.floor(F.col("doc_id") / 3) % 5).alias("fold"),
+        (cell == 1).cast("double").alias("c1"), (cell == 2).cast("double").alias("c2"), F.lit(0.0).alias("flat"),
+        F.col("quality").cast("int").alias("label"))
+
+
+def share_of_cell(train, test):
+    return B.logreg_probe(train, test, CELLS)
+
+
+def parts(spark, sf):
+    rows = materialize(cells(spark, sf))
+    return rows.filter("fold <> 0"), rows.filter("fold = 0")
+
+
+@query("logreg_probe_cells", f"WITH {CELL_SQL} SELECT id, label, round(share, 3) AS score FROM s WHERE fold = 0")
+def logreg_probe_cells(spark, sf):
+    return rounded(share_of_cell(*parts(spark, sf)), "score", places=3).select("id", "label", "score")
+
+
+@query("oof_scores_cells", f"WITH {CELL_SQL} SELECT id, fold, label, round(share, 3) AS score FROM s")
+def oof_scores_cells(spark, sf):
+    return rounded(B.oof_scores(cells(spark, sf), range(5), share_of_cell), "score", places=3).select("id", "fold", "label", "score")
+
+
+@query("cv_probe_cells", f"""WITH {CELL_SQL}, per AS (SELECT p.fold, avg(CASE WHEN p.share > q.share THEN 1.0 WHEN p.share = q.share THEN 0.5 ELSE 0.0 END) AS value
+    FROM s p JOIN s q ON p.fold = q.fold WHERE p.label = 1 AND q.label = 0 GROUP BY p.fold)
+  SELECT fold, round(value, 6) AS value, round(avg(value) OVER (), 6) AS mean, round(stddev_pop(value) OVER (), 6) AS std FROM per""")
+def cv_probe_cells(spark, sf):
+    return rounded(B.cv_probe(cells(spark, sf), range(5), share_of_cell), "value", "mean", "std")
+
+
+@query("feature_ablation_cells", f"""WITH {CELL_SQL},
+  m AS (SELECT 'none' AS dropped, label, cell = 1 AS a, cell = 2 AS b FROM c UNION ALL SELECT 'second', label, cell = 1, false FROM c
+        UNION ALL SELECT 'all', label, false, false FROM c),
+  t AS (SELECT dropped, label, avg(label) OVER (PARTITION BY dropped, a, b) AS share FROM m)
+  SELECT p.dropped, round(avg(CASE WHEN p.share > q.share THEN 1.0 WHEN p.share = q.share THEN 0.5 ELSE 0.0 END), 6) AS value
+  FROM t p JOIN t q ON p.dropped = q.dropped WHERE p.label = 1 AND q.label = 0 GROUP BY p.dropped""")
+def feature_ablation_cells(spark, sf):
+    data = materialize(cells(spark, sf))
+
+    def fit(df, cols):
+        scored = B.logreg_probe(df, df, cols)
+        return M.roc_auc(scored, []).select(F.col("auc").alias("value"))
+    drops = {"second": ["c2"], "all": ["c1", "c2"]}
+    return rounded(X.feature_ablation(data, [*CELLS, "flat"], drops, fit), "value")
+
+
+# A tree weighs the classes alike, so a cell's score is its share after weighting. Leaves side by side that name the same
+# class are merged, so the label here is one that neighbouring cells decide differently.
+@query("rf_probe_cells", """WITH c AS (SELECT doc_id AS id, doc_id % 3 AS cell, (doc_id // 3) % 5 AS fold, ((doc_id % 3 = 1) = (quality = 1))::INT AS label FROM labels),
+  w AS (SELECT label, (SELECT count(*) FROM c WHERE fold <> 0)::DOUBLE / 2 / count(*) AS w FROM c WHERE fold <> 0 GROUP BY label),
+  p AS (SELECT cell, sum(w * label) / sum(w) AS share FROM c JOIN w USING (label) WHERE fold <> 0 GROUP BY cell)
+  SELECT id, label, round(share, 6) AS score FROM c JOIN p USING (cell) WHERE fold = 0""")
+def rf_probe_cells(spark, sf):
+    train, test = (d.withColumn("label", ((F.col("c1") == 1) == (F.col("label") == 1)).cast("int")) for d in parts(spark, sf))
+    return rounded(B.rf_probe(train, test, ["cell"], 1, bootstrap=False), "score").select("id", "label", "score")
+
+
+@query("feature_importance_cells", "SELECT 1 AS rank, 'cell' AS feature, 1.0::DOUBLE AS importance UNION ALL SELECT 2, 'flat', 0.0")
+def feature_importance_cells(spark, sf):
+    train, test = parts(spark, sf)
+    model = B.rf_probe(train, test, ["flat", "cell"], TREES, with_model=True)[1]
+    return rounded(B.feature_importance(model, ["flat", "cell"], spark), "importance")
