@@ -174,11 +174,40 @@ def oriented_auc(spark, sf):
            count(*) OVER (PARTITION BY model, score) AS t FROM valid),
   a AS (SELECT model, sum(rk) FILTER (label = 1) AS r1, count(*) FILTER (label = 1)::DOUBLE AS n1,
         count(*) FILTER (label = 0)::DOUBLE AS n0, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY model),
-  u AS (SELECT model, r1 - n1 * (n1 + 1) / 2 AS u, n1, n0, ties, n1 + n0 AS n FROM a)
-  SELECT model, round(u, 6) AS u, round((u - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z
-  FROM u""")
+  u AS (SELECT model, r1 - n1 * (n1 + 1) / 2 AS u, n1, n0, ties, n1 + n0 AS n FROM a),
+  zs AS (SELECT model, u, (u - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u),
+  -- the normal density, integrated from |z| in 40,000 steps by Simpson's rule
+  tail AS (SELECT model, sum(exp(-x * x / 2) * CASE WHEN i IN (0, 40000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.0005 / 3 / sqrt(2 * pi()) AS q
+           FROM (SELECT model, i, abs(z) + i * 0.0005 AS x FROM zs, (SELECT unnest(range(40001)) AS i)) GROUP BY model)
+  SELECT model, round(u, 6) AS u, round(z, 6) AS z, round(2 * q, 9) AS p_value FROM zs JOIN tail USING (model)""")
 def mann_whitney_u(spark, sf):
-    return rounded(M.mann_whitney_u(A.scores(spark, sf)), "u", "z").drop("p_value")
+    return rounded(rounded(M.mann_whitney_u(A.scores(spark, sf)), "u", "z"), "p_value", places=9)
+
+
+@query("evaluation_report", f"""WITH {S}, t AS (
+    SELECT model, quantile_cont(score, (1.0 - 0.95)::DOUBLE) AS thr FROM valid WHERE label = 1 AND id % 2 = 0 GROUP BY model),
+  e AS (SELECT valid.*, thr, (score >= thr)::INT AS hit FROM valid JOIN t USING (model) WHERE id % 2 = 1),
+  {auc_sql('e', 'model')},
+  k AS (SELECT model, bin, max(thr) AS thr, count(*) FILTER (label = 0) AS n, count(*) FILTER (label = 0 AND hit = 1) AS k,
+               avg(hit) FILTER (label = 1) AS recall, grouping(bin) AS whole FROM e GROUP BY GROUPING SETS ((model), (model, bin)))
+  SELECT model, bin, round(thr, 6) AS thr, n AS n_neg, k AS n_hit, round(k::DOUBLE / n, 6) AS fpr, {{wilson}},
+         CASE WHEN whole = 1 THEN round(recall, 6) END AS recall, CASE WHEN whole = 1 THEN round(auc, 6) END AS auc
+  FROM k JOIN area USING (model) WHERE n > 0""".replace("{wilson}", WILSON))
+def evaluation_report(spark, sf):
+    rows = A.scores(spark, sf)
+    report = M.evaluation_report(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), rounds=ROUNDS, seed=SEED)
+    return rounded(report.drop("ci_low", "ci_high", "rounds_used"), "thr", "fpr", "wilson_low", "wilson_high", "recall", "auc")
+
+
+@query("bootstrap_fpr_at_threshold", f"""WITH {S}, t AS (
+    SELECT quantile_cont(score, (1.0 - 0.95)::DOUBLE) AS thr FROM valid WHERE model = 'a' AND label = 1 AND id % 2 = 0),
+  pool AS (SELECT cluster, label, (score >= thr)::INT AS hit FROM valid, t WHERE model = 'a' AND id % 2 = 1), {boot_sql('pool')},
+  v AS (SELECT b, sum(m * hit)::DOUBLE / sum(m) AS v FROM pool JOIN mult USING (cluster) WHERE label = 0 GROUP BY b)
+  SELECT round(quantile_cont(v, 0.025::DOUBLE), 4) AS ci_low, round(quantile_cont(v, 0.975::DOUBLE), 4) AS ci_high, count(*) AS rounds_used FROM v""")
+def bootstrap_fpr_at_threshold(spark, sf):
+    rows = A.scores(spark, sf).filter("model = 'a'")
+    report = M.evaluation_report(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), rounds=ROUNDS, seed=SEED)
+    return rounded(report.filter("bin IS NULL AND rounds_used IS NOT NULL").select("ci_low", "ci_high", "rounds_used"), "ci_low", "ci_high", places=4)
 
 
 @query("vendor_or_subset_metrics", f"""WITH {S}, tagged AS (

@@ -30,6 +30,10 @@ DEFAULTS = {
 }
 
 
+#: Copies of a hot key's row.
+SALTS = 64
+
+
 def setting(df: DataFrame, key: str) -> int:
     return int(df.sparkSession.conf.get(key, str(DEFAULTS[key])))
 
@@ -98,8 +102,9 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a possibly skewed ``left`` to a ``right`` that has one row per key.
 
-    Small ``right``: broadcast.  Otherwise rows of hot keys, whose number is bounded by
-    rows / hotRows, meet a broadcast of just those keys, and the rest is shuffled.
+    Small ``right``: broadcast.  Otherwise the rest is shuffled, and rows of hot keys are salted: each
+    meets one of ``SALTS`` copies of its key's row, so a hot key is spread over as many tasks.  Only the
+    hot keys themselves, at most rows / hotRows of them, are broadcast, never the rows of ``right``.
     """
     keys = list(keys)
     if may_broadcast(right):
@@ -113,8 +118,10 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
         return left.join(right, keys, how)
     hot = F.broadcast(hot)
     cold = left.join(hot, keys, "left_anti").join(right, keys, how)
-    warm = left.join(hot, keys, "left_semi").join(
-        F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = right.join(hot, keys, "left_semi").withColumn("_salt", salts)
+    warm = (left.join(hot, keys, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+            .join(salted, [*keys, "_salt"], how).drop("_salt"))
     return cold.unionByName(warm)
 
 

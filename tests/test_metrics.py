@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators import metrics as M
 
@@ -52,3 +53,12 @@ def test_p_value(spark):
     rows = [("m", i, i % 2, float(i)) for i in range(40)]
     r = M.mann_whitney_u(spark.createDataFrame(rows, "model string, id long, label int, score double")).first()
     assert r["u"] == 210.0 and r["p_value"] == pytest.approx(0.786762, abs=1e-4)
+
+
+def test_normal_tail_is_that_of_erfc(spark):
+    import math
+    xs = [0.0, 0.3, 1.0, 1.96, 2.9999, 3.0, 4.5, 8.0, 20.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", M._upper_tail(F.col("x")).alias("q")).collect()
+    for r in rows:
+        want = math.erfc(r["x"] / math.sqrt(2)) / 2
+        assert abs(r["q"] - want) <= 1e-9 * want
