@@ -167,7 +167,10 @@ def block_path(codes: np.ndarray, first: int, last: int, model: Model) -> np.nda
 
 
 def decode(lines: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """(conv, idx, state) of coded lines. Only codes, matrices and states are grouped, never texts."""
+    """(conv, idx, state) of coded lines. Only codes, matrices and states are grouped, never texts.
+
+    A transcript's matrices, one per ``BLOCK`` lines, are combined in one task.
+    """
     shared = lines.sparkSession.sparkContext.broadcast(model)
     blocks = (lines.groupBy("conv", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "code"))).alias("x"))
               .select("conv", "block", F.col("x")[0]["idx"].alias("at"), F.transform("x", lambda v: v["code"]).alias("codes")))

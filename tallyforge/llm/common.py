@@ -24,6 +24,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/tallyforge-llm-{uuid.uuid4().hex}"
+        self._fs().mkdirs(self._path(self.base))
         self._fs().deleteOnExit(self._path(self.base))
 
     def _path(self, path: str):

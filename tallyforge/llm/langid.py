@@ -174,11 +174,11 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     s = settings
     rows = (labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
             .filter("label IS NOT NULL AND text IS NOT NULL"))
-    classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
+    classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").limit(MOST_CLASSES + 1).collect()]
     if not classes:
         return None
     if len(classes) > MOST_CLASSES:
-        raise ValueError(f"{len(classes)} labels; a model takes at most {MOST_CLASSES}")
+        raise ValueError(f"a model takes at most {MOST_CLASSES} labels")
     df, docs = document_frequencies(rows, s)
     if not docs:
         return None
@@ -246,10 +246,15 @@ def classify(model: Model | None, spark):
 
 
 def in_training(id_col: Column) -> Column:
-    """Rows that may be learned from: crc32 of the id as text, mod 4, is not 2."""
+    """Rows that may be learned from: crc32 of the id as text, mod 4, is not 2. Rows without an id are not learned from."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def held_out(id_col: Column) -> Column:
+    """Rows kept for measuring: the remainder is 2; false without an id."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def keep_identified(docs: DataFrame, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of at least ``least``; columns unchanged."""
     model = fit(docs.filter(in_training(F.col("doc_id"))), settings)

@@ -143,8 +143,8 @@ def op2_decontaminate(spark, sf_dir):
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(langid.in_training(F.col("doc_id"))))
-    judged = docs.select("doc_id", langid.in_training(F.col("doc_id")).alias("t"), langid.classify(model, spark)(F.col("text")).alias("r"))
-    return judged.select("doc_id", (~F.col("t")).alias("held_out"), F.col("r.lang").alias("lang_pred"), "r.score")
+    judged = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), langid.classify(model, spark)(F.col("text")).alias("r"))
+    return judged.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score")
 
 
 # ------------------------------------------------------------------ 1 nearest neighbours
