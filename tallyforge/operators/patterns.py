@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import Carry, keyed_join, prefix_scan
+from ..scale import Carry, keyed_join, materialize, prefix_scan
 from .rules import CHAIN, FAMILY, SET
 
 UNIT = ["sample", "unit"]
@@ -68,8 +68,7 @@ def _seq(side: str) -> Column:
         "position", F.col("node_id"), F.col("api"), F.lit(side).alias("side"))))
 
 
-def _chains(calls: DataFrame, rules: DataFrame, window: int) -> DataFrame:
-    matched = _chain_calls(calls, rules)
+def _chains(matched: DataFrame, window: int) -> DataFrame:
     near = _stretch(matched, _chain_starts(matched), window)
     return (near.groupBy(*UNIT, "technique_id", "rule_name", "apis", "min_len").agg(_seq("own").alias("seq"))
             .withColumn("found", _chain_fold("seq", window)))
@@ -77,7 +76,11 @@ def _chains(calls: DataFrame, rules: DataFrame, window: int) -> DataFrame:
 
 def ordered_chain(calls: DataFrame, rules: DataFrame, window: int = 8) -> DataFrame:
     """Edges between consecutive steps of each rule's greedy chain."""
-    return (_chains(calls, rules, window)
+    return _chain_edges(_chain_calls(calls, rules), window)
+
+
+def _chain_edges(matched: DataFrame, window: int) -> DataFrame:
+    return (_chains(matched, window)
             .filter(F.size("found") >= F.greatest(F.col("min_len"), F.lit(2)))
             .withColumn("confidence", F.when(F.size("found") == F.size("apis"), "full_chain")
                         .otherwise("partial_chain"))
@@ -121,27 +124,51 @@ def family_sequence(calls: DataFrame, rules: DataFrame, window: int = 8) -> Data
     return _adjacent(_matched_calls(calls, rules, FAMILY), window)
 
 
-def singleton_indicators(calls: DataFrame, pair_edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matched calls whose node takes part in no pair; rules may switch these off."""
-    matched = (_matched_calls(calls, rules, SET).unionByName(_matched_calls(calls, rules, FAMILY))
-               .filter("singleton"))
+def _hits(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Calls matched against the rules of all modes at once, written: every branch starts from here.
+
+    Rules meet the distinct API names first; one pass over the calls then picks up each name's rules.
+    """
+    cols = ["mode", "technique_id", "rule_name", "apis", "min_len", "singleton"]
+    names = materialize(calls.select("api").distinct().filter(F.length("api") > 0))
+    named = rules.filter(F.col("mode") != FAMILY).select(F.explode(F.array_distinct("apis")).alias("api"), *cols).join(names, "api")
+    heads = names.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("api")),
+                                                             lambda i: F.substring("api", F.lit(1), i))))
+    families = rules.filter(F.col("mode") == FAMILY).withColumn("prefix", F.explode("prefixes")).select("prefix", *cols)
+    met = named.unionByName(heads.join(families, "prefix").select("api", *cols).distinct())
+    by_name = met.groupBy("api").agg(F.collect_list(F.struct(*cols)).alias("hit"))
+    slim = calls.select(*UNIT, F.col("node_id").cast("string").alias("node_id"), "api", F.col("position").cast("long").alias("position"))
+    return materialize(keyed_join(slim, by_name, ["api"]).withColumn("hit", F.explode("hit")).select(*slim.columns, "hit.*"))
+
+
+def _pair_edges(hits: DataFrame, window: int) -> DataFrame:
+    return (_adjacent(hits.filter(F.col("mode") == SET), window)
+            .unionByName(_adjacent(hits.filter(F.col("mode") == FAMILY), window)))
+
+
+def _singles(matched: DataFrame, pair_edges: DataFrame) -> DataFrame:
     ends = (pair_edges.withColumn("node_id", F.explode(F.array("src", "dst")))
             .select(*UNIT, "technique_id", "node_id").distinct())
-    return matched.join(ends, [*UNIT, "technique_id", "node_id"], "left_anti").select(*INDICATOR)
+    return (matched.filter("singleton").join(ends, [*UNIT, "technique_id", "node_id"], "left_anti").select(*INDICATOR))
+
+
+def singleton_indicators(calls: DataFrame, pair_edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """Matched calls whose node takes part in no pair; rules may switch these off."""
+    return _singles(_matched_calls(calls, rules, SET).unionByName(_matched_calls(calls, rules, FAMILY)), pair_edges)
 
 
 def seed_edges(calls: DataFrame, rules: DataFrame, window: int = 8) -> DataFrame:
     """Edges of every rule."""
-    return (ordered_chain(calls, rules, window)
-            .unionByName(set_cooccurrence(calls, rules, window))
-            .unionByName(family_sequence(calls, rules, window)))
+    hits = _hits(calls, rules)
+    return _chain_edges(hits.filter(F.col("mode") == CHAIN), window).unionByName(_pair_edges(hits, window))
 
 
 def seed_evidence(calls: DataFrame, rules: DataFrame, window: int = 8) -> DataFrame:
     """Edges and indicators in one table, told apart by ``kind``."""
-    pairs = set_cooccurrence(calls, rules, window).unionByName(family_sequence(calls, rules, window))
-    edges = ordered_chain(calls, rules, window).unionByName(pairs)
-    singles = singleton_indicators(calls, pairs, rules)
+    hits = _hits(calls, rules)
+    pairs = _pair_edges(hits, window)
+    edges = _chain_edges(hits.filter(F.col("mode") == CHAIN), window).unionByName(pairs)
+    singles = _singles(hits.filter(F.col("mode") != CHAIN), pairs)
     return (edges.withColumn("kind", F.lit("edge"))
             .unionByName(singles.select(*UNIT, F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"),
                                         "technique_id", "rule_name", F.lit(None).cast("string").alias("confidence"),
@@ -156,10 +183,10 @@ def cross_unit_chain_1hop(calls: DataFrame, call_edges: DataFrame, rules: DataFr
     of the callee only its first ``(steps - 1) * window`` positions can be reached.  A node id
     is taken to belong to one unit.
     """
-    matched = _chain_calls(calls, rules)
+    matched = materialize(_chain_calls(calls, rules))
     reach = (F.size("apis") - 1) * F.lit(int(window))
     ends = calls.groupBy(*UNIT).agg((F.max("position").cast("long") + 1).alias("offset"))
-    own = _chains(calls, rules, window)
+    own = materialize(_chains(matched, window))
     callers = (keyed_join(own, ends, UNIT).withColumnRenamed("seq", "p_seq")
                .groupBy("sample", F.col("unit").alias("src"))
                .agg(F.collect_list(F.struct("technique_id", "rule_name", "apis", "min_len", "p_seq", "offset"))

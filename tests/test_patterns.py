@@ -74,3 +74,10 @@ def test_structural(spark):
 def test_unit_keys_and_api_lists(spark):
     df = spark.createDataFrame([("func_70",), ("func_1200",), ("func_0x40",), ("func_ff",), ("odd",), ("func_g1",)], "k string")
     assert [r["position"] for r in FL.unit_position(df, "k").collect()] == [70, 1200, 64, 255, 0, 0]
+
+
+def test_branches_start_from_one_written_match(spark):
+    """The calls are read to find names and to match them; what follows reads the matches."""
+    import __spark_entry__ as entry
+    plan = entry.queries()["seed_edges"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in plan.inputFiles() if f.endswith("events.parquet")]
