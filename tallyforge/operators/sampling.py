@@ -6,7 +6,7 @@ operator gives the same rows on any cluster layout.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,11 +58,29 @@ def drop_empty(samples: DataFrame, units: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ balancing
 
 
+def _among_first(df: DataFrame, by: Sequence[str], order: dict[str, Column], cap: Column | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with ``_first``: whether a row is among the first ``cap`` of its group.
+
+    Only the order columns are ranked. What comes back per group is the place of its last row inside the cap, so
+    wide rows are neither sorted nor joined to their ranks. ``cap`` is a column, or a function that adds ``_cap``.
+    """
+    narrow = ranked(df.select(*by, *[c.alias(f"_o_{n}") for n, c in order.items()]), by, [F.col(f"_o_{n}") for n in order], "_rk")
+    narrow = cap(narrow) if callable(cap) else narrow.withColumn("_cap", cap)
+    place = F.struct(*[F.col(f"_o_{n}").alias(n) for n in order])
+    last = narrow.filter(F.col("_rk") <= F.col("_cap")).groupBy(*by).agg(F.max(place).alias("_last"))
+    here = F.struct(*[c.alias(n) for n, c in order.items()])
+    joined = keyed_join(df, last, by, "left") if by else df.withColumn("_last", last.scalar())
+    return joined.withColumn("_first", F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_last")
+
+
+def _seeded(seed: str, key: str) -> dict[str, Column]:
+    return {"h": hash_key(seed, key), "key": F.col(key)}
+
+
 def balance_classes(df: DataFrame, label: str, seed: str, key: str = "id") -> DataFrame:
     """Random subset with as many rows of every class as the smallest class has."""
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
-    order = ranked(df.withColumn("_h", hash_key(seed, key)), [label], [F.col("_h"), F.col(key)], "_rk")
-    return order.filter(F.col("_rk") <= least).drop("_h", "_rk")
+    return _among_first(df, [label], _seeded(seed, key), least).filter("_first").drop("_first")
 
 
 def balance_per_group(df: DataFrame, group: str, label: str, min_samples: int, seed: str, key: str = "id") -> DataFrame:
@@ -92,8 +110,7 @@ def balance_per_group(df: DataFrame, group: str, label: str, min_samples: int, s
 
 def random_subset(df: DataFrame, k: int, seed: str, key: str = "id") -> DataFrame:
     """k rows in seeded order."""
-    order = ranked(df.withColumn("_h", hash_key(seed, key)), [], [F.col("_h"), F.col(key)], "_rk")
-    return order.filter(F.col("_rk") <= k).drop("_h", "_rk")
+    return df.withColumn("_h", hash_key(seed, key)).orderBy("_h", key).limit(k).drop("_h")
 
 
 # ------------------------------------------------------------------ splits
@@ -102,10 +119,9 @@ def random_subset(df: DataFrame, k: int, seed: str, key: str = "id") -> DataFram
 def stratified_split(df: DataFrame, label: str, ratio: float, seed: str, key: str = "id") -> DataFrame:
     """Add ``split``: the first ``ratio`` of every class in seeded order trains."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    order = ranked(df.withColumn("_h", hash_key(seed, key)), [label], [F.col("_h"), F.col(key)], "_rk")
-    return (keyed_join(order, sizes, [label])
-            .withColumn("split", F.when(F.col("_rk") <= F.round(F.col("_n") * F.lit(ratio)), "train").otherwise("test"))
-            .drop("_h", "_rk", "_n"))
+    cap = lambda ranks: keyed_join(ranks, sizes, [label]).withColumn("_cap", F.round(F.col("_n") * F.lit(ratio)))
+    return (_among_first(df.filter(F.col(label).isNotNull()), [label], _seeded(seed, key), cap)
+            .withColumn("split", F.when(F.col("_first"), "train").otherwise("test")).drop("_first"))
 
 
 def group_shuffle_split(df: DataFrame, group: str, ratio: float, seed: str) -> DataFrame:
@@ -235,7 +251,7 @@ def vendor_fraction_cap(df: DataFrame, vendor: str, value: str, frac: float, key
     """Limit one vendor to ``frac`` of the current rows, keeping the first by key."""
     mine = F.coalesce(F.col(vendor) == value, F.lit(False))
     cap = F.floor(F.lit(frac) * df.agg(F.count(F.lit(1))).scalar())
-    kept = ranked(df.filter(mine), [], [F.col(key)], "_rk").filter(F.col("_rk") <= cap).drop("_rk")
+    kept = _among_first(df.filter(mine), [], {"key": F.col(key)}, cap).filter("_first").drop("_first")
     return df.filter(~mine).unionByName(kept)
 
 
@@ -245,8 +261,8 @@ def bin_fraction_cap(df: DataFrame, pred: Column, frac: float, overflow_split: s
     mine = F.coalesce(pred, F.lit(False))
     others = df.filter(~mine)
     cap = F.floor(F.lit(frac) * others.agg(F.count(F.lit(1))).scalar() / F.lit(1.0 - frac))
-    order = ranked(df.filter(mine).withColumn("_h", hash_key(seed, key)), [], [F.col("_h"), F.col(key)], "_rk")
-    capped = order.withColumn("split", F.when(F.col("_rk") <= cap, "train").otherwise(overflow_split)).drop("_h", "_rk")
+    capped = (_among_first(df.filter(mine), [], _seeded(seed, key), cap)
+              .withColumn("split", F.when(F.col("_first"), "train").otherwise(overflow_split)).drop("_first"))
     return others.withColumn("split", F.lit("train")).unionByName(capped)
 
 
