@@ -29,7 +29,7 @@ class Settings:
 
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
-    fit_rows: int = 8000
+    fit_rows: int = 4000
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -95,7 +95,7 @@ def _counts(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     for h in pieces(text, s.orders, s.bits):
         total += np.bincount(h, minlength=1 << s.bits)
     at = np.flatnonzero(total)
-    return at, total[at] / max(1, total.sum())
+    return at.astype(np.int32), (total[at] / max(1, total.sum())).astype(np.float32)
 
 
 def document_frequencies(labelled: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
@@ -185,15 +185,16 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     idf = np.log((1.0 + docs) / (1.0 + df)) + 1.0
     each = max(1, s.fit_rows // len(classes))
     sample = _sample(rows, each)
-    texts = [(t, classes.index(c)) for t, c in sample if has_letter(t)]
-    classes = tuple(classes)
-
-    features, y = [], np.array([c for _, c in texts], np.int64)
-    for text, _ in texts:
-        at, share = _counts(text, s)
-        features.append((np.append(at, 1 << s.bits), np.append(share * idf[at] * s.scale, 1.0)))
-    held = np.arange(len(texts)) % 5 == 4
-    learn = np.flatnonzero(~held) if held.any() else np.arange(len(texts))
+    features, y = [], []
+    while sample:  # texts go as their features come
+        text, label = sample.pop()
+        if has_letter(text):
+            at, share = _counts(text, s)
+            features.append((np.append(at, np.int32(1 << s.bits)), np.append((share * idf[at] * s.scale).astype(np.float32), np.float32(1))))
+            y.append(classes.index(label))
+    y, classes = np.array(y, np.int64), tuple(classes)
+    held = np.arange(len(y)) % 5 == 4
+    learn = np.flatnonzero(~held) if held.any() else np.arange(len(y))
     w, bias = ftrl([features[i] for i in learn], y[learn], len(classes), s)
     scores = np.array([f[1][:-1] @ w[f[0][:-1]] + bias for f in (features[i] for i in np.flatnonzero(held))])
     t = temperature(scores, y[held]) if held.any() else 1.0

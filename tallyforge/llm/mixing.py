@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.order import hash_key
+from ..scale import may_broadcast
 from .common import Scratch, blank_words, running_sums
 
 
@@ -90,6 +91,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
     again = F.when((at < last) | ((at == last) & whole), 1).otherwise(0)
     copies = (F.col("__mix_epochs") + again).cast("int")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return (docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")))
+    cuts = Scratch(docs.sparkSession).write(cuts, "cuts")  # one row per source: its size is known before texts would be shuffled
+    return (docs.join(F.broadcast(cuts) if may_broadcast(cuts) else cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")))
             .withColumn("__mix_copies", copies).filter("__mix_copies > 0")
             .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*columns))

@@ -51,7 +51,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -280,7 +280,7 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
              .select(F.col("m.low").alias("__join_id"), F.col("m.key").alias("__join_key")))
     often = sketch.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("id").alias("__join_often"))
     once = first.join(often, F.col("__join_id").eqNullSafe(F.col("__join_often")), "left_anti")
-    several = first.join(often, F.col("__join_id").eqNullSafe(F.col("__join_often")), "left_semi")
+    several = scratch.write(first.join(often, F.col("__join_id").eqNullSafe(F.col("__join_often")), "left_semi"), "several")
     full = docs.filter(F.coalesce(F.col(text_col).rlike(NOT_BLANK), F.lit(False)))
     blank = docs.filter(~F.coalesce(F.col(text_col).rlike(NOT_BLANK), F.lit(False)))
     same = lambda: F.col(id_col).eqNullSafe(F.col("__join_id"))
@@ -290,7 +290,11 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
         return texts.map(lambda t: _key(shingles(t, settings.words)))
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    unique = full.join(once.select("__join_id"), same(), "left_semi")
-    repeated = (full.join(several, same()).filter(key(F.col(text_col)) == F.col("__join_key"))
+    kept = full.join(once.select("__join_id"), same(), "left_semi").unionByName(blank)
+    if several.isEmpty():  # ids are unique, as they should be
+        return kept
+    rows = scratch.write(full.join(several.select("__join_id").distinct(), same(), "left_semi"), "repeated")
+    repeated = (rows.withColumn("__join_set", key(F.col(text_col)))
+                .join(several, same() & (F.col("__join_set") == F.col("__join_key")))
                 .dropDuplicates(["__join_id", "__join_key"]).select(*columns))
-    return unique.unionByName(repeated).unionByName(blank)
+    return kept.unionByName(repeated)
