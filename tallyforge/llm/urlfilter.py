@@ -14,6 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..scale import may_broadcast
 from .common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,7 +123,9 @@ def strongest_label(urls: DataFrame, rules: DataFrame, scratch: Scratch, tokens_
              .groupBy("_profile", "rule_id", "size", "label").agg(F.count(F.lit(1)).alias("c")).filter("c = size")
              .groupBy("_profile").agg(F.min(F.struct("rule_id", "label")).alias("r"))
              .select(F.col("_profile").alias("_p"), F.col("r.label").alias("mined_label"), F.col("r.rule_id").alias("mined_rule")))
-    return profiled.join(fired, F.col("_profile") == F.col("_p"), "left").drop("_profile", "_p")
+    fired = scratch.write(fired, "fired")  # one row per combination: its size is known before URLs would be shuffled
+    return (profiled.join(F.broadcast(fired) if may_broadcast(fired) else fired, F.col("_profile") == F.col("_p"), "left")
+            .drop("_profile", "_p"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], settings: Settings = Settings(),
