@@ -271,7 +271,7 @@ def archive_round_trip(pages: DataFrame, scratch: Scratch | None = None, **colum
     files = max(1, archives.count())
     index = scratch.write(normalise_archives(archives.repartition(files), scratch.path("warc/members")), "index")
     scratch.drop("warc/raw")
-    return read_records(index.repartitionByRange("archive", "offset"))
+    return read_records(index.repartition(files, "archive"))
 
 
 def index_table(spark: SparkSession, folder: str) -> DataFrame:
