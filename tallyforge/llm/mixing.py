@@ -59,6 +59,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"),
                        _place(seed, id_col, blank_words(text_col)).alias("_at")).withColumn("size", F.col("_at.size"))
+    rows = scratch.write(rows, "rows")  # dealing by ranges looks at the rows twice; the texts are read once
     placed = running_sums(rows, scratch, "order", ["source"], ["_at"], _before="size")
     ordered = scratch.spark.read.parquet(scratch.path("order"))
     sizes = ordered.groupBy("source").agg(F.sum("size").alias("source_size"))
