@@ -150,11 +150,18 @@ def ftrl(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, s
 
 
 def temperature(scores: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden section over its logarithm."""
+    """The temperature with the least log loss, by golden section over its logarithm.
+
+    Targets are smoothed by one case in as many as there are, so scores without an error do not become certain.
+    """
+    n, k = scores.shape
+    target = np.full((n, k), 1.0 / (n + 2) / max(1, k - 1))
+    target[np.arange(n), y] = 1.0 - 1.0 / (n + 2) if k > 1 else 1.0
+
     def loss(log_t: float) -> float:
         a = scores / math.exp(log_t)
         a = a - a.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(a).sum(axis=1)) - a[np.arange(len(y)), y]))
+        return float(np.mean(np.log(np.exp(a).sum(axis=1)) - (a * target).sum(axis=1)))
 
     lo, hi, g = math.log(0.05), math.log(20.0), (math.sqrt(5) - 1) / 2
     for _ in range(60):
@@ -256,7 +263,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of at least ``least``; columns unchanged."""
+def keep_identified(docs: DataFrame, least: float = 0.35, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of at least ``least``; columns unchanged.
+
+    Texts that are null or have no letter go. Where no row has a label, nothing can be told and no row stays.
+    """
     model = fit(docs.filter(in_training(F.col("doc_id"))), settings)
     return docs.filter(classify(model, docs.sparkSession)(F.col("text"))["score"] >= least)
