@@ -49,6 +49,16 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of at most ``rows``, so that a worker's memory stays bounded.
+
+    Arrow's usual 10,000 rows are made for numbers. The setting is the session's; a smaller one is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def blank_words(text: Column | str) -> Column:
     """Number of blank-separated words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(BLANK_WORD)), F.lit(0)).cast("long")

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import text_batches
+
 #: Bytes that belong to a word after lower-casing: digits, a-z, and every byte of a sign beyond ASCII.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
                for b in range(256))
@@ -95,6 +97,7 @@ def contamination(items: DataFrame, size: int = 13, share: int = 20, item_col: s
     Null and empty texts have no words and are clean. Items with equal id count once; one without id hits words but
     has no name. Test items are bounded: above ``most_bytes`` bytes of text this raises.
     """
+    text_batches(items.sparkSession)
     sc = items.sparkSession.sparkContext
     shared = sc.broadcast(tuple(bounded_items(items, item_col, item_text_col, most_bytes)))
 

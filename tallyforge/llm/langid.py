@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .common import text_batches
+
 UNKNOWN = "und"
 MOST_CLASSES = 2000
 RESULT = "lang string, score double"
@@ -179,6 +181,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     fit costs the same at any size. With one class only, everything is that class.
     """
     s = settings
+    text_batches(labelled.sparkSession)
     rows = (labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
             .filter("label IS NOT NULL AND text IS NOT NULL"))
     classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").limit(MOST_CLASSES + 1).collect()]
@@ -229,6 +232,7 @@ def classify(model: Model | None, spark):
     learned. ``score`` is the calibrated probability of ``lang``. Whole texts count, of any length; ties go to the
     first label in order.
     """
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..scale import may_broadcast
-from .common import Scratch
+from .common import Scratch, text_batches
 
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
@@ -221,6 +221,7 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, labels: DataFrame, setting
 
 def _linked(docs: DataFrame, scratch: Scratch, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and per set (key, rid, id, low, component): the set's first row and its component."""
+    text_batches(docs.sparkSession)
     kind = docs.select(id_col).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.write(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(

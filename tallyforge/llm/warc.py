@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch
+from .common import Scratch, text_batches
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -247,6 +247,7 @@ def archive_pages(pages: DataFrame, folder: str, least_bytes: int = 1000, id_col
     the others revisit them. Null payloads count as empty, a null id as smaller than any other, and repeated rows
     are written each; rows that share the largest id are all responses. Further columns are ignored.
     """
+    text_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
