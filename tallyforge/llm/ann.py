@@ -26,7 +26,7 @@ class Settings:
     """``epsilon`` widens the error bound; block sizes bound what a task holds at a time."""
 
     k: int = 20
-    epsilon: float = 3.0
+    epsilon: float = 4.0
     seed: int = 11
     rows_per_block: int = 8192
     queries_per_block: int = 2048
