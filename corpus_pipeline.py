@@ -13,6 +13,9 @@ from tallyforge.llm import decontam, langid, mixing, ngramjoin, sharding
 from tallyforge.llm.common import Scratch
 from tallyforge.plans.registry import query, table
 
+#: What near copies are in this stage; ``op4_jaccard_join`` has settings of its own.
+NEAR_COPIES = ngramjoin.Settings(words=5, percent=80)
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is not left open: a calibrated probability of 0.35 at least."""
@@ -20,8 +23,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    return ngramjoin.keep_one(docs)
+    """The document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return ngramjoin.keep_one(docs, NEAR_COPIES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,6 +223,20 @@ def test_near_copies_edges(spark):
     assert ngramjoin.near_copies(df.limit(0)).count() == 0 and ngramjoin.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pipeline_stage_links_five_words_at_eighty_percent(spark, seed):
+    rows = family(seed)
+    # 5-word Jaccard 0.82 by a block at the end: 4-word 0.82 as well, so 4/85 keeps both
+    block = [f"k{i}" for i in range(104)]
+    rows += [(1000, " ".join(block[:86])), (1001, " ".join(block))]
+    rows += [(2000, " ".join(f"m{i}" for i in range(84))), (2001, " ".join(f"m{i}" for i in range(104)))]  # exactly 80 of 100
+    rows += [(3000, " ".join(f"o{i}" for i in range(83))), (3001, " ".join(f"o{i}" for i in range(104)))]  # 79 of 100
+    got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, frame(spark, [(i, t, "en", "s") for i, t in rows]), SF).collect())
+    assert got == sorted(d for d, _, c in brute_components(rows, 5, 80) if d == c)
+    assert [d for d in got if d >= 1000] == [1000, 2000, 3000, 3001]
+    assert got != sorted(d for d, _, c in brute_components(rows, 4, 85) if d == c)
+
+
 # ------------------------------------------------------------------ 5 mixing
 
 
