@@ -25,7 +25,6 @@ ALLOW, BLOCK = "allow", "block"
 class Settings:
     support: float = 0.005
     confidence: float = 0.8
-    most_tokens: int = 3
 
 
 def host_of(url: Column | str) -> Column:
@@ -77,7 +76,7 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, settings: Settings = Setti
 
     ``n`` counts the labelled URLs with the tokens and the label; it is at least ``support`` of all of them, and
     ``confidence`` is its share of the URLs with the tokens. A rule goes if some of its tokens alone give the label
-    with the same or a higher confidence. Null labels and URLs without tokens take no part; no labels, no rules.
+    with the same or a higher confidence; rules of any length are mined. Null labels and URLs without tokens take no part; no labels, no rules.
     """
     mark = "label="
     baskets = (labelled.select(url_tokens(F.col(url_col)).alias("t"), F.col(label_col).cast("string").alias("l"))
@@ -88,7 +87,7 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, settings: Settings = Setti
     if not total:
         return scratch.spark.createDataFrame([], "rule_id int, tokens array<string>, label string, confidence double, n long")
     model = FPGrowth(itemsCol="items", minSupport=settings.support, minConfidence=settings.confidence).fit(baskets)
-    found = (model.associationRules.filter(F.col("consequent")[0].startswith(mark) & (F.size("antecedent") <= settings.most_tokens)
+    found = (model.associationRules.filter(F.col("consequent")[0].startswith(mark)
                                            & ~F.exists("antecedent", lambda x: x.startswith(mark)))
              .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(mark) + 1, 1 << 30).alias("label"),
                      "confidence", F.round(F.col("support") * total).cast("long").alias("n")))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import heapq
+import itertools
 import math
 import random
 import re
@@ -162,6 +163,34 @@ def test_mined_rules_generalise(spark):
     assert {tuple(r["tokens"]) for r in rules} >= {("p:spam",)} and all(len(r["tokens"]) == 1 for r in rules)
 
 
+def brute_rules(baskets, support=0.005, confidence=0.8):
+    """(tokens, label): all token sets with enough support and confidence that no part of them makes needless."""
+    least, sets = math.ceil(support * len(baskets)), {}
+    for tokens, label in baskets:
+        for n in range(1, len(tokens) + 1):
+            for s in itertools.combinations(sorted(tokens), n):
+                sets.setdefault(s, []).append(label)
+    mined = {(s, x): ls.count(x) / len(ls) for s, ls in sets.items() for x in set(ls) if ls.count(x) >= least and ls.count(x) / len(ls) >= confidence}
+    return {(s, x) for (s, x), c in mined.items() if not any(y == x and set(k) < set(s) and d >= c for (k, y), d in mined.items())}
+
+
+def test_rules_of_four_tokens_are_mined(spark):
+    # a page is bad only if all four places say so: three of them reach a confidence of 0.5
+    rows = []
+    for bits in itertools.product([0, 1], repeat=4):
+        url = f"http://{'xa'[bits[0]]}.example/{'yb'[bits[1]]}/z.{'uc'[bits[2]]}?{'vd'[bits[3]]}=1"
+        rows += [(url, "block" if all(bits) else f"other{sum(bits)}{bits}")] * 12
+    df = spark.createDataFrame(rows, "url string, label string")
+    rules = urlfilter.mine_rules(df, Scratch(spark)).collect()
+    tokens = {r["url"]: tuple(r["t"]) for r in df.distinct().select("url", urlfilter.url_tokens("url").alias("t")).collect()}
+    assert {(tuple(r["tokens"]), r["label"]) for r in rules} == brute_rules([(tokens[u], x) for u, x in rows])
+    assert min(len(r["tokens"]) for r in rules if r["label"] == "block") == 4
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)] + [(9999, "http://a.example/b/z.c?d=2")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if x == "block" else "allow") for i, (_, x) in enumerate(rows)], "id long, label string")
+    judged = {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(pages, labels, []).collect()}
+    assert judged[9999] == "block"
+
+
 # ------------------------------------------------------------------ 4 n-gram Jaccard join
 
 
