@@ -10,7 +10,7 @@ from .registry import big, query, rounded
 
 S = A.SCORES_SQL + ",\nvalid AS (SELECT * FROM scores WHERE score IS NOT NULL)"
 L = A.LINE_SCORES_SQL
-ROUNDS, SEED = 40, "7"
+ROUNDS, SEED = 2000, "7"
 
 
 def auc_sql(rows: str, by: str, weight: str = "1", extra: str = "") -> str:

@@ -62,3 +62,11 @@ def test_normal_tail_is_that_of_erfc(spark):
     for r in rows:
         want = math.erfc(r["x"] / math.sqrt(2)) / 2
         assert abs(r["q"] - want) <= 1e-9 * want
+
+
+def test_registered_bootstraps_draw_all_rounds(spark):
+    from tallyforge.plans import evaluation
+
+    assert evaluation.ROUNDS == 2000
+    row = evaluation.cluster_bootstrap_ci(spark, "/root/testdata/sf0.001").first()
+    assert row["rounds_used"] == 2000
