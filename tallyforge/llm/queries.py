@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import ann, chat, decontam, langid, licenses, mixing, ngramjoin, sharding, urlfilter, warc
+from . import ann, chat, decontam, langid, licenses, linededup, mixing, ngramjoin, sharding, urlfilter, warc
 
 
 def _sql_text(text: str) -> str:
@@ -243,3 +243,25 @@ def op3_url_filter(spark, sf_dir):
 def op8_chat_format(spark, sf_dir):
     turns = chat.recover_roles(table(spark, sf_dir, "conversations"))
     return turns.select(F.col("conv").cast("long").alias("conv_id"), "turn", "role", "text", "rendered")
+
+
+# ------------------------------------------------------------------ 12 line dedup
+
+LINES_SQL = r"""
+WITH l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos
+           FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT r, doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+rep AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key
+        HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM (SELECT k.*, rep.key IS NOT NULL AND k.doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN rep ON k.key = rep.key)
+GROUP BY r, doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def op12_line_dedup(spark, sf_dir):
+    kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
