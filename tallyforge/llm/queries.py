@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import ann, chat, decontam, langid, licenses, linededup, mixing, ngramjoin, sharding, urlfilter, warc
+from . import ann, chat, decontam, langid, licenses, linededup, mixing, ngramjoin, sharding, trie, urlfilter, warc
+from .common import Scratch
 
 
 def _sql_text(text: str) -> str:
@@ -265,3 +266,42 @@ GROUP BY r, doc_id
 def op12_line_dedup(spark, sf_dir):
     kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ 13 conversation trie
+
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                  struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL),
+orig AS (SELECT c, list(x ORDER BY pos) AS xs FROM t GROUP BY c),
+-- CRC-32 of the decimal digits: eight steps per byte
+h AS (SELECT c, xs, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: ord(d)::BIGINT)),
+        lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a // 2, (a % 2) * 3988292384))), 4294967295) % 9 AS h FROM orig),
+conv AS (SELECT h.c, list_concat(coalesce(d.xs[1:h], []), h.xs[h + 1:]) AS xs FROM h LEFT JOIN orig d ON d.c = h.c - h.c % 5),
+m AS (SELECT c, len(xs) AS n, unnest(range(0, len(xs) + 1)) AS depth, xs FROM conv),
+p AS (SELECT c, n, depth, sha256(CAST(to_json(xs[1:depth]) AS VARCHAR)) AS node, CASE WHEN depth > 0 THEN sha256(CAST(to_json(xs[1:depth - 1]) AS VARCHAR)) END AS parent,
+             CASE WHEN depth > 0 THEN octet_length(encode(xs[depth].t)) ELSE 0 END AS bytes FROM m),
+nodes AS (SELECT node, depth, min(c) AS conv_id, min(parent) AS parent, count(*) AS n_convs, max(bytes) AS bytes,
+                 sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM p GROUP BY node, depth),
+kids AS (SELECT parent, count(*) AS n FROM nodes GROUP BY parent),
+v AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.parent = nodes.node),
+tot AS (SELECT p.node, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved_tokens
+        FROM v JOIN p ON p.c = v.conv_id AND p.depth <= v.depth GROUP BY p.node)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       v.ends_sha256
+FROM v JOIN tot ON tot.node = v.node LEFT JOIN v u ON u.node = v.parent
+"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13_conversation_trie(spark, sf_dir):
+    scratch = Scratch(spark)
+    turns = scratch.write(trie.ordered_turns(table(spark, sf_dir, "conversations")), "turns")
+    convs = turns.select("conv_id").distinct()
+    conv = F.col("conv_id")
+    plan = convs.select("conv_id", (conv - conv % 5).alias("donor"), (F.crc32(conv.cast("string").cast("binary")) % 9).alias("take"))
+    built = trie.prefix_trie(convs, trie.with_openings(turns, plan, longest=8))
+    digests = trie.id_digests(built.ends, "node", "conv_id")
+    joined = built.nodes.join(digests, "node", "left")
+    return joined.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                         F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
