@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, table
-from . import ann, chat, decontam, langid, licenses, linededup, mixing, ngramjoin, sharding, trie, urlfilter, warc
+from . import ann, chat, crosstoken, decontam, langid, licenses, linededup, mixing, ngramjoin, sharding, trie, urlfilter, warc
 from .common import Scratch
 
 
@@ -305,3 +305,13 @@ def op13_conversation_trie(spark, sf_dir):
     joined = built.nodes.join(digests, "node", "left")
     return joined.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
                          F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+# ------------------------------------------------------------------ 11 cross-tokenizer alignment
+
+
+@query("op11_cross_tokenizer")
+def op11_cross_tokenizer(spark, sf_dir):
+    settings = crosstoken.Settings(first="/opt/tokenizers/byte_bpe_50k.json", second="/opt/tokenizers/piece_bpe_32k.model")
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups"), 256)).otherwise(F.lit(""))
+    return crosstoken.aligned_documents(table(spark, sf_dir, "documents"), settings, {"groups_sha256": digest})
