@@ -354,22 +354,46 @@ def dataset_union_version(base: DataFrame, new: DataFrame, key: str = "id") -> D
     return base.unionByName(new, allowMissingColumns=True).orderBy(key)
 
 
+def _row_text(columns: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+
+
+def hashed_rows(df: DataFrame) -> DataFrame:
+    """(h, row): the SHA-256 of every row's columns as text, and the row."""
+    return df.select(F.sha2(_row_text(df.columns), 256).alias("h"), F.struct(*df.columns).alias("row"))
+
+
+def tree_levels(rows: DataFrame, keep: Sequence[int], nodes: bool = False) -> list[DataFrame]:
+    """Levels (h, digest, n) of the hash tree over ``rows``: the nodes of as many leading digits as ``keep`` names, in its order.
+
+    ``rows`` has the leaves (h, n), one per distinct hash, or nodes (h, digest, n) of some level. Rows are dealt out once by
+    the first four digits, which every level above that keeps, so only the root needs another shuffle.
+    """
+    level = rows if nodes else rows.select("h", F.concat_ws(":", "h", "n").alias("digest"), "n")
+    found = {}
+    if not nodes:
+        level = level.withColumn("_top", F.substring("h", 1, 4)).repartition("_top")
+    for width in (12, 8, 4, 0):
+        if nodes and width > 0:
+            continue
+        by = ["_top"] if width else []
+        level = level.groupBy(*by, F.substring("h", 1, width).alias("h")).agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("digest"), F.sum("n").alias("n"))
+        found[width] = level
+    return [found[w].select("h", "digest", "n") for w in keep]
+
+
 def dataset_fingerprint(df: DataFrame, mode: str = "string") -> DataFrame:
     """One row (fingerprint, n_rows) that depends on the rows but not on their order.
 
     ``string`` hashes a tree over sorted row hashes, each node covering one more four-digit
     prefix, so no value grows with the data; equal rows are one leaf with a count.  ``xor``
-    folds row hashes with bit operations.
+    folds row hashes with bit operations.  ``versions`` keeps such a tree and compares two.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
-    hashed = df.select(F.sha2(text, 256).alias("h"))
+    hashed = df.select(F.sha2(_row_text(df.columns), 256).alias("h"))
     if mode == "xor":
         part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
         return hashed.agg(F.concat_ws(":", F.bit_xor(part(1)), F.bit_xor(part(16)), F.sum(part(31) % 1000003)).alias("fingerprint"),
                           F.count(F.lit(1)).alias("n_rows"))
-    level = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).select(
-        "h", F.concat_ws(":", "h", "n").alias("digest"), "n")
-    for width in (12, 8, 4, 0):
-        level = level.groupBy(F.substring("h", 1, width).alias("h")).agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("digest"), F.sum("n").alias("n"))
-    return level.select(F.col("digest").alias("fingerprint"), F.col("n").alias("n_rows"))
+    (root,) = tree_levels(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")), (0,))
+    return root.select(F.col("digest").alias("fingerprint"), F.col("n").alias("n_rows"))

@@ -17,12 +17,12 @@ EDGE = ["sample", "unit", "src", "dst", "technique_id", "rule_name", "confidence
 INDICATOR = ["sample", "unit", "node_id", "technique_id", "rule_name"]
 
 
-def _chain_fold(seq: str, window: int) -> Column:
-    """Greedy walk of ``apis`` over the position-sorted array ``seq`` (no backtracking)."""
-    return F.expr(f"""
-        aggregate(apis,
+def _chain_fold(seq: str, window: int, apis: str = "apis") -> str:
+    """Greedy walk of ``apis`` over the position-sorted array ``seq`` (no backtracking), as an SQL expression."""
+    return f"""
+        aggregate({apis},
           named_struct('at', cast(null as bigint), 'open', true,
-                       'found', cast(array() as array<struct<position: bigint, node_id: string, side: string>>)),
+                       'found', cast(array() as array<struct<position: bigint, node_id: string>>)),
           (acc, step) -> if(not acc.open, acc,
             aggregate(
               array(try_element_at(filter({seq}, c -> c.api = step and (acc.at is null or c.position > acc.at)), 1)),
@@ -31,8 +31,8 @@ def _chain_fold(seq: str, window: int) -> Column:
                 named_struct('at', keep.at, 'open', false, 'found', keep.found),
                 named_struct('at', hit.position, 'open', true, 'found',
                   concat(keep.found, array(named_struct('position', hit.position,
-                         'node_id', hit.node_id, 'side', hit.side))))))),
-          acc -> acc.found)""")
+                         'node_id', hit.node_id))))))),
+          acc -> acc.found)"""
 
 
 def _pairs(found: str = "found") -> Column:
@@ -63,15 +63,14 @@ def _stretch(matched: DataFrame, starts: DataFrame, window: int) -> DataFrame:
             .filter(F.col("position").between(F.col("start"), F.col("start") + reach)))
 
 
-def _seq(side: str) -> Column:
-    return F.sort_array(F.collect_list(F.struct(
-        "position", F.col("node_id"), F.col("api"), F.lit(side).alias("side"))))
+def _seq() -> Column:
+    return F.sort_array(F.collect_list(F.struct("position", "node_id", "api")))
 
 
 def _chains(matched: DataFrame, window: int) -> DataFrame:
     near = _stretch(matched, _chain_starts(matched), window)
-    return (near.groupBy(*UNIT, "technique_id", "rule_name", "apis", "min_len").agg(_seq("own").alias("seq"))
-            .withColumn("found", _chain_fold("seq", window)))
+    return (near.groupBy(*UNIT, "technique_id", "rule_name", "apis", "min_len").agg(_seq().alias("seq"))
+            .withColumn("found", F.expr(_chain_fold("seq", window))))
 
 
 def ordered_chain(calls: DataFrame, rules: DataFrame, window: int = 8) -> DataFrame:
@@ -175,37 +174,47 @@ def seed_evidence(calls: DataFrame, rules: DataFrame, window: int = 8) -> DataFr
                                         F.lit("indicator").alias("kind"))))
 
 
+def entry_walks(matched: DataFrame, window: int) -> DataFrame:
+    """(sample, unit, technique_id, step, at, tail): what a walk finds that comes into a unit at a step.
+
+    A walk that comes from another unit takes the unit's first call of that step, wherever it came from, so one row per
+    step, with its position and the nodes chosen from there on, says all. Only entries inside the window can be reached.
+    """
+    near = matched.filter(F.col("position") < F.size("apis") * F.lit(int(window)))
+    seqs = near.groupBy(*UNIT, "technique_id", "apis").agg(_seq().alias("seq")).filter(F.size("apis") > 1)
+    steps = seqs.withColumn("step", F.explode(F.sequence(F.lit(2), F.size("apis"))))
+    walks = steps.withColumn("tail", F.expr(_chain_fold("seq", window, "slice(apis, step, size(apis))")))
+    return (walks.select(*UNIT, "technique_id", "step", F.try_element_at("tail", F.lit(1))["position"].alias("at"), F.col("tail")["node_id"].alias("tail"))
+            .filter(F.col("at") < int(window)))
+
+
 def cross_unit_chain_1hop(calls: DataFrame, call_edges: DataFrame, rules: DataFrame, window: int = 8) -> DataFrame:
     """Chains that start in a caller and end in a unit it calls directly.
 
-    ``call_edges`` is ``(sample, src, dst)`` over units.  The callee's positions are moved
-    behind all of the caller's.  A chain has to touch both units, so it starts in the caller;
-    of the callee only its first ``(steps - 1) * window`` positions can be reached.  A node id
-    is taken to belong to one unit.
+    ``call_edges`` is ``(sample, src, dst)`` over units.  The callee's positions are moved behind all of the
+    caller's.  A chain has to touch both units, so it starts in the caller: what the caller's own walk has reached at
+    its end, the step and how far behind the end it lies, is continued with the callee's table of entries.  Units meet as
+    such summaries, a row per rule and a row per rule and step, never as sequences.  A callee with a full chain of
+    its own is left out.  A node id is taken to belong to one unit.
     """
     matched = materialize(_chain_calls(calls, rules))
-    reach = (F.size("apis") - 1) * F.lit(int(window))
     ends = calls.groupBy(*UNIT).agg((F.max("position").cast("long") + 1).alias("offset"))
-    own = materialize(_chains(matched, window))
-    callers = (keyed_join(own, ends, UNIT).withColumnRenamed("seq", "p_seq")
-               .groupBy("sample", F.col("unit").alias("src"))
-               .agg(F.collect_list(F.struct("technique_id", "rule_name", "apis", "min_len", "p_seq", "offset"))
-                    .alias("rule")))  # one entry per rule
-    full = (own.filter((F.size("found") == F.size("apis")) & (F.size("found") >= F.col("min_len")))
-            .select(*UNIT, "technique_id"))
-    callees = (matched.filter(F.col("position") <= reach)
-               .groupBy(*UNIT, "technique_id").agg(_seq("callee").alias("f_seq"))
-               .join(full, [*UNIT, "technique_id"], "left_anti").withColumnRenamed("unit", "dst"))
+    own = materialize(_chains(matched, window).drop("seq"))
+    # a step the caller could still make lies before its end, so a state out of the window's reach of the end is closed
+    state = (keyed_join(own.filter(F.size("found") < F.size("apis")), ends, UNIT)
+             .withColumn("gap", F.col("offset") - F.element_at("found", -1)["position"]).filter(F.col("gap") <= int(window)))
+    callers = (state.groupBy("sample", F.col("unit").alias("src"))
+               .agg(F.collect_list(F.struct("technique_id", "rule_name", "min_len", "gap", (F.size("found") + 1).alias("step"),
+                                            F.col("found")["node_id"].alias("head"))).alias("rule")))  # one entry per rule
+    full = own.filter((F.size("found") == F.size("apis")) & (F.size("found") >= F.col("min_len"))).select(*UNIT, "technique_id")
+    callees = entry_walks(matched, window).join(full, [*UNIT, "technique_id"], "left_anti").withColumnRenamed("unit", "dst")
     hops = call_edges.filter(F.col("src") != F.col("dst")).select("sample", "src", "dst").distinct()
-    per_rule = keyed_join(hops, callers, ["sample", "src"]).select("sample", "src", "dst", F.inline("rule"))
-    paired = keyed_join(per_rule, callees, ["sample", "technique_id", "dst"])
-    chains = (paired.withColumn("seq", F.expr(
-        "concat(p_seq, transform(f_seq, c -> named_struct('position', c.position + offset, "
-        "'node_id', c.node_id, 'api', c.api, 'side', c.side)))"))
-        .withColumn("found", _chain_fold("seq", window))
-        .filter(F.size("found") >= F.greatest(F.col("min_len"), F.lit(2)))
-        .filter(F.exists("found", lambda c: c["side"] == "callee")))
-    return (chains.withColumn("pair", F.explode(_pairs()))
+    per_rule = keyed_join(hops, callers, ["sample", "src"]).select("sample", "dst", F.inline("rule"))
+    chains = (keyed_join(per_rule, callees, ["sample", "technique_id", "dst", "step"]).filter(F.col("gap") + F.col("at") <= int(window))
+              .withColumn("found", F.concat("head", "tail")).filter(F.size("found") >= F.greatest(F.col("min_len"), F.lit(2))))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("found") - 1),
+                        lambda i: F.struct(F.element_at("found", i).alias("src"), F.element_at("found", i + 1).alias("dst")))
+    return (chains.withColumn("pair", F.explode(pairs))
             .groupBy("sample", "pair.src", "pair.dst", "technique_id")
             .agg(F.min("rule_name").alias("rule_name"))
             .withColumn("confidence", F.lit("cross_function_1hop")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.stats import ratio
 from ..scale import first_rows, keyed_join, materialize
 from .features import class_weights_balanced
+from .grouped import group_logistic, verdict
 from .metrics import roc_auc
 from .sampling import balance_per_group, stratified_split
 
@@ -78,15 +79,30 @@ def feature_importance(model: PipelineModel, names: Sequence[str], spark) -> Dat
     return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
 
 
+def _group_rows(df: DataFrame, group: str, label: str, features: Sequence[str], min_samples: int, seed: str, key: str) -> DataFrame:
+    """Per group its positives and as many negatives, with the features of each."""
+    picked = balance_per_group(df, group, label, min_samples, seed, key)
+    return materialize(keyed_join(picked, df.select(key, *features).dropDuplicates([key]), [key]))
+
+
 def group_probe(df: DataFrame, group: str, label: str, features: Sequence[str], min_samples: int = 20, seed: str = "42",
-                trees: int = 100, key: str = "id") -> DataFrame:
-    """Accuracy and F1 of one forest per group against as many negatives, with a verdict.
+                key: str = "id") -> DataFrame:
+    """Accuracy and F1 of a logistic model per group against as many negatives, with a verdict.
+
+    Groups that cannot reach ``min_samples`` are skipped. The models of any number of groups are fitted together.
+    """
+    rows = _group_rows(df, group, label, features, min_samples, seed, key)
+    return group_logistic(stratified_split(rows, label, 0.8, seed, key, [group]), group, features, label)
+
+
+def group_probe_forest(df: DataFrame, group: str, label: str, features: Sequence[str], min_samples: int = 20, seed: str = "42",
+                       trees: int = 100, key: str = "id") -> DataFrame:
+    """As ``group_probe``, with one forest per group.
 
     As many models are fitted as groups pass ``min_samples``; their names are what the
     driver loops over.
     """
-    picked = balance_per_group(df, group, label, min_samples, seed, key)
-    rows = materialize(keyed_join(picked, df.select(key, *features).dropDuplicates([key]), [key]))
+    rows = _group_rows(df, group, label, features, min_samples, seed, key)
     out = None
     for g in [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]:
         one = stratified_split(rows.filter(F.col(group) == g), label, 0.8, seed, key)
@@ -100,8 +116,7 @@ def group_probe(df: DataFrame, group: str, label: str, features: Sequence[str],
         out = stats if out is None else out.unionByName(stats)
     if out is None:
         return df.sparkSession.createDataFrame([], f"{group} string, accuracy double, f1 double, n_test long, verdict string")
-    acc = F.col("accuracy")
-    return out.withColumn("verdict", F.when(acc < 0.65, "weak").when(acc > 0.85, "strong").otherwise("fair"))
+    return out.withColumn("verdict", verdict(F.col("accuracy")))
 
 
 def majority_baseline(df: DataFrame, target: str) -> DataFrame:

@@ -116,11 +116,12 @@ def random_subset(df: DataFrame, k: int, seed: str, key: str = "id") -> DataFram
 # ------------------------------------------------------------------ splits
 
 
-def stratified_split(df: DataFrame, label: str, ratio: float, seed: str, key: str = "id") -> DataFrame:
-    """Add ``split``: the first ``ratio`` of every class in seeded order trains."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    cap = lambda ranks: keyed_join(ranks, sizes, [label]).withColumn("_cap", F.round(F.col("_n") * F.lit(ratio)))
-    return (_among_first(df.filter(F.col(label).isNotNull()), [label], _seeded(seed, key), cap)
+def stratified_split(df: DataFrame, label: str, ratio: float, seed: str, key: str = "id", within: Sequence[str] = ()) -> DataFrame:
+    """Add ``split``: the first ``ratio`` of every class, inside every group ``within``, in seeded order trains."""
+    by = [*within, label]
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    cap = lambda ranks: keyed_join(ranks, sizes, by).withColumn("_cap", F.round(F.col("_n") * F.lit(ratio)))
+    return (_among_first(df.filter(F.col(label).isNotNull()), by, _seeded(seed, key), cap)
             .withColumn("split", F.when(F.col("_first"), "train").otherwise("test")).drop("_first"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup as D, graph as G
+from ..operators import dedup as D, graph as G, versions as V
 from . import adapters as A
 from .registry import big, query, rounded, table
+from .sources import new_dir
 
 THR = 50.0
 
@@ -223,3 +224,20 @@ def dataset_fingerprint(spark, sf):
 def dataset_fingerprint_xor(spark, sf):
     return D.dataset_fingerprint(table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"), "xor")
+
+
+# The new version lacks one order in 97, has one line in 89 twice, and has another quantity in one in 83.
+@query("fingerprint_diff", """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE AS l_quantity FROM lineitem),
+  b0 AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN (l_orderkey + l_linenumber) % 83 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity
+         FROM a WHERE l_orderkey % 97 <> 0),
+  b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b0 WHERE (l_orderkey + l_linenumber) % 89 = 0),
+  x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, sum(o)::BIGINT AS n_old, sum(n)::BIGINT AS n_new
+        FROM (SELECT *, 1 AS o, 0 AS n FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY ALL)
+  SELECT CASE WHEN n_old = 0 THEN 'added' WHEN n_new = 0 THEN 'removed' ELSE 'repeated' END AS change, * FROM x WHERE n_old <> n_new""")
+def fingerprint_diff(spark, sf):
+    old = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"))
+    place = F.col("l_orderkey") + F.col("l_linenumber")
+    new = old.filter("l_orderkey % 97 <> 0").withColumn("l_quantity", F.col("l_quantity") + F.when(place % 83 == 0, 1.0).otherwise(0.0))
+    new = new.unionByName(new.filter(place % 89 == 0))
+    versions = [V.freeze(df, new_dir(spark, "version")) for df in (old, new)]
+    return V.fingerprint_diff(spark, *versions).select("change", "row.*", "n_old", "n_new")

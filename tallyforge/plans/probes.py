@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features as X, metrics as M, probes as B, sampling as S
+from ..operators import features as X, grouped as G, metrics as M, probes as B, sampling as S
 from ..scale import materialize, ranked
 from . import adapters as A
 from .registry import big, query, rounded, table
@@ -70,19 +70,33 @@ def feature_importance(spark, sf):
     return rounded(B.feature_importance(model, COLS, spark), "importance")
 
 
+DROPS = {"size": ["f_chars", "n_words"], "lines": ["n_lines"]}
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf):
-    data = materialize(S.stratified_split(rows(spark, sf), "label", 0.8, "42"))
+    train, test = halves(spark, sf)
+    return rounded(G.ablation_logistic(train, test, COLS, DROPS), "value")
 
-    def fit(df, cols):
-        scored = B.logreg_probe(df.filter("split = 'train'"), df.filter("split = 'test'"), cols)
-        return M.roc_auc(scored, []).select(F.col("auc").alias("value"))
-    return rounded(X.feature_ablation(data, COLS, {"size": ["f_chars", "n_words"], "lines": ["n_lines"]}, fit), "value")
+
+@query("oof_logistic")
+def oof_logistic(spark, sf):
+    return rounded(G.oof_logistic(folded(spark, sf), COLS), "score").select("id", "fold", "label", "score")
+
+
+@query("cv_logistic")
+def cv_logistic(spark, sf):
+    return rounded(G.cv_logistic(folded(spark, sf), COLS), "value", "mean", "std")
 
 
 @query("group_probe")
 def group_probe(spark, sf):
-    return rounded(B.group_probe(rows(spark, sf), "lang", "label", COLS, 20, "42", TREES), "accuracy", "f1")
+    return rounded(B.group_probe(rows(spark, sf), "lang", "label", COLS, 20, "42"), "accuracy", "f1")
+
+
+@query("group_probe_forest")
+def group_probe_forest(spark, sf):
+    return rounded(B.group_probe_forest(rows(spark, sf), "lang", "label", COLS, 20, "42", TREES), "accuracy", "f1")
 
 
 @query("majority_baseline", """SELECT arg_min(label, (-n, label)) AS majority, round(max(n)::DOUBLE / sum(n), 6) AS accuracy
@@ -143,9 +157,12 @@ def oof_scores_cells(spark, sf):
     return rounded(B.oof_scores(cells(spark, sf), range(5), share_of_cell), "score", places=3).select("id", "fold", "label", "score")
 
 
-@query("cv_probe_cells", f"""WITH {CELL_SQL}, per AS (SELECT p.fold, avg(CASE WHEN p.share > q.share THEN 1.0 WHEN p.share = q.share THEN 0.5 ELSE 0.0 END) AS value
+CV_CELLS_SQL = f"""WITH {CELL_SQL}, per AS (SELECT p.fold, avg(CASE WHEN p.share > q.share THEN 1.0 WHEN p.share = q.share THEN 0.5 ELSE 0.0 END) AS value
     FROM s p JOIN s q ON p.fold = q.fold WHERE p.label = 1 AND q.label = 0 GROUP BY p.fold)
-  SELECT fold, round(value, 6) AS value, round(avg(value) OVER (), 6) AS mean, round(stddev_pop(value) OVER (), 6) AS std FROM per""")
+  SELECT fold, round(value, 6) AS value, round(avg(value) OVER (), 6) AS mean, round(stddev_pop(value) OVER (), 6) AS std FROM per"""
+
+
+@query("cv_probe_cells", CV_CELLS_SQL)
 def cv_probe_cells(spark, sf):
     return rounded(B.cv_probe(cells(spark, sf), range(5), share_of_cell), "value", "mean", "std")
 
@@ -162,8 +179,55 @@ def feature_ablation_cells(spark, sf):
     def fit(df, cols):
         scored = B.logreg_probe(df, df, cols)
         return M.roc_auc(scored, []).select(F.col("auc").alias("value"))
-    drops = {"second": ["c2"], "all": ["c1", "c2"]}
-    return rounded(X.feature_ablation(data, [*CELLS, "flat"], drops, fit), "value")
+    return rounded(X.feature_ablation(data, [*CELLS, "flat"], CELL_DROPS, fit), "value")
+
+
+CELL_DROPS = {"second": ["c2"], "all": ["c1", "c2"]}
+
+
+@query("ablation_logistic_cells", f"""WITH {CELL_SQL},
+  m AS (SELECT 'none' AS dropped, label, cell = 1 AS a, cell = 2 AS b FROM c UNION ALL SELECT 'second', label, cell = 1, false FROM c
+        UNION ALL SELECT 'all', label, false, false FROM c),
+  t AS (SELECT dropped, label, avg(label) OVER (PARTITION BY dropped, a, b) AS share FROM m)
+  SELECT p.dropped, round(avg(CASE WHEN p.share > q.share THEN 1.0 WHEN p.share = q.share THEN 0.5 ELSE 0.0 END), 6) AS value
+  FROM t p JOIN t q ON p.dropped = q.dropped WHERE p.label = 1 AND q.label = 0 GROUP BY p.dropped""")
+def ablation_logistic_cells(spark, sf):
+    data = materialize(cells(spark, sf))
+    return rounded(G.ablation_logistic(data, data, [*CELLS, "flat"], CELL_DROPS), "value")
+
+
+@query("oof_logistic_cells", f"WITH {CELL_SQL} SELECT id, fold, label, round(share, 5) AS score FROM s")
+def oof_logistic_cells(spark, sf):
+    return rounded(G.oof_logistic(cells(spark, sf), [*CELLS, "flat"]), "score", places=5).select("id", "fold", "label", "score")
+
+
+@query("cv_logistic_cells", CV_CELLS_SQL)
+def cv_logistic_cells(spark, sf):
+    # equal cells have to tie as they do in the shares, whatever the last bits of a fit are
+    scored = rounded(G.oof_logistic(cells(spark, sf), CELLS), "score", places=9)
+    per = M.roc_auc(scored.select("fold", "label", "score"), ["fold"]).select("fold", F.col("auc").alias("value"))
+    stats = per.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return rounded(per.withColumns({c: stats.select(c).scalar() for c in ("mean", "std")}), "value", "mean", "std")
+
+
+# The drawing of balance_per_group, the split of stratified_split inside each language, and the share of each cell.
+@query("group_probe_cells", """WITH dl AS (SELECT d.doc_id AS id, lang, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+  neg AS (SELECT id, row_number() OVER (ORDER BY md5('42|' || id), id) AS r FROM (SELECT DISTINCT id FROM dl WHERE quality = 0)),
+  pos AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || lang || '|' || id), id) AS r FROM dl WHERE quality = 1),
+  sizes AS (SELECT lang, least(count(*), (SELECT count(*) FROM neg)) AS n FROM pos GROUP BY lang HAVING n >= 20),
+  picked AS (SELECT lang, id, 1 AS label FROM pos JOIN sizes USING (lang) WHERE r <= n UNION ALL SELECT lang, id, 0 FROM sizes JOIN neg ON r <= n),
+  sp AS (SELECT *, row_number() OVER (PARTITION BY lang, label ORDER BY md5('42|' || id), id)
+           <= round(count(*) OVER (PARTITION BY lang, label) * 0.8::DOUBLE) AS train FROM picked),
+  share AS (SELECT lang, id % 3 AS cell, avg(label) AS p FROM sp WHERE train GROUP BY ALL),
+  t AS (SELECT sp.lang, label, (round(p, 6) > 0.5)::INT AS pred FROM sp JOIN share ON share.lang = sp.lang AND cell = id % 3 WHERE NOT train)
+  SELECT lang, round(avg((pred = label)::INT), 6) AS accuracy,
+         round(coalesce(2.0 * sum(pred * label) / nullif(sum(pred) + sum(label), 0), 0), 6) AS f1, count(*) AS n_test,
+         CASE WHEN avg((pred = label)::INT) < 0.65 THEN 'weak' WHEN avg((pred = label)::INT) > 0.85 THEN 'strong' ELSE 'fair' END AS verdict
+  FROM t GROUP BY lang""")
+def group_probe_cells(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return rounded(B.group_probe(cells(spark, sf).join(docs, "id"), "lang", "label", CELLS, 20, "42"), "accuracy", "f1")
+
 
 
 # A tree weighs the classes alike, so a cell's score is its share after weighting. Leaves side by side that name the same

@@ -1,5 +1,9 @@
 """Golden cases and traps of the rule matchers."""
 
+import random
+
+import pytest
+
 from tallyforge.operators import flatten as FL, patterns as P
 from tallyforge.operators.rules import CHAIN, Rule, rule_table
 
@@ -65,6 +69,51 @@ def test_chain_across_units(spark):
     assert pairs(P.cross_unit_chain_1hop(far, edge, rules)) == []
 
 
+def walk(calls, apis, window):
+    """Greedy chain over (node, api, position) rows, written as the rule reads."""
+    found, at = [], None
+    for api in apis:
+        later = sorted((p, n) for n, a, p in calls if a == api and (at is None or p > at))
+        if not later or (at is not None and later[0][0] - at > window):
+            break
+        at = later[0][0]
+        found.append(later[0][1])
+    return found
+
+
+def plain_1hop(units, edges, rules, window):
+    out = set()
+    for rule in rules:
+        for src, dst in edges:
+            if src == dst or src not in units or dst not in units:
+                continue
+            own = walk(units[dst], rule.apis, window)
+            if len(own) == len(rule.apis) and len(own) >= rule.min_len:
+                continue
+            shift = max(p for _, _, p in units[src]) + 1
+            found = walk(units[src] + [(n, a, p + shift) for n, a, p in units[dst]], rule.apis, window)
+            sides = {n in {x for x, _, _ in units[src]} for n in found}
+            if len(found) >= max(rule.min_len, 2) and len(sides) == 2:
+                out |= {(a, b, rule.technique_id) for a, b in zip(found, found[1:])}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_across_random_units(spark, seed):
+    rnd = random.Random(seed)
+    rules = [Rule("R1", "r1", CHAIN, apis=("A", "B", "C", "D")), Rule("R2", "r2", CHAIN, apis=("A", "B", "A"), min_len=3), Rule("R3", "r3", CHAIN, apis=("C", "A"))]
+    units = {}
+    for u in range(60):
+        step = rnd.choice([1, 1, 3])
+        units[f"u{u}"] = [(f"u{u}n{i}", rnd.choice("ABCDxyz" if u % 2 else "ABCD"), i * step + rnd.randrange(step)) for i in range(rnd.randint(1, 14))]
+    edges = [(f"u{rnd.randrange(62)}", f"u{rnd.randrange(62)}") for _ in range(400)]
+    c = spark.createDataFrame([(1, u, n, a, p) for u, rows in units.items() for n, a, p in rows], CALLS)
+    e = spark.createDataFrame([(1, a, b) for a, b in edges + edges[:20]], "sample long, src string, dst string")
+    got = P.cross_unit_chain_1hop(c, e, rule_table(spark, rules), 4)
+    want = plain_1hop(units, set(edges), rules, 4)
+    assert want and sorted((r["src"], r["dst"], r["technique_id"]) for r in got.collect()) == want
+
+
 def test_structural(spark):
     df = spark.createDataFrame([([6.1, 7.6, 5.0], 20), ([], 20), (None, 3)], "e array<double>, n int")
     got = [tuple(r)[2:] for r in P.structural_indicators(df, "e", "n").collect()]
