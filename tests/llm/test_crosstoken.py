@@ -103,6 +103,17 @@ def test_small_steps_of_the_merge():
     assert all(int(x[0][-1]) < int(y[0][0]) for x, y in zip(steps, steps[1:]))  # no pair in two steps
 
 
+def test_ranks_give_the_tokens_of_the_file():
+    encode, _ = crosstoken._first(FIRST)
+    own = Tokenizer.from_file(FIRST)
+    own.encode_special_tokens = True
+    rnd = random.Random(2)
+    pool = [chr(i) for i in range(0x250)] * 2 + list(" \n\t'sdt12.  ") * 40 + list("漢字\u2009😀\ua7cb\u1c89\u0870")
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 50))) for _ in range(3000)] + ["x" * 20_000, " " * 3000, "<|endoftext|>", "don't 'S'll"]
+    assert encode(texts) == [own.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert any(crosstoken.LATER.search(t) for t in texts) and not all(crosstoken.LATER.search(t) for t in texts)
+
+
 def test_empty_and_tokenless_tables(spark):
     settings = crosstoken.Settings(FIRST, SECOND)
     assert crosstoken.aligned_documents(frame(spark, ODD).limit(0), settings).count() == 0
