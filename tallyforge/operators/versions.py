@@ -12,7 +12,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .dedup import hashed_rows, tree_levels
@@ -91,16 +91,13 @@ def _below(table: DataFrame, parents: DataFrame, digits: int) -> DataFrame:
     if len(names) <= NAMED:
         near = table.filter(F.col("folder").isin(sorted({n[:FOLDER] for n in names})))
         # the ends of a node's range let row groups be skipped
-        inside: Column = F.lit(False)
-        for lo, hi in _ranges(names):
-            inside = inside | F.col("h").between(lo, hi)
-        return near.filter(inside)
+        return near.filter(" OR ".join(f"h BETWEEN '{lo}' AND '{hi}'" for lo, hi in _ranges(names)) or "false")
     keys = parents.select(F.substring("h", 1, FOLDER).alias("folder"), F.col("h").alias("_node"))
     return table.withColumn("_node", F.substring("h", 1, digits)).join(keys, ["folder", "_node"], "left_semi").drop("_node")
 
 
-def _ranges(names: Sequence[str]) -> list[tuple[str, str]]:
-    """Neighbouring nodes as one range of hashes; at most 256 ranges, joined at their nearest ends beyond that.
+def _ranges(names: Sequence[str], most: int = 64) -> list[tuple[str, str]]:
+    """Neighbouring nodes as one range of hashes; at most ``most`` ranges, joined at their nearest ends beyond that.
 
     What lies between is equal on both sides, or it would be among the names, and drops out of the comparison again.
     """
@@ -110,9 +107,9 @@ def _ranges(names: Sequence[str]) -> list[tuple[str, str]]:
             spans[-1][1] = n
         else:
             spans.append([n, n])
-    while len(spans) > 256:
+    while len(spans) > most:
         gaps = [int(b[0], 16) - int(a[1], 16) for a, b in zip(spans, spans[1:])]
-        limit = sorted(gaps)[len(spans) - 257]
+        limit = sorted(gaps)[len(spans) - most - 1]
         merged = [spans[0]]
         for gap, span in zip(gaps, spans[1:]):
             if gap <= limit:

@@ -65,4 +65,4 @@ def test_ranges():
     assert V._ranges(["00a1", "00a2", "00a3", "00b0"]) == [("00a1", "00a3g"), ("00b0", "00b0g")]
     names = [f"{i:08x}" for i in range(0, 4000, 10)]
     spans = V._ranges(names)
-    assert len(spans) <= 256 and all(any(lo <= n + "ff" <= hi for lo, hi in spans) for n in names)
+    assert len(spans) <= 64 and all(any(lo <= n + "ff" <= hi for lo, hi in spans) for n in names)
