@@ -50,7 +50,7 @@ def stream_update_vocab(spark, sf):
 
 
 @query("stream_ordered_chain", f"""WITH {A.EVENT_EDGES_SQL}, bounds AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
-  SELECT sample::VARCHAR AS sample, unit, src, dst, technique_id, confidence FROM chain_edges, bounds
+  SELECT sample::VARCHAR AS sample, unit, src, dst, technique_id, confidence FROM edges, bounds
   WHERE strptime(split_part(unit, '|', 2), '%Y-%m-%d') + INTERVAL 7 DAY < mark""")
 def stream_ordered_chain(spark, sf):
     folder = new_dir(spark, "chain")
@@ -59,6 +59,6 @@ def stream_ordered_chain(spark, sf):
         F.col("user_id").alias("sample"), F.concat_ws("|", "user_id", F.date_format(week, "yyyy-MM-dd")).alias("unit"),
         F.lpad(F.col("event_id").cast("string"), 20, "0").alias("node_id"), F.col("event_type").alias("api"), "ts",
         (week + F.expr("interval 7 days")).alias("unit_end"))
-    J.stream_ordered_chain(rows, A.EVENT_RULES[:1], folder, A.WINDOW)
+    J.stream_ordered_chain(rows, A.EVENT_RULES, folder, A.WINDOW)
     strip = lambda c: F.col(c).cast("long").cast("string").alias(c)
     return J.appended(spark, folder, J.CHAIN_OUT).select("sample", "unit", strip("src"), strip("dst"), "technique_id", "confidence")

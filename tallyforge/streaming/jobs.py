@@ -6,14 +6,16 @@ output.  State is bounded by a small key set or by a watermark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.patterns import ordered_chain
+from ..operators.patterns import seed_edges
 from ..operators.rules import rule_table
 from ..operators.vocab import UNK, update_vocab
-from ..scale import ranked
+from ..scale import materialize, ranked
 
 
 def stream_funnel(stream: DataFrame) -> DataFrame:
@@ -85,43 +87,71 @@ def vocab_version(spark: SparkSession, folder: str, version: int | None = None)
 
 
 CHAIN_OUT = "sample string, unit string, src string, dst string, technique_id string, confidence string"
+CALL = "node_id string, api string, ts timestamp"
+CLOSED = f"sample string, unit string, {CALL}"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Buffer(StatefulProcessor):
+    """Keeps the rows of a unit until the watermark passes its end, then gives them all out and forgets the unit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", CALL)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            if not self.rows.exists():
+                # fires once the watermark is past the end, not at it
+                self.handle.registerTimer(int(chunk["unit_end"].iloc[0].timestamp() * 1000) + 1)
+            self.rows.appendList(list(chunk[["node_id", "api", "ts"]].itertuples(index=False, name=None)))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = pd.DataFrame(list(self.rows.get()), columns=["node_id", "api", "ts"])
+        out.insert(0, "unit", key[1])
+        out.insert(0, "sample", key[0])
+        self.rows.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def closed_units(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """The rows (sample, unit, node_id, api, ts) of each unit, all at once, when it closes.
+
+    A unit closes when the watermark, which trails the latest ``ts`` seen by ``watermark``, has passed its ``unit_end``.
+    Till then its rows are kept as keyed state, and a timer per unit gives them out and drops them, so the state
+    holds open units only. Rows may come in any order; those older than the watermark are left out.
+    """
+    rows = stream.select(F.coalesce(F.col("sample").cast("string"), F.lit("")).alias("sample"), F.coalesce(F.col("unit").cast("string"), F.lit("")).alias("unit"),
+                         F.col("node_id").cast("string").alias("node_id"), "api", "ts", "unit_end")
+    return (rows.withWatermark("ts", watermark).groupBy("sample", "unit")
+            .transformWithStateInPandas(_Buffer(), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime"))
 
 
 def stream_ordered_chain(stream: DataFrame, rules: Sequence, folder: str, window: int = 8, watermark: str = "1 day") -> None:
-    """Greedy chain edges of all rules, per unit, once the watermark has passed the unit's end.
+    """Edges of all rules, chains, sets and families, per unit, once ``closed_units`` gives the unit out.
 
-    ``stream`` is ``(sample, unit, node_id, api, ts, unit_end)``.  Each batch files its rows under the day their
-    unit ends and moves the watermark, which trails the latest time seen by ``watermark``.  Units that it
-    passed are read back from their days, put in (ts, node_id) order and matched by the batch operator, so rows may
-    arrive in any order until their unit is closed, and the result does not depend on the batches.  Rows of a closed
-    unit come too late and are left out.  Output goes to ``folder/data``, one partition per batch.
+    ``stream`` is ``(sample, unit, node_id, api, ts, unit_end)``. Units come whole, so they are put in (ts, node_id)
+    order and matched by the batch operator, ``seed_edges``, and the result does not depend on how rows fall into batches as long as none is
+    later than the watermark. Output goes to ``folder/data``, one partition per batch.
     """
     spark = stream.sparkSession
-    names = "sample string, unit string, node_id string, api string, ts timestamp, unit_end timestamp"
 
     def step(df: DataFrame, batch: int) -> None:
-        rows = df.select(F.col("sample").cast("string").alias("sample"), F.col("unit").cast("string").alias("unit"),
-                         F.col("node_id").cast("string").alias("node_id"), "api", "ts", "unit_end")
-        (rows.withColumn("day", F.to_date("unit_end")).write.mode("overwrite").partitionBy("day")
-         .parquet(f"{folder}/rows/batch={batch}"))
-        marks = [r["mark"] for r in spark.read.schema("mark timestamp, batch long").parquet(f"{folder}/marks")
-                 .filter(F.col("batch") < batch).agg(F.max("mark").alias("mark")).collect()] if batch else [None]
-        before = marks[0]
-        seen = rows.agg((F.max("ts") - F.expr(f"interval {watermark}")).alias("mark")).first()["mark"]
-        mark = max((m for m in (before, seen) if m is not None), default=None)
-        spark.createDataFrame([(mark,)], "mark timestamp").write.mode("overwrite").parquet(f"{folder}/marks/batch={batch}")
-        if mark is None:
-            return
-        kept = spark.read.schema(f"{names}, batch long, day date").parquet(f"{folder}/rows").filter(
-            (F.col("day") <= F.lit(mark.date())) & (F.col("unit_end") < F.lit(mark)) & (F.col("batch") <= batch))
-        if before is not None:
-            kept = kept.filter((F.col("day") >= F.lit(before.date())) & (F.col("unit_end") >= F.lit(before)))
-        calls = ranked(kept.select("sample", "unit", "node_id", "api", "ts"), ["sample", "unit"],
-                       [F.col("ts"), F.col("node_id")], "position", 0)
-        found = ordered_chain(calls, rule_table(spark, list(rules)), window)
+        calls = ranked(materialize(df), ["sample", "unit"], [F.col("ts"), F.col("node_id")], "position", 0)
+        found = seed_edges(calls, rule_table(spark, list(rules)), window)
         (found.select("sample", "unit", "src", "dst", "technique_id", "confidence").write.mode("overwrite")
          .parquet(f"{folder}/data/batch={batch}"))
 
-    query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
-             .trigger(availableNow=True).start())
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)  # keyed state of this kind needs it; a query keeps what it was started with
+    try:
+        query = (closed_units(stream, watermark).writeStream.outputMode("append").foreachBatch(step)
+                 .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()

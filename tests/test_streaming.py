@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import patterns as P, vocab as V
-from tallyforge.operators.rules import CHAIN, Rule, rule_table
+from tallyforge.operators.rules import CHAIN, FAMILY, SET, Rule, rule_table
 from tallyforge.scale import ranked
 from tallyforge.streaming import jobs as J
 
@@ -29,9 +30,9 @@ def test_vocab_grows_without_renumbering(spark, tmp_path):
     assert set(versions[-1]) == seen | {"<UNK>"}
 
 
-def test_chain_equals_batch_with_disorder(spark, tmp_path):
+@pytest.mark.parametrize("batches", [1, 4])
+def test_rules_equal_batch_with_disorder(spark, tmp_path, batches):
     rnd = random.Random(8)
-    rule = Rule("R", "r", CHAIN, apis=("a", "b", "c"))
     rows = []
     for unit in range(12):
         for i in range(30):
@@ -39,19 +40,33 @@ def test_chain_equals_batch_with_disorder(spark, tmp_path):
     rows.append((9, "tail", "z", "a", 40 * 86400))
     rows.sort(key=lambda r: r[4] + rnd.random() * 3000)  # late by less than the watermark
     schema = "sample long, unit string, node_id string, api string, s long"
-    step = len(rows) // 4 + 1
+    step = len(rows) // batches + 1
     for i in range(0, len(rows), step):
         part = spark.createDataFrame(rows[i:i + step], schema).withColumn("ts", F.timestamp_seconds("s"))
         part.withColumn("unit_end", F.date_trunc("day", "ts") + F.expr("interval 1 day")).coalesce(1) \
             .write.mode("append").parquet(str(tmp_path / "in"))
     full = spark.read.parquet(str(tmp_path / "in"))
-    rules = [rule, Rule("Q", "q", CHAIN, apis=("x", "y"))]
+    rules = [Rule("R", "r", CHAIN, apis=("a", "b", "c")), Rule("Q", "q", CHAIN, apis=("x", "y")), Rule("S", "s", SET, apis=("y", "z")), Rule("F", "f", FAMILY, prefixes=("c",))]
     J.stream_ordered_chain(feed(spark, str(tmp_path / "in"), full.schema), rules, str(tmp_path / "out"), 8, "1 hour")
     got = sorted(map(tuple, J.appended(spark, str(tmp_path / "out"), J.CHAIN_OUT).collect()))
     calls = ranked(full.filter("unit <> 'tail'"), ["sample", "unit"], [F.col("ts"), F.col("node_id")], "position", 0)
     want = sorted((str(r["sample"]), r["unit"], r["src"], r["dst"], r["technique_id"], r["confidence"])
-                  for r in P.ordered_chain(calls, rule_table(spark, rules), 8).collect())
-    assert want and got == want
+                  for r in P.seed_edges(calls, rule_table(spark, rules), 8).collect())
+    assert {r[4] for r in want} == {"R", "Q", "S", "F"} and got == want
+    # the state has forgotten every closed unit; the last one is still open
+    left = spark.read.format("statestore").option("path", f"{tmp_path}/out/checkpoint").option("stateVarName", "rows").load()
+    assert {r["key"]["unit"] for r in left.select("key").collect()} == {"tail"}
+
+
+def test_restarted_stream_goes_on(spark, tmp_path):
+    schema = "sample long, unit string, node_id string, api string, ts timestamp, unit_end timestamp"
+    rules = [Rule("R", "r", CHAIN, apis=("a", "b"))]
+    for part in ([("u", "n1", "a", 10)], [("u", "n2", "b", 20)], [("v", "n3", "a", 90_000), ("w", "n4", "a", 300_000)]):
+        df = spark.createDataFrame(part, "unit string, node_id string, api string, s long").withColumn("ts", F.timestamp_seconds("s"))
+        df.select(F.lit(1).cast("long").alias("sample"), "unit", "node_id", "api", "ts", (F.date_trunc("day", "ts") + F.expr("interval 1 day")).alias("unit_end")) \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        J.stream_ordered_chain(feed(spark, str(tmp_path / "in"), schema), rules, str(tmp_path / "out"), 8, "1 hour")
+    assert [(r["unit"], r["src"], r["dst"]) for r in J.appended(spark, str(tmp_path / "out"), J.CHAIN_OUT).collect()] == [("u", "n1", "n2")]
 
 
 def test_funnel_and_dedup_over_batches(spark, tmp_path):
