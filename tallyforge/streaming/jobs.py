@@ -7,6 +7,7 @@ output.  State is bounded by a small key set or by a watermark.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -87,47 +88,48 @@ def vocab_version(spark: SparkSession, folder: str, version: int | None = None)
 
 
 CHAIN_OUT = "sample string, unit string, src string, dst string, technique_id string, confidence string"
-CALL = "node_id string, api string, ts timestamp"
-CLOSED = f"sample string, unit string, {CALL}"
+CLOSED = "sample string, unit string, node_id string, api string, ts timestamp"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Buffer(StatefulProcessor):
-    """Keeps the rows of a unit until the watermark passes its end, then gives them all out and forgets the unit."""
+    """Keeps the rows of the units of one slot and end until the watermark passes that end, then gives them out and forgets them."""
+
+    names = [c.split()[0] for c in CLOSED.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", CALL)
+        self.rows = handle.getListState("rows", CLOSED)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # fires once the watermark is past the end, not at it; naming the same time again changes nothing
+        self.handle.registerTimer(int(key[1].timestamp() * 1000) + 1)
         for chunk in rows:
-            if not self.rows.exists():
-                # fires once the watermark is past the end, not at it
-                self.handle.registerTimer(int(chunk["unit_end"].iloc[0].timestamp() * 1000) + 1)
-            self.rows.appendList(list(chunk[["node_id", "api", "ts"]].itertuples(index=False, name=None)))
+            self.rows.appendList(list(chunk[self.names].itertuples(index=False, name=None)))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = pd.DataFrame(list(self.rows.get()), columns=["node_id", "api", "ts"])
-        out.insert(0, "unit", key[1])
-        out.insert(0, "sample", key[0])
+        kept = iter(self.rows.get())
+        while chunk := list(islice(kept, 10_000)):
+            yield pd.DataFrame(chunk, columns=self.names)
         self.rows.clear()
-        yield out
 
     def close(self) -> None:
         pass
 
 
-def closed_units(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+def closed_units(stream: DataFrame, watermark: str = "1 day", slots: int = 64) -> DataFrame:
     """The rows (sample, unit, node_id, api, ts) of each unit, all at once, when it closes.
 
     A unit closes when the watermark, which trails the latest ``ts`` seen by ``watermark``, has passed its ``unit_end``.
-    Till then its rows are kept as keyed state, and a timer per unit gives them out and drops them, so the state
-    holds open units only. Rows may come in any order; those older than the watermark are left out.
+    Till then its rows are kept as keyed state, and a timer gives them out and drops them, so the state holds open units
+    only. Units of one end are dealt to ``slots`` keys, as a key and a timer per unit cost more than its rows; a
+    key's rows come out in chunks. Rows may come in any order; those older than the watermark, or without an end, are left out.
     """
     rows = stream.select(F.coalesce(F.col("sample").cast("string"), F.lit("")).alias("sample"), F.coalesce(F.col("unit").cast("string"), F.lit("")).alias("unit"),
                          F.col("node_id").cast("string").alias("node_id"), "api", "ts", "unit_end")
-    return (rows.withWatermark("ts", watermark).groupBy("sample", "unit")
+    rows = rows.filter(F.col("unit_end").isNotNull()).withColumn("slot", F.pmod(F.xxhash64("sample", "unit"), F.lit(slots)))
+    return (rows.withWatermark("ts", watermark).groupBy("slot", "unit_end")
             .transformWithStateInPandas(_Buffer(), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime"))
 
 
