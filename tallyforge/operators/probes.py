@@ -14,6 +14,7 @@ from ..functions.stats import ratio
 from ..scale import first_rows, keyed_join, materialize
 from .features import class_weights_balanced
 from .grouped import group_logistic, verdict
+from .links import PairNet, pair_scores
 from .metrics import roc_auc
 from .sampling import balance_per_group, stratified_split
 
@@ -133,23 +134,29 @@ def majority_from_label(df: DataFrame, target: str, label: str) -> DataFrame:
     return per.agg(ratio(F.sum("best"), F.sum("n")).alias("accuracy"), F.count(F.lit(1)).alias("n_labels"))
 
 
-def pair_link_probe(vectors: DataFrame, pairs: DataFrame, dim: int, threshold: float = 0.5, max_pairs: int | None = None,
-                    seed: int = 42, iterations: int = 30) -> DataFrame:
-    """Predicted links of node pairs from their concatenated vectors, learned from weak labels.
+def pair_net(vectors: DataFrame, pairs: DataFrame, dim: int, seed: int = 42, iterations: int = 30) -> PairNet:
+    """A network fitted on labelled pairs: two hidden layers, of ``dim`` and half as many units.
 
-    ``vectors`` is ``(graph, i, vector)``, ``pairs`` ``(graph, i, j, label)`` as given by
-    ``negative_pair_sampling``.  All candidates above the threshold are returned, or the
-    ``max_pairs`` best of each graph if that is given.
+    ``vectors`` is ``(graph, i, vector)``, ``pairs`` ``(graph, i, j, label)`` as given by ``negative_pair_sampling``.
     """
     a = vectors.select("graph", "i", F.col("vector").alias("va"))
     b = vectors.select("graph", F.col("i").alias("j"), F.col("vector").alias("vb"))
     rows = keyed_join(keyed_join(pairs, a, ["graph", "i"]), b, ["graph", "j"])
-    rows = materialize(rows.select("graph", "i", "j", "label", F.concat("va", "vb").alias("x")))
+    rows = materialize(rows.select("label", F.concat("va", "vb").alias("x")))
     data = rows.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     net = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[2 * dim, dim, max(dim // 2, 2), 2],
                                          seed=seed, maxIter=iterations)
-    scored = net.fit(data).transform(data).withColumn("p", vector_to_array("probability")[1])
-    links = scored.filter(F.col("p") > threshold).select("graph", "i", "j", "label", "p")
+    return PairNet.of(net.fit(data))
+
+
+def pair_link_probe(vectors: DataFrame, pairs: DataFrame, candidates: DataFrame, dim: int, threshold: float = 0.5,
+                    max_pairs: int | None = None, seed: int = 42, iterations: int = 30) -> DataFrame:
+    """Links that a network, learned from weakly labelled ``pairs``, predicts among ``candidates`` (graph, i, j).
+
+    All candidates above the threshold are returned, or the ``max_pairs`` best of each graph if that is given.
+    """
+    net = pair_net(vectors, pairs, dim, seed, iterations)
+    links = pair_scores(vectors, candidates.select("graph", "i", "j"), net).filter(F.col("p") > threshold)
     if max_pairs is None:
         return links
     return first_rows(links, ["graph"], [F.col("p").desc(), F.col("i").asc(), F.col("j").asc()], max_pairs)

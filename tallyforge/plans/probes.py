@@ -6,9 +6,10 @@ partition, where the fit has a closed form: a model that can tell the cells apar
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import features as X, grouped as G, metrics as M, probes as B, sampling as S
+from ..operators import features as X, grouped as G, links as K, metrics as M, probes as B, sampling as S
 from ..scale import materialize, ranked
 from . import adapters as A
 from .registry import big, query, rounded, table
@@ -111,15 +112,52 @@ def majority_from_label(spark, sf):
     return rounded(B.majority_from_label(table(spark, sf, "documents"), "source", "lang"), "accuracy")
 
 
-# Vectors of one label are a graph; neighbours by vec_id with close first components are its positives.
-@query("pair_link_probe")
-def pair_link_probe(spark, sf):
+# Vectors of one label are a graph; neighbours by vec_id with a positive first component are its positives.
+def link_graphs(spark, sf):
     vec = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("graph"), "vec_id", F.col("embedding").alias("vector"))
-    index = ranked(vec, ["graph"], [F.col("vec_id")], "i", 0).drop("vec_id")
+    index = materialize(ranked(vec, ["graph"], [F.col("vec_id")], "i", 0).drop("vec_id"))
     sizes = index.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
     pos = index.filter(F.col("vector")[0] > 0).select("graph", "i", (F.col("i") + 1).alias("j"))
-    pairs = S.negative_pair_sampling(sizes, pos, 3, "42")
-    return rounded(B.pair_link_probe(index, pairs, 64), "p", places=4)
+    return index, sizes, pos
+
+
+@query("pair_link_probe")
+def pair_link_probe(spark, sf):
+    index, sizes, pos = link_graphs(spark, sf)
+    pairs = materialize(S.negative_pair_sampling(sizes, pos, 3, "42"))
+    candidates = K.link_candidates(sizes, 10, pairs, "43")
+    return rounded(B.pair_link_probe(index, pairs, candidates, 64), "p", places=4)
+
+
+LINKS_SQL = """WITH v AS (SELECT label::BIGINT AS graph, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS x FROM embeddings),
+  sizes AS (SELECT graph, count(*) AS n FROM v GROUP BY graph),
+  t AS (SELECT graph, n, unnest(range(least(10 * n, n * (n - 1)))) AS t FROM sizes WHERE n >= 2),
+  c AS (SELECT DISTINCT graph, ('0x' || substr(md5('43|' || graph || '|' || t || '|i'), 1, 8))::BIGINT % n AS i,
+               ('0x' || substr(md5('43|' || graph || '|' || t || '|j'), 1, 8))::BIGINT % n AS j FROM t),
+  u AS (SELECT c.* FROM c WHERE i <> j AND NOT EXISTS (SELECT 1 FROM v WHERE v.graph = c.graph AND v.i = c.i AND c.j = c.i + 1 AND v.x[1] > 0))"""
+
+
+@query("link_candidates", f"{LINKS_SQL} SELECT graph, i, j FROM u")
+def link_candidates(spark, sf):
+    _, sizes, pos = link_graphs(spark, sf)
+    return K.link_candidates(sizes, 10, pos, "43")
+
+
+# A network with weights by rule: 4 hidden units, one output.
+FIXED = K.PairNet(64, (
+    (np.array([[((7 * o + 3 * k) % 11 - 5) / 10 for k in range(128)] for o in range(4)]), np.array([o / 10 for o in range(4)])),
+    (np.array([[1.5, -2.0, 1.0, -0.5]]), np.array([0.25]))))
+
+
+@query("pair_scores", f"""{LINKS_SQL},
+  h AS (SELECT graph, i, list_transform(range(4), lambda o: list_dot_product(x, list_transform(range(64), lambda k: ((7 * o + 3 * k) % 11 - 5) / 10.0::DOUBLE))) AS l,
+               list_transform(range(4), lambda o: list_dot_product(x, list_transform(range(64, 128), lambda k: ((7 * o + 3 * k) % 11 - 5) / 10.0::DOUBLE))) AS r FROM v),
+  z AS (SELECT u.graph, u.i, u.j, list_transform(range(4), lambda o: 1 / (1 + exp(-(a.l[o + 1] + b.r[o + 1] + o / 10.0)))) AS z
+        FROM u JOIN h a ON a.graph = u.graph AND a.i = u.i JOIN h b ON b.graph = u.graph AND b.i = u.j)
+  SELECT graph, i, j, round(1 / (1 + exp(-(0.25 + 1.5 * z[1] - 2.0 * z[2] + z[3] - 0.5 * z[4]))), 6) AS p FROM z""")
+def pair_scores(spark, sf):
+    index, sizes, pos = link_graphs(spark, sf)
+    return rounded(K.pair_scores(index, K.link_candidates(sizes, 10, pos, "43"), FIXED), "p")
 
 
 # Cells are the remainders of the id by 3; parts are by 5, from another digit of the id's hash order.
