@@ -194,7 +194,7 @@ def op4_jaccard_join(spark, sf_dir):
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 URL_SQL = r"""
-WITH p0 AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
+WITH RECURSIVE p0 AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
 p1 AS (SELECT r, page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
               regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
               regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS low FROM p0),
@@ -216,16 +216,18 @@ lt AS (SELECT tok.r, t, label FROM tok JOIN p ON p.r = tok.r WHERE label IS NOT
 least_n AS (SELECT ceil(0.005 * count(DISTINCT r)) AS m FROM lt),
 fr AS (SELECT t FROM lt GROUP BY t HAVING count(*) >= (SELECT m FROM least_n)),
 f AS (SELECT lt.* FROM lt JOIN fr ON fr.t = lt.t),
-sets AS (SELECT r, label, [t] AS s FROM f
-  UNION ALL SELECT a.r, a.label, [a.t, b.t] FROM f a JOIN f b ON a.r = b.r AND a.t < b.t
-  UNION ALL SELECT a.r, a.label, [a.t, b.t, c.t] FROM f a JOIN f b ON a.r = b.r AND a.t < b.t JOIN f c ON b.r = c.r AND b.t < c.t),
+sets AS (SELECT r, label, [t] AS s, t FROM f
+  UNION ALL SELECT a.r, a.label, list_append(a.s, b.t), b.t FROM sets a JOIN f b ON a.r = b.r AND a.t < b.t),
 cnt AS (SELECT s, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY s) AS total FROM sets GROUP BY s, label),
-mined AS (SELECT s, label, n, n / total AS conf FROM cnt WHERE n >= (SELECT m FROM least_n) AND n / total >= 0.8),
-kept AS (SELECT *, row_number() OVER (ORDER BY conf DESC, n DESC, len(s) DESC, array_to_string(s, ' '), label) AS id FROM mined m
-         WHERE NOT EXISTS (SELECT 1 FROM mined k WHERE k.label = m.label AND len(k.s) < len(m.s) AND k.conf >= m.conf AND len(list_intersect(k.s, m.s)) = len(k.s))),
+led AS (SELECT s, label, n, n / total AS conf FROM cnt WHERE n >= (SELECT m FROM least_n)),
+parts_of AS (SELECT s, label, n, conf, list_filter(s, lambda x: x <> gone) AS part FROM (SELECT *, unnest(s) AS gone FROM led WHERE len(s) > 1)),
+best AS (SELECT s, label, n, conf, -1.0::DOUBLE AS sub, conf AS top FROM led WHERE len(s) = 1
+  UNION ALL SELECT p.s, p.label, p.n, p.conf, max(b.top), greatest(p.conf, max(b.top)) FROM best b JOIN parts_of p ON p.part = b.s AND p.label = b.label
+  GROUP BY p.s, p.label, p.n, p.conf),
+kept AS (SELECT *, row_number() OVER (ORDER BY conf DESC, n DESC, len(s) DESC, array_to_string(s, ' '), label) AS id FROM best WHERE conf >= 0.8 AND sub < conf),
 pt AS (SELECT r, list(t) AS ts FROM tok GROUP BY r),
-best AS (SELECT r, min_by(label, id) AS label FROM pt JOIN kept ON len(list_intersect(s, ts)) = len(s) GROUP BY r)
-SELECT page_id, host, path, rule, coalesce(listed, best.label, 'allow') AS verdict FROM p LEFT JOIN best ON p.r = best.r
+chosen AS (SELECT r, min_by(label, id) AS label FROM pt JOIN kept ON len(list_intersect(s, ts)) = len(s) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(listed, chosen.label, 'allow') AS verdict FROM p LEFT JOIN chosen ON p.r = chosen.r
 """
 
 

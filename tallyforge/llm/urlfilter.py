@@ -12,10 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from ..scale import may_broadcast
-from .common import Scratch
+from .common import Scratch, running_sums
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
@@ -87,22 +86,42 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, settings: Settings = Setti
     if not total:
         return scratch.spark.createDataFrame([], "rule_id int, tokens array<string>, label string, confidence double, n long")
     model = FPGrowth(itemsCol="items", minSupport=settings.support, minConfidence=settings.confidence).fit(baskets)
-    found = (model.associationRules.filter(F.col("consequent")[0].startswith(mark)
-                                           & ~F.exists("antecedent", lambda x: x.startswith(mark)))
-             .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(mark) + 1, 1 << 30).alias("label"),
-                     "confidence", F.round(F.col("support") * total).cast("long").alias("n")))
-    found = scratch.write(found, "mined")
-    # a shorter rule for the same label inside a longer one, by an inverted index over their tokens
-    key = F.array_join("tokens", " ")
-    keyed = found.select(key.alias("key"), "label", "confidence", F.size("tokens").alias("size"), "tokens")
-    short = keyed.select(F.explode("tokens").alias("token"), "label", F.col("key").alias("s_key"), F.col("size").alias("s_size"), F.col("confidence").alias("s_conf"))
-    inside = (keyed.select(F.explode("tokens").alias("token"), "label", "key", "size", "confidence").join(short, ["token", "label"])
-              .filter("s_size < size AND s_conf >= confidence").groupBy("key", "label", "s_key", "s_size").agg(F.count(F.lit(1)).alias("c"))
-              .filter("c = s_size").select("key", "label").distinct())
-    kept = found.withColumn("key", key).join(inside, ["key", "label"], "left_anti")
-    strength = [F.col("confidence").desc(), F.col("n").desc(), F.size("tokens").desc(), F.col("key"), F.col("label")]
-    return scratch.write(kept.withColumn("rule_id", F.row_number().over(Window.orderBy(*strength)))
-                         .select("rule_id", "tokens", "label", "confidence", "n"), "rules")
+    # only sets that lead to a label are of use: a set with the label over the set without it is the rule's confidence
+    split = model.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(mark))).alias("tokens"),
+                                      F.get(F.filter("items", lambda x: x.startswith(mark)), F.lit(0)).alias("l"), F.col("freq").alias("n"))
+    split = scratch.write(split.filter(F.size("tokens") > 0).withColumn("key", F.array_join("tokens", " ")), "sets")
+    sets = (split.filter(F.col("l").isNotNull()).withColumn("label", F.substring("l", len(mark) + 1, 1 << 30)).drop("l")
+            .join(split.filter(F.col("l").isNull()).select("key", F.col("n").alias("total")), "key")
+            .select("key", "tokens", "label", "n", (F.col("n") / F.col("total")).alias("confidence"), F.size("tokens").alias("size")))
+    sets = scratch.write(sets, "led")
+    kept = _needed(sets, scratch).filter(F.col("confidence") >= settings.confidence)
+    order = kept.withColumns({"_c": -F.col("confidence"), "_n": -F.col("n"), "_s": -F.col("size"), "_one": F.lit(1)})
+    ranked = running_sums(order, scratch, "strength", [], ["_c", "_n", "_s", "key", "label"], rule_id="_one")
+    return scratch.write(ranked.select((F.col("rule_id") + 1).cast("int").alias("rule_id"), "tokens", "label", "confidence", "n"), "rules")
+
+
+def _needed(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sets (key, tokens, label, n, confidence, size) of which no part gives the label with the same or a higher confidence.
+
+    Level by level of size: the best confidence inside a set is its own or the best inside one of the sets with one token
+    less, which are frequent as well. A level is one join on (set, label), linear in sets times tokens.
+    """
+    longest = sets.agg(F.max("size")).first()[0] or 0
+    below, kept = None, None
+    for size in range(1, longest + 1):
+        level = sets.filter(F.col("size") == size)
+        if below is None:
+            level = level.withColumn("part", F.lit(-1.0))
+        else:
+            part = F.array_join(F.filter("tokens", lambda x: x != F.col("gone")), " ")
+            parts = level.select("key", "label", F.explode("tokens").alias("gone"), "tokens").select("key", "label", part.alias("p_key"))
+            inside = parts.join(below, ["p_key", "label"]).groupBy("key", "label").agg(F.max("best").alias("part"))
+            level = level.join(inside, ["key", "label"])
+        level = scratch.write(level.withColumn("best", F.greatest("confidence", "part")), f"level{size}")
+        below = level.select(F.col("key").alias("p_key"), "label", "best")
+        needed = level.filter(F.col("part") < F.col("confidence")).select(*sets.columns)
+        kept = needed if kept is None else kept.unionByName(needed)
+    return sets if kept is None else kept
 
 
 def strongest_label(urls: DataFrame, rules: DataFrame, scratch: Scratch, tokens_col: str) -> DataFrame:
