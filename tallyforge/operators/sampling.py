@@ -256,6 +256,47 @@ def vendor_fraction_cap(df: DataFrame, vendor: str, value: str, frac: float, key
     return df.filter(~mine).unionByName(kept)
 
 
+def _named(col: str) -> Column:
+    """A join key that a null has as well."""
+    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
+
+
+def vendor_limits(df: DataFrame, bin: str, vendor: str, frac: float) -> DataFrame:
+    """(_bin, _limit): the most rows per vendor of each bin with which no vendor has more than ``frac`` of what stays.
+
+    A cut lowers the bin's total and so the limit itself; this is the fixed point. With vendors in order of size, what stays
+    is the least, over j, of the j smallest in full plus the limit for all others, so the limit is the least bound
+    that any j gives. Where ``frac`` times the vendors is below 1 only an empty bin obeys, and the limit is 0. Only
+    (bin, vendor) counts are looked at.
+    """
+    counts = df.groupBy(_named(bin).alias("_bin"), _named(vendor).alias("_vendor")).agg(F.count(F.lit(1)).alias("_n"))
+    scan = prefix_scan(counts, ["_bin"], [F.col("_n").asc(), F.col("_vendor").asc()], _sum=Carry("sum", F.col("_n")), _j=Carry("count"))
+    scan = keyed_join(scan, counts.groupBy("_bin").agg(F.count(F.lit(1)).alias("_m")), ["_bin"])
+
+    def bound(j: Column, total: Column) -> Column:
+        share = F.lit(1.0) - F.lit(float(frac)) * (F.col("_m") - j)
+        return F.when(share > 1e-12, F.lit(float(frac)) * total / share)
+    # before the row: its smaller vendors in full; after the last row: all of them
+    bounds = F.least(bound(F.col("_j"), F.col("_sum")), bound(F.col("_j") + 1, F.col("_sum") + F.col("_n")))
+    return scan.groupBy("_bin").agg(F.floor(F.min(bounds) + 1e-9).alias("_limit"))
+
+
+def vendor_cap_per_bin(df: DataFrame, bin: str, vendor: str, frac: float, seed: str, key: str = "id", short: str = "drop") -> DataFrame:
+    """The largest part of ``df`` in which no vendor has more than ``frac`` of its bin, for all bins and vendors at once.
+
+    Of a vendor above the limit the first rows in seeded order stay. A null bin or vendor is one of its own. Bins with too
+    few vendors for any part to obey are dropped, or left as they are with ``short="keep"``.
+    """
+    limits = vendor_limits(df, bin, vendor, frac)
+    named = df.withColumns({"_bin": _named(bin), "_vendor": _named(vendor)})
+    limits = materialize(limits)
+    cap = lambda ranks: keyed_join(ranks, limits.withColumnRenamed("_limit", "_cap"), ["_bin"])
+    marked = _among_first(named, ["_bin", "_vendor"], _seeded(seed, key), cap)
+    if short == "keep":
+        marked = keyed_join(marked, limits, ["_bin"]).withColumn("_first", F.col("_first") | (F.col("_limit") == 0)).drop("_limit")
+    return marked.filter("_first").select(*df.columns)
+
+
 def bin_fraction_cap(df: DataFrame, pred: Column, frac: float, overflow_split: str, seed: str,
                      key: str = "id") -> DataFrame:
     """Add ``split``: rows matching ``pred`` train only up to ``frac`` of all training rows."""

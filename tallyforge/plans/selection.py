@@ -195,6 +195,19 @@ def vendor_fraction_cap(spark, sf):
     return S.vendor_fraction_cap(documents(spark, sf), "lang", "en", 0.2)
 
 
+# Sources are vendors and languages bins; the limit is looked for from below, one row more at a time.
+@query("vendor_cap_per_bin", f"""WITH RECURSIVE {DC},
+  v AS (SELECT lang, source, count(*) AS c FROM dc GROUP BY ALL),
+  lim AS (SELECT lang, list(c) AS cs, 0::BIGINT AS k FROM v GROUP BY lang
+    UNION ALL SELECT lang, cs, k + 1 FROM lim
+    WHERE k < list_max(cs) AND k + 1 <= 0.06::DOUBLE * list_sum(list_transform(cs, lambda c: least(c, k + 1))) + 1e-9),
+  best AS (SELECT lang, max(k) AS k FROM lim GROUP BY lang)
+  SELECT dc.* FROM dc JOIN best ON best.lang IS NOT DISTINCT FROM dc.lang
+  QUALIFY row_number() OVER (PARTITION BY dc.lang, source ORDER BY md5('{SEED}|' || id), id) <= k""")
+def vendor_cap_per_bin(spark, sf):
+    return S.vendor_cap_per_bin(documents(spark, sf), "lang", "source", 0.06, SEED)
+
+
 PT = "pt AS (SELECT p_partkey AS id, p_brand, p_type FROM part)"
 
 
