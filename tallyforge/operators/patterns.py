@@ -182,7 +182,8 @@ def entry_walks(matched: DataFrame, window: int) -> DataFrame:
     """
     near = matched.filter(F.col("position") < F.size("apis") * F.lit(int(window)))
     seqs = near.groupBy(*UNIT, "technique_id", "apis").agg(_seq().alias("seq")).filter(F.size("apis") > 1)
-    steps = seqs.withColumn("step", F.explode(F.sequence(F.lit(2), F.size("apis"))))
+    steps = (seqs.withColumn("step", F.explode(F.sequence(F.lit(2), F.size("apis"))))
+             .filter(F.expr(f"exists(seq, c -> c.api = element_at(apis, step) and c.position < {int(window)})")))
     walks = steps.withColumn("tail", F.expr(_chain_fold("seq", window, "slice(apis, step, size(apis))")))
     return (walks.select(*UNIT, "technique_id", "step", F.try_element_at("tail", F.lit(1))["position"].alias("at"), F.col("tail")["node_id"].alias("tail"))
             .filter(F.col("at") < int(window)))

@@ -80,16 +80,20 @@ def shared_blocks(spark, sf):
 @query("boundary_flags", f"""WITH {A.BLOCKS_SQL}, far AS ({FAR_SQL}), lap AS ({OVERLAP_SQL}), sp AS ({SPREAD_SQL}),
   nf AS (SELECT sample, unit, count(*) AS n FROM far GROUP BY ALL),
   no AS (SELECT sample, unit, count(*) AS n FROM lap GROUP BY ALL),
-  ns AS (SELECT sample, unit, count(*) AS n FROM segs GROUP BY ALL)
+  ns AS (SELECT sample, unit, count(*) AS n FROM segs GROUP BY ALL),
+  sh AS (SELECT sample, addr FROM blocks GROUP BY ALL HAVING count(DISTINCT unit) > 1),
+  nb AS (SELECT b.sample, b.unit, count(*) AS n_blocks, count(sh.addr) AS n_shared FROM blocks b LEFT JOIN sh ON sh.sample = b.sample AND sh.addr = b.addr GROUP BY ALL),
+  ni AS (SELECT event_type AS sample, user_id AS unit, count(*) AS n FROM events WHERE value >= 50 GROUP BY ALL)
   SELECT e.sample, e.unit, spread, round(coverage, 6) AS coverage, coalesce(ns.n, 0) AS n_segments,
-         coalesce(nf.n, 0) AS n_far, coalesce(no.n, 0) AS n_overlapped,
+         coalesce(nf.n, 0) AS n_far, coalesce(no.n, 0) AS n_overlapped, coalesce(ni.n, 0) AS n_insns, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_shared, 0)::BIGINT AS n_shared,
          concat_ws(',', CASE WHEN spread >= {A.MIN_SPREAD} AND coverage < {A.MAX_COVERAGE} THEN 'SPREAD' END,
                    CASE WHEN nf.n > 0 THEN 'FAR_UNLINK' END, CASE WHEN no.n > 0 THEN 'OVERLAP' END) AS flags
   FROM entries e JOIN sp USING (sample, unit) LEFT JOIN nf USING (sample, unit) LEFT JOIN no USING (sample, unit)
-  LEFT JOIN ns USING (sample, unit)""")
+  LEFT JOIN ns USING (sample, unit) LEFT JOIN nb USING (sample, unit) LEFT JOIN ni USING (sample, unit)""")
 def boundary_flags(spark, sf):
     blocks = A.event_blocks(spark, sf)
-    out = I.boundary_flags(A.unit_entries(blocks), blocks, A.block_links(blocks), PARAMS)
+    nodes = table(spark, sf, "events").filter("value >= 50").select(F.col("event_type").alias("sample"), F.col("user_id").alias("unit"))
+    out = I.boundary_flags(A.unit_entries(blocks), blocks, A.block_links(blocks), PARAMS, nodes)
     return rounded(out.withColumn("flags", F.concat_ws(",", "flags")).drop("entry", "is_spread"), "coverage")
 
 
