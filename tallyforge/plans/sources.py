@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import flatten as FL
 from ..scale import shared_dir
 from ..sources import files as IO
+from ..sources.samples import write_sample_json
 from . import adapters as A
 from .registry import big, query, rounded, table
 
@@ -30,6 +31,18 @@ def read_graph_json(spark, sf):
                "label", "n_units", "n_nodes")
 
 
+@query("write_graph_json", f"""WITH {A.DOC_NODES_SQL}, n AS (SELECT sample, count(*) AS n FROM dnodes GROUP BY sample)
+  SELECT doc_id::VARCHAR AS sample_id, doc_id::VARCHAR AS file_sample, (doc_id % 2)::BIGINT AS label, n_chars AS file_size,
+         coalesce(n, 0) AS n_nodes, 1::BIGINT AS n_records FROM documents LEFT JOIN n ON sample = doc_id""")
+def write_graph_json(spark, sf):
+    path = new_dir(spark, "samples")
+    write_sample_json(A.graph_records(spark, sf), path)
+    rec = IO.read_graph_json(spark, path)
+    n_nodes = F.aggregate(F.map_values(FL.UNITS), F.lit(0), lambda a, u: a + F.size(u["nodes"]))
+    per_file = rec.select("sample_id", IO.path_sample_id(F.col("_metadata.file_name")).alias("file_sample"), "label", "file_size", n_nodes.alias("n_nodes"))
+    return big(per_file.groupBy("sample_id", "file_sample", "label", "file_size", "n_nodes").agg(F.count(F.lit(1)).alias("n_records")), "label", "n_nodes")
+
+
 @query("write_manifest_sorted", """SELECT doc_id::VARCHAR AS sha256, quality AS label, source, NULL::BIGINT AS num_functions,
     NULL::VARCHAR AS cluster, lang AS split FROM documents JOIN labels USING (doc_id)""")
 def write_manifest_sorted(spark, sf):
