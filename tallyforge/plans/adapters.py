@@ -326,3 +326,14 @@ def graph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = F.map_from_entries(F.transform(F.split("text", "\n"), unit))
     return docs.select(F.col("doc_id").cast("string").alias("sample_id"), F.col("n_chars").alias("file_size"),
                        (F.col("doc_id") % 2).cast("int").alias("label"), units.alias("intra_procedural_graphs"))
+
+
+# ---- the hash tree over rows (h) as SQL
+def tree_sql(rows: str) -> str:
+    level = "l0"
+    parts = [f"l0 AS (SELECT h, h || ':' || count(*) AS digest, count(*) AS n FROM ({rows}) GROUP BY h)"]
+    for i, width in enumerate((12, 8, 4, 0), start=1):
+        parts.append(f"l{i} AS (SELECT substr(h, 1, {width}) AS h, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest, "
+                     f"sum(n)::BIGINT AS n FROM {level} GROUP BY substr(h, 1, {width}))")
+        level = f"l{i}"
+    return "WITH " + ", ".join(parts) + f" SELECT digest AS fingerprint, n AS n_rows FROM {level}"

@@ -200,17 +200,7 @@ def dataset_union_version(spark, sf):
     return D.dataset_union_version(D.anti_known(docs, labels, "doc_id").select(F.col("doc_id").alias("id"), "lang"), new)
 
 
-def tree_sql(rows: str) -> str:
-    level = "l0"
-    parts = [f"l0 AS (SELECT h, h || ':' || count(*) AS digest, count(*) AS n FROM ({rows}) GROUP BY h)"]
-    for i, width in enumerate((12, 8, 4, 0), start=1):
-        parts.append(f"l{i} AS (SELECT substr(h, 1, {width}) AS h, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest, "
-                     f"sum(n)::BIGINT AS n FROM {level} GROUP BY substr(h, 1, {width}))")
-        level = f"l{i}"
-    return "WITH " + ", ".join(parts) + f" SELECT digest AS fingerprint, n AS n_rows FROM {level}"
-
-
-@query("dataset_fingerprint", tree_sql("""SELECT sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+@query("dataset_fingerprint", A.tree_sql("""SELECT sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
     l_returnflag, l_linestatus)) AS h FROM lineitem"""))
 def dataset_fingerprint(spark, sf):
     return D.dataset_fingerprint(table(spark, sf, "lineitem").select(

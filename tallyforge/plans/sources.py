@@ -70,7 +70,27 @@ def read_manifest(spark, sf):
 def write_result_table(spark, sf):
     path = new_dir(spark, "result")
     IO.write_result_table(table(spark, sf, "nation").select("n_name", "n_regionkey"), path, "nation", "round trip")
-    return spark.read.schema("n_name string, n_regionkey int").option("header", True).csv(f"{path}/csv")
+    return IO.read_result_table(spark, path, "n_name string, n_regionkey int")
+
+
+NATION_HASH_SQL = A.tree_sql("SELECT sha256(concat_ws('|', n_name, n_regionkey)) AS h FROM nation")
+
+
+@query("result_table_outputs", rf"""WITH fp AS ({NATION_HASH_SQL}),
+  cells AS (SELECT n_name AS a, n_regionkey::VARCHAR AS b FROM nation)
+  SELECT 'csv' AS output, unnest(['# source: nation', '# note: all outputs', 'n_name,n_regionkey']) AS line UNION ALL SELECT 'csv', a || ',' || b FROM cells
+  UNION ALL SELECT 'latex', unnest(['% source: nation', '% note: all outputs', '\begin{{tabular}}{{lr}}', '\toprule', 'n\_name & n\_regionkey \\', '\midrule',
+                                    '\bottomrule', '\end{{tabular}}']) UNION ALL SELECT 'latex', replace(a, '_', '\_') || ' & ' || b || ' \\' FROM cells
+  UNION ALL SELECT 'manifest', unnest(['# Result tables', '', '| table | files | source | fingerprint | rows |', '|---|---|---|---|---|', ''])
+  UNION ALL SELECT 'manifest', '| nations | nations/csv, nations/latex | nation | ' || substr(fingerprint, 1, 16) || ' | ' || n_rows || ' |' FROM fp
+  UNION ALL SELECT 'manifest', '- nations = ' || fingerprint FROM fp""")
+def result_table_outputs(spark, sf):
+    base = new_dir(spark, "results")
+    IO.write_result_table(table(spark, sf, "nation").select("n_name", "n_regionkey"), f"{base}/nations", "nation", "all outputs")
+    IO.write_table_manifest(spark, base, ["nations"])
+    texts = [spark.read.text(path).select(F.lit(name).alias("output"), F.col("value").alias("line"))
+             for name, path in (("csv", f"{base}/nations/csv"), ("latex", f"{base}/nations/latex"), ("manifest", f"{base}/TABLES_MANIFEST"))]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2])
 
 
 @query("read_event_log", "SELECT user_id::VARCHAR AS app, event_type AS step, count(*) AS n FROM events GROUP BY ALL")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema as S
+from ..operators.dedup import dataset_fingerprint
 
 SAMPLE_SUFFIX = "_static.json"
 
@@ -39,16 +42,69 @@ def write_manifest_sorted(df: DataFrame, path: str, key: str) -> None:
      .write.option("ignoreNullFields", False).json(path))
 
 
-def write_result_table(df: DataFrame, path: str, source: str, note: str) -> None:
-    """A result table as CSV and as LaTeX rows, next to a provenance record."""
+def _cells(df: DataFrame) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in df.columns]
+
+
+def _latex(cell: Column) -> Column:
+    return F.regexp_replace(cell, r"([%_&#$])", r"\\$1")
+
+
+def _write_lines(spark: SparkSession, path: str, head: Sequence[str], rows: DataFrame, foot: Sequence[str]) -> None:
+    """Text in order over its part files: ``head``, the rows (place, value) by place, ``foot``."""
+    def fixed(section: int, lines: Sequence[str]) -> DataFrame:
+        texts = F.array(*[F.lit(t) for t in lines]).cast("array<string>")
+        return spark.range(1).select(F.lit(section).alias("section"), F.posexplode(texts).alias("line", "value"))
+    both = fixed(0, head).unionByName(fixed(2, foot)).withColumn("place", F.lit(None).cast(rows.schema["place"].dataType))
+    body = rows.select(F.lit(1).alias("section"), F.lit(0).alias("line"), "value", "place")
+    (both.unionByName(body).repartitionByRange("section", "line", "place").sortWithinPartitions("section", "line", "place")
+     .select("value").write.text(path))
+
+
+def write_result_table(df: DataFrame, path: str, source: str, note: str = "") -> None:
+    """A result table below ``path``: ``csv``, ``latex`` and ``provenance``.
+
+    Both texts open with where the numbers come from and, if there is one, a note. The CSV then has its header and rows, the
+    LaTeX a ``tabular`` with rules, its first column to the left and the others to the right. Rows are in order of their
+    columns. Null cells are ``--`` in LaTeX and empty in the CSV. The provenance record names the columns, and
+    has the fingerprint and number of the rows, which ``write_table_manifest`` gathers.
+    """
     spark = df.sparkSession
-    head = spark.range(1).select(F.lit(source).alias("source"), F.lit(note).alias("note"),
-                                 F.lit(",".join(df.columns)).alias("columns"))
-    head.write.json(f"{path}/provenance")
-    df.write.option("header", True).csv(f"{path}/csv")
-    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("--")), r"([%_&#])", r"\\$1") for c in df.columns]
-    row = F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\"))
-    df.select(row.alias("value")).write.text(f"{path}/latex")
+    notes = [f"source: {source}", *([f"note: {note}"] if note else [])]
+    place = F.struct(*df.columns).alias("place")
+    _write_lines(spark, f"{path}/csv", [f"# {n}" for n in notes] + [",".join(df.columns)], df.select(place, F.to_csv(F.struct(*df.columns)).alias("value")), [])
+    row = F.concat(F.concat_ws(" & ", *[_latex(c) for c in _cells(df)]), F.lit(r" \\")).alias("value")
+    head = " & ".join(re.sub(r"([%_&#$])", r"\\\1", c) for c in df.columns)
+    top = [*[f"% {n}" for n in notes], r"\begin{tabular}{l" + "r" * (len(df.columns) - 1) + "}", r"\toprule", head + r" \\", r"\midrule"]
+    _write_lines(spark, f"{path}/latex", top, df.select(place, row), [r"\bottomrule", r"\end{tabular}"])
+    mark = dataset_fingerprint(df).select(F.struct("fingerprint", "n_rows")).scalar()
+    first = spark.range(1).select(F.lit(source).alias("source"), F.lit(note).alias("note"), F.lit(",".join(df.columns)).alias("columns"), mark.alias("mark"))
+    (first.select("source", "note", "columns", "mark.fingerprint", F.coalesce("mark.n_rows", F.lit(0)).alias("n_rows"))
+     .write.option("ignoreNullFields", False).json(f"{path}/provenance"))
+
+
+def read_result_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a written table, from its CSV."""
+    columns = StructType.fromDDL(schema).fieldNames()
+    lines = spark.read.text(f"{path}/csv").filter(~F.col("value").startswith("# ") & (F.col("value") != ",".join(columns)))
+    return lines.select(F.from_csv("value", schema).alias("r")).select("r.*")
+
+
+def write_table_manifest(spark: SparkSession, base: str, names: Sequence[str]) -> None:
+    """``TABLES_MANIFEST`` below ``base``: a Markdown table of the named result tables, their sources and fingerprints."""
+    rows = None
+    for n in names:
+        one = spark.read.schema("source string, note string, columns string, fingerprint string, n_rows long").json(f"{base}/{n}/provenance")
+        one = one.withColumn("name", F.lit(n))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        raise ValueError("a manifest names at least one table")
+    files = F.concat("name", F.lit("/csv, "), "name", F.lit("/latex"))
+    cell = F.concat(F.lit("| "), F.concat_ws(" | ", "name", files, "source", F.coalesce(F.substring("fingerprint", 1, 16), F.lit("empty")), "n_rows"), F.lit(" |"))
+    full = rows.select(F.struct(F.lit(2), "name").alias("place"), F.concat(F.lit("- "), "name", F.lit(" = "), F.coalesce("fingerprint", F.lit("empty"))).alias("value"))
+    gap = spark.range(1).select(F.struct(F.lit(1), F.lit("").alias("name")).alias("place"), F.lit("").alias("value"))
+    table = rows.select(F.struct(F.lit(0), "name").alias("place"), cell.alias("value")).union(gap).union(full)
+    _write_lines(spark, f"{base}/TABLES_MANIFEST", ["# Result tables", "", "| table | files | source | fingerprint | rows |", "|---|---|---|---|---|"], table, [])
 
 
 def read_event_log(spark: SparkSession, path: str, streaming: bool = False, schema: str = S.EVENT_LOG) -> DataFrame:

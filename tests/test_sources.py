@@ -1,6 +1,6 @@
 import json
 
-from tallyforge.operators import flatten as FL
+from tallyforge.operators import dedup as D, flatten as FL
 from tallyforge.sources import files as IO
 
 
@@ -40,11 +40,36 @@ def test_event_log_skips_damaged_lines(spark, tmp_path):
     assert sorted(r["step"] for r in IO.read_event_log(spark, str(tmp_path)).collect()) == ["app_done", "kept"]
 
 
+def in_order(spark, path):
+    """Lines of all part files, in their order."""
+    parts = sorted(r[0] for r in spark.read.text(path).select("_metadata.file_path").distinct().collect())
+    return [r["value"] for p in parts for r in spark.read.text(p).collect()]
+
+
 def test_result_table(spark, tmp_path):
-    df = spark.createDataFrame([("a_b", 1.5), ("c", None)], "name string, v double")
-    IO.write_result_table(df, str(tmp_path / "t"), "src", "note")
-    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "t/latex")).collect())
-    assert lines == [r"a\_b & 1.5 \\", r"c & -- \\"]
+    df = spark.createDataFrame([("c", None, 3), ("a_b", 1.5, 2), ('q,"', 2.0, None)], "name string, v double, `n_$` long").repartition(3)
+    IO.write_result_table(df, str(tmp_path / "t"), "src", "a note")
+    assert in_order(spark, str(tmp_path / "t/latex")) == [
+        "% source: src", "% note: a note", r"\begin{tabular}{lrr}", r"\toprule", r"name & v & n\_\$ \\", r"\midrule",
+        r"a\_b & 1.5 & 2 \\", r"c & -- & 3 \\", r'q," & 2.0 & -- \\', r"\bottomrule", r"\end{tabular}"]
+    assert in_order(spark, str(tmp_path / "t/csv"))[:4] == ["# source: src", "# note: a note", "name,v,n_$", "a_b,1.5,2"]
+    back = IO.read_result_table(spark, str(tmp_path / "t"), "name string, v double, `n_$` long")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    mark = spark.read.json(str(tmp_path / "t/provenance")).first()
+    assert (mark["columns"], mark["n_rows"], mark["fingerprint"]) == ("name,v,n_$", 3, D.dataset_fingerprint(df).first()["fingerprint"])
+
+
+def test_table_manifest(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1)], "name string, n long")
+    IO.write_result_table(df, str(tmp_path / "first"), "one")
+    IO.write_result_table(df.limit(0), str(tmp_path / "second"), "two")
+    IO.write_table_manifest(spark, str(tmp_path), ["second", "first"])
+    lines = in_order(spark, str(tmp_path / "TABLES_MANIFEST"))
+    mark = D.dataset_fingerprint(df).first()["fingerprint"]
+    assert lines == ["# Result tables", "", "| table | files | source | fingerprint | rows |", "|---|---|---|---|---|",
+                     f"| first | first/csv, first/latex | one | {mark[:16]} | 1 |", "| second | second/csv, second/latex | two | empty | 0 |",
+                     "", f"- first = {mark}", "- second = empty"]
+    assert in_order(spark, str(tmp_path / "first/csv"))[0] == "# source: one"
 
 
 def test_binary_dir(spark, tmp_path):
