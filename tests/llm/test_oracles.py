@@ -516,7 +516,7 @@ def test_pipeline_against_plain_versions(spark):
     # language ID leaves texts with enough letters alone
     lost = {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in told}
     assert len(lost) <= 0.02 * docs.count()
-    want = brute_components([(r["doc_id"], r["text"]) for r in told])
+    want = brute_components([(r["doc_id"], r["text"]) for r in told], 5, 80)
     assert sorted(r["doc_id"] for r in single) == sorted(d for d, _, c in want if d == c)
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert sorted(r["doc_id"] for r in clean) == sorted(r["doc_id"] for r in single if not brute_contamination(r["text"], items)[-1])
