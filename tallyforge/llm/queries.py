@@ -151,13 +151,14 @@ def op7_language_id(spark, sf_dir):
 # ------------------------------------------------------------------ 1 nearest neighbours
 
 ANN_SQL = """
-WITH e AS (SELECT vec_id, max(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) AS score
-      FROM e q JOIN e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v) WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) AS score
+      FROM e q JOIN e ON q.r <> e.r AND len(q.v) = len(e.v) WHERE q.vec_id % 20 = 0),
+t AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
 
 

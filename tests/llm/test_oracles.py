@@ -74,18 +74,38 @@ def test_onebit_search(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hit = total = 0
     for q in range(0, 900, 20):
-        score = [(-float(np.dot(x[q], x[i])), i) for i in range(900) if i != q]
-        best = [i for _, i in sorted((round(s, 9), i) for s, i in score)[:20]]
+        taking = [*((i, x[i]) for i in range(900) if i != q), (7, x[7]), (None, np.ones(24))]
+        score = sorted((round(-float(np.dot(x[q], v)), 9), i is None, i or 0) for i, v in taking)
+        best = [None if none else i for _, none, i in score[:20]]
         mine = [v for _, v, _ in sorted(got[q])]
         assert [k for k, _, _ in sorted(got[q])] == list(range(1, 21))
         hit += len(set(best) & set(mine))
         total += 20
-        assert all(abs(s - np.dot(x[q], x[v])) < 1e-9 for _, v, s in got[q])
+        assert all(abs(s - np.dot(x[q], np.ones(24) if v is None else x[v])) < 1e-9 for _, v, s in got[q])
     assert hit / total >= 0.99  # the bound asked for is 0.9
     assert not {1000, 1001, 1002, 1003, 1004} & {v for r in got.values() for _, v, _ in r}
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_onebit_search_takes_every_row_but_the_own(spark):
+    """Repeated ids, repeated rows and rows without id are candidates; each query row is answered."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [3.0, 0.0]), (None, [9.0, 0.0]), (None, [1.0, 0.0]), (0, [1.0, 0.0]),
+            (20, [0.0, 2.0]), (20, [2.0, -1.0]), (20, [1.0, 1.0, 1.0]), (40, [1.0, 1.0, 2.0]), (3, [-0.0, 0.0])]
+    rows += [(int(i), [float(v) for v in rng.integers(-2, 3, 2)]) for i in rng.integers(0, 45, 150)]
+    df = spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>").repartition(5)
+    usable = [(i, v) for i, v in rows * 2 if any(v)]
+    want = []
+    for a, (q, u) in enumerate(usable):
+        if q is None or q % 20:
+            continue
+        near = sorted((-float(np.dot(u, v)), i is None, i or 0) for b, (i, v) in enumerate(usable) if b != a and len(u) == len(v))
+        want += [(q, rank, None if none else i, -s) for rank, (s, none, i) in enumerate(near[:20], 1)]
+    for settings in (ann.Settings(), ann.Settings(rows_per_block=8, queries_per_block=4)):
+        got = [tuple(r) for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), settings).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, ((q, k, i, s + 0.0) for q, k, i, s in want)))
+
+
 def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(1)
     x, q = rng.standard_normal((500, 64)), rng.standard_normal((20, 64))
