@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from .functions.bits import key_value, order_key
+
 DEFAULTS = {
     "tallyforge.smallBytes": 256 << 20,
     "tallyforge.broadcastBytes": 16 << 20,
@@ -226,23 +228,70 @@ def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+#: Bits that a round of ``exact_quantiles`` settles: a group's histogram has at most 2^16 cells per wanted rank.
+DIGIT = 16
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles per group from value counts, with no per-group buffer."""
-    by = list(by)
-    counted = (df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
-    scan = prefix_scan(counted, by, [F.col(value).asc()], _below=Carry("sum", F.col("_n")))
-    sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    if by:
-        scan = keyed_join(scan, sizes, by)
-    else:
-        scan = scan.withColumn("_size", sizes.scalar())
-    aggs, cols = [], {}
-    for name, q in quantiles.items():
-        pos = (F.col("_size") - 1) * F.lit(float(q))
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("_below") <= at) & (at < F.col("_below") + F.col("_n"))
-            aggs.append(F.max(F.when(hit, F.col(value))).cast("double").alias(f"_{side}_{name}"))
-        frac = (F.col("_size") - 1) * F.lit(float(q))
-        cols[name] = F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (frac - F.floor(frac))
-    agg = scan.groupBy(*by).agg(F.max("_size").alias("_size"), *aggs)
-    return agg.select(*by, *[c.alias(n) for n, c in cols.items()])
+    """Linear-interpolated quantiles per group: nothing is sorted in Spark, no large group is buffered.
+
+    Small inputs take Spark's own exact percentile, whose buffers are then small. Else it is radix selection: the
+    order-preserving bits of the values are counted 16 at a time; each wanted rank goes into the cell that holds
+    it, and only rows of that cell are counted in the next of the four rounds. Keys and values are written once and
+    read by each round. The two forms may differ in the last bit of an interpolated value. NULL values do not take part, nor do groups with a NULL key; NaN is larger than all numbers. Without
+    ``by`` there is one row, of NULLs if there are no values.
+    """
+    keys = list(by) or ["_all"]
+    source = df if by else df.withColumn("_all", F.lit(0))
+    known = F.col(value).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    if is_small(df):
+        number = F.col(value).cast("double")
+        return (source.filter(known).groupBy(*by)
+                .agg(*[F.percentile(number, F.lit(float(q))).alias(n) for n, q in quantiles.items()]))
+    rows = materialize(source.filter(known).select(*keys, order_key(F.col(value).cast("double")).alias("_key")))
+    state = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        cell = F.shiftright("_key", shift).alias("_cell")
+        if state is None:
+            counted = rows.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n"))
+        else:
+            wanted = state.select(*keys, F.array_distinct(F.transform("_ranks", lambda r: r["cell"])).alias("_cells"))
+            inside = F.array_contains("_cells", F.shiftright("_key", shift + DIGIT))
+            counted = keyed_join(rows, wanted, keys).filter(inside).groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n"))
+        histogram = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_cell", "_n"))).alias("_histogram"),
+                                               F.sum("_n").alias("_size"))
+        if state is None:
+            places = [at((F.col("_size") - 1) * F.lit(float(q))) for q in quantiles.values() for at in (F.floor, F.ceil)]
+            start = F.array(*[F.struct(p.cast("long").alias("at"), F.lit(0).cast("long").alias("cell")) for p in places])
+            state = histogram.withColumn("_ranks", start)
+        else:
+            state = histogram.drop("_size").join(state, keys)
+        state = materialize(state.withColumn("_ranks", _descend(shift == 64 - DIGIT)).drop("_histogram"))
+    cols = []
+    for i, (name, q) in enumerate(quantiles.items()):
+        low, high = (key_value(F.col("_ranks")[2 * i + j]["cell"]) for j in (0, 1))
+        at = (F.col("_size") - 1) * F.lit(float(q))
+        part = at - F.floor(at)
+        cols.append(F.when(part == 0, low).otherwise(low + (high - low) * part).alias(name))
+    out = state.select(*by, *cols)
+    return out if by else out.agg(*[F.max(n).alias(n) for n in quantiles])
+
+
+def _descend(first: bool) -> Column:
+    """Each rank in ``_ranks`` moved into the cell of ``_histogram`` that holds it, and counted from that cell's start."""
+    none = F.lit(None).cast("long")
+
+    def step(acc: Column, cell: Column) -> Column:
+        here = F.struct(acc["at"].alias("at"), cell["_cell"].alias("cell"))
+        later = F.struct((acc["at"] - cell["_n"]).alias("at"), none.alias("cell"))
+        return F.when(acc["cell"].isNotNull(), acc).when(acc["at"] < cell["_n"], here).otherwise(later)
+
+    def move(rank: Column) -> Column:
+        cells = F.col("_histogram")
+        if not first:
+            cells = F.filter(cells, lambda c: F.shiftright(c["_cell"], DIGIT) == rank["cell"])
+        return F.aggregate(cells, F.struct(rank["at"].alias("at"), none.alias("cell")), step)
+
+    return F.transform("_ranks", move)

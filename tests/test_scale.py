@@ -1,8 +1,12 @@
+import math
 import random
+import struct
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyforge import scale
+from tallyforge.functions.bits import key_value, order_key
 from tallyforge.scale import Carry, exact_quantiles, keyed_join, prefix_scan, ranked
 
 
@@ -46,3 +50,64 @@ def test_quantiles_match_numpy(tight):
     for r in exact_quantiles(df, ["g"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.975}).collect():
         mine = [v for g, v in values if g == r["g"]]
         assert np.allclose([r["lo"], r["mid"], r["hi"]], np.quantile(mine, [0.05, 0.5, 0.975]))
+
+
+def edge_doubles():
+    rnd = random.Random(4)
+    anything = [struct.unpack("d", rnd.randbytes(8))[0] for _ in range(3000)]
+    powers = [s * 2.0 ** e for e in range(-1074, 1024) for s in (1, -1)]
+    beside = [math.nextafter(x, t) for x in powers for t in (-math.inf, math.inf)]
+    return [*(x for x in anything if not math.isnan(x)), *powers, *beside, 0.0, -0.0, math.inf, -math.inf]
+
+
+def test_order_key_is_the_bits_of_a_double(spark):
+    values = edge_doubles()
+    df = spark.createDataFrame([(x,) for x in [*values, None, math.nan]], "x double").withColumn("k", order_key(F.col("x")))
+    for r in df.withColumn("back", key_value(F.col("k"))).collect():
+        if r["x"] is None:
+            assert r["k"] is None and r["back"] is None
+        elif math.isnan(r["x"]):
+            assert r["k"] > 2047 << 52 and math.isnan(r["back"])
+        else:
+            bits = struct.unpack("q", struct.pack("d", abs(r["x"])))[0]
+            assert r["k"] == (-bits if r["x"] < 0 else bits) and r["back"] == r["x"]
+
+
+def test_quantiles_of_any_doubles(tight):
+    rnd = random.Random(6)
+    values = [x for x in edge_doubles() if abs(x) < 1e300]
+    rows = [(rnd.choice("aab"), rnd.choice(values)) for _ in range(4000)] + [("c", 5.0), ("d", None), (None, 1.0)]
+    rows += [("hot", 0.25)] * 500 + [("hot", 0.5)] * 499
+    wanted = {"min": 0.0, "low": 0.01, "mid": 0.5, "high": 0.999, "max": 1.0}
+    df = tight.createDataFrame(rows, "g string, v double").withColumn("_key", F.lit("clash")).repartition(6)
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", wanted).collect()}
+    assert set(got) == {"a", "b", "c", "hot"}
+    for g, r in got.items():
+        mine = sorted(v for k, v in rows if k == g)
+        for name, q in wanted.items():
+            at = (len(mine) - 1) * q
+            low, high = mine[math.floor(at)], mine[math.ceil(at)]
+            assert r[name] == (low if at == int(at) else low + (high - low) * (at - int(at)))
+    tight.conf.set("tallyforge.smallBytes", str(1 << 40))
+    for r in exact_quantiles(df, ["g"], "v", wanted).collect():  # Spark's own, for small inputs
+        assert all(math.isclose(r[n], got[r["g"]][n], rel_tol=1e-12) for n in wanted)
+    tight.conf.set("tallyforge.smallBytes", "0")
+    whole = exact_quantiles(df, [], "v", {"mid": 0.5}).collect()
+    mine = sorted(v for _, v in rows if v is not None)
+    assert len(whole) == 1 and whole[0]["mid"] == (mine[(len(mine) - 1) // 2] + mine[len(mine) // 2]) / 2
+    assert exact_quantiles(df.limit(0), [], "v", {"mid": 0.5}).collect() == [(None,)]
+    assert exact_quantiles(df.limit(0), ["g"], "v", {"mid": 0.5}).collect() == []
+
+
+def test_quantiles_sort_no_rows(tight, monkeypatch):
+    plans, write = [], scale.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(scale, "materialize", noted)
+    df = tight.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") / 7).alias("v"))
+    exact_quantiles(df, ["g"], "v", {"mid": 0.5})
+    assert len(plans) == 8  # the keys, a state per round, the hot keys of the last three
+    assert not any("Window" in p or "rangepartitioning" in p for p in plans)
