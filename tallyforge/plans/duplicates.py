@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup as D, graph as G, versions as V
+from ..streaming.seen import SeenTable
 from . import adapters as A
 from .registry import big, query, rounded, table
 from .sources import new_dir
@@ -151,6 +152,13 @@ def anti_known(spark, sf):
     return D.anti_known(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf, "labels"), "doc_id")
 
 
+@query("anti_known_stored", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_known_stored(spark, sf):
+    known = SeenTable(new_dir(spark, "known"), buckets=16)
+    known.add(table(spark, sf, "labels").select("doc_id"), "doc_id", 0)
+    return known.unseen(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id", 1)
+
+
 # Documents divisible by 5 are an earlier version; those with a source that ends in 5 are its holdout.
 MATCHES = f"""WITH {SETS}, osh AS (SELECT sh.id, sh.s, n FROM sh JOIN sets USING (id)),
   m AS (SELECT a.id, b.id AS ref, 100.0::DOUBLE * count(*) / (max(a.n) + max(b.n) - count(*)) AS similarity

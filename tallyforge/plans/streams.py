@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import jobs as J
+from ..streaming import jobs as J, seen
 from . import adapters as A
 from .registry import query, rounded, table
 from .sources import new_dir
@@ -40,6 +40,14 @@ def stream_exact_dedup(spark, sf):
     return J.appended(spark, folder, "sha256 string")
 
 
+@query("stream_first_rows", """SELECT DISTINCT sha256(event_type || '|' || user_id || '|' || props) AS sha256 FROM events""")
+def stream_first_rows(spark, sf):
+    folder = new_dir(spark, "first")
+    rows = events(spark, sf).select(F.sha2(F.concat_ws("|", "event_type", "user_id", "props"), 256).alias("sha256"))
+    seen.stream_first_rows(rows, "sha256", folder, seen.SeenTable(folder, buckets=16))
+    return J.appended(spark, folder, "sha256 string")
+
+
 @query("stream_update_vocab", """WITH t AS (SELECT DISTINCT event_type || ':' || (props->>'$.k') AS token FROM events)
   SELECT '<UNK>' AS token, 0 AS id UNION ALL SELECT token, row_number() OVER (ORDER BY token) FROM t""")
 def stream_update_vocab(spark, sf):
