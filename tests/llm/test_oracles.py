@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -508,7 +509,7 @@ def test_shards(spark):
 
 def test_licenses(spark):
     mit = licenses.LICENSES[0][1]
-    rewrapped = "MIT License\n".replace("MIT License\n", "") + "Copyright (c) 2019 Somebody\nAll rights reserved.\n\n" + "\n".join(
+    rewrapped = "MIT License\n\nCopyright (c) 2019 Somebody\nAll rights reserved.\n\n" + "\n".join(
         f" * {x}" for x in mit.upper().replace(", ", " , ").split("\n"))
     rows = [(1, mit), (2, rewrapped), (3, None), (4, ""), (5, "Text.\n\nReleased under the  MIT Licence!\n"), (6, mit.replace("holders", "owners")),
             (7, mit + " more"), (8, "word " * 60_000), (8, "word " * 60_000), (None, "Licensed under CC BY-NC 4.0.")]
@@ -521,6 +522,26 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def test_license_files_as_they_are(spark):
+    """Title, statements of copyright and body, as in the files that projects carry; wrapped at any width."""
+    statements = ["", "Copyright (c) 2020 Jane Doe", "Copyright The Example Authors 2020", "Copyright (C) 1999-2004, 2021 A, B\nAll rights reserved.",
+                  "Copyright \u00a9 Jane Doe <jane@example.org>", "Copyright Jane Doe, 2012\nCopyright 2013 Example, Inc."]
+    bodies = {name: text for name, text in reversed(licenses.LICENSES) if "\n" in text and not any(text.startswith(t + "\n") for t in licenses.TITLES.get(name, []))}
+    assert {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Zlib", "Apache-2.0"} == set(bodies)
+    rows, want = [], {}
+    for name, body in bodies.items():
+        for title in ["", *licenses.TITLES.get(name, [])]:
+            for i, statement in enumerate(statements):
+                flow = "\n\n".join(textwrap.fill(x, 60 + 7 * i) for x in body.split("\n"))
+                want[len(rows)] = name
+                rows.append((len(rows), f"{title}\n\n{statement}\n\n{flow}\n", "en", "s"))
+    got = licenses.scan_licenses(frame(spark, rows), licenses.known_licenses(spark)).filter("unit = 0").collect()
+    assert {r["doc_id"]: r["license"] for r in got} == want
+    lone = [(1, "MIT License", "en", "s"), (2, "The copyright holder of 2020", "en", "s")]
+    got = licenses.scan_licenses(frame(spark, lone), licenses.known_licenses(spark)).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {1: None, 2: None}
+
+
 # ------------------------------------------------------------------ pipeline
 
 
