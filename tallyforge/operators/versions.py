@@ -1,9 +1,10 @@
 """Frozen versions of a table: a stored hash tree, and the rows by which two versions differ.
 
 The tree is that of ``dedup.dataset_fingerprint``: leaves are distinct row hashes with their counts, nodes cover four hex
-digits more each. Kept on disk are the nodes of four and of eight digits, and the leaves with their rows, all in order of
-the hash and in one folder per first digit. A comparison starts at the roots, goes down only where digests
-differ, and so reads leaves in proportion to what changed.
+digits more each. Kept on disk are its nodes of four digits, digests of what lies under six digits, and the leaves with their
+rows, hashes as bytes; files are sorted by the hash and lie in one folder per first digit. A comparison starts at the roots,
+goes down only where digests differ, and so reads row groups of leaves in proportion to what changed. Nodes of six digits are
+16.7 million at most, however many leaves there are: eight digits would have a node for almost every leaf.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructType
 
+from ..scale import materialize, may_broadcast
 from .dedup import hashed_rows, tree_levels
 
 #: Digits of the hash: folders, and the stored node levels.
-FOLDER, UPPER, LOWER = 1, 4, 8
+FOLDER, UPPER, LOWER = 1, 4, 6
 #: Differing nodes up to which a scan is told their names, so that files and row groups without them are skipped;
 #: beyond it they are joined.
 NAMED = 4096
@@ -31,40 +33,51 @@ class Version:
     path: str
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        """``upper`` and ``lower`` (h, digest, n), ``leaves`` (h, n, row); those in folders also have ``folder``.
+        """``upper`` and ``lower`` (h, digest, n), ``leaves`` (h as bytes, n, row); those in folders also have ``folder``.
 
         The schema is given, as an empty table has no file to take it from, and folders such as 1 are text.
         """
-        columns = "h string, digest string, n long"
+        columns = f"h string, digest {'binary' if name == 'lower' else 'string'}, n long"
         if name == "leaves":
             row = StructType.fromJson(json.loads(spark.read.text(f"{self.path}/schema", wholetext=True).first()[0]))
-            columns = f"h string, n long, row {row.simpleString()}"
+            columns = f"h binary, n long, row {row.simpleString()}"
         return spark.read.schema(columns if name == "upper" else f"{columns}, folder string").parquet(f"{self.path}/{name}")
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """In order of the hash, so that files and row groups hold neighbours; one range may span folders, a folder many ranges."""
-    keyed = df.withColumn("folder", F.substring("h", 1, FOLDER))
-    keyed.repartitionByRange("h").sortWithinPartitions("folder", "h").write.partitionBy("folder").parquet(path)
+def _digits(h: Column, n: int) -> Column:
+    """The first digits of a hash in bytes."""
+    return F.substring(F.lower(F.hex(F.substring(h, 1, (n + 1) // 2))), 1, n)
+
+
+def _write(df: DataFrame, folder: Column, path: str) -> None:
+    """Sorted files in a folder per first digit, so that row groups hold neighbours."""
+    df.withColumn("folder", folder).sortWithinPartitions("folder", "h").write.partitionBy("folder").parquet(path)
 
 
 def freeze(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> Version:
     """Write the hash tree of ``df`` below ``path``, which must not exist.
 
     A row is its ``columns`` (all by default) as text. Rows may repeat; nulls are values. An empty table has a root
-    without nodes.
+    without nodes. Rows are shuffled once, hashes and counts a second time for the nodes.
     """
     columns = list(columns or df.columns)
     spark = df.sparkSession
     rows = df.select(*columns)
     spark.range(1).select(F.lit(rows.schema.json()).alias("value")).write.text(f"{path}/schema")
-    leaves = (hashed_rows(rows).groupBy("h")
+    leaves = (hashed_rows(rows).select(F.unhex("h").alias("h"), "row").groupBy("h")
               .agg(F.count(F.lit(1)).alias("n"), F.any_value("row").alias("row")))
-    _write(leaves, f"{path}/leaves")
+    _write(leaves, _digits(F.col("h"), FOLDER), f"{path}/leaves")
     stored = Version(path).table(spark, "leaves").select("h", "n")
-    upper, lower = tree_levels(stored, (UPPER, LOWER))
-    _write(lower, f"{path}/lower")
-    upper.write.parquet(f"{path}/upper")
+    (eight,) = tree_levels(stored, (8,), top=True)
+    under = eight.groupBy("_top", F.substring("h", 1, LOWER).alias("h")).agg(
+        F.sort_array(F.collect_list("digest")).alias("digests"), F.sum("n").alias("n"))
+    # a node of four digits has at most 256 parts of six
+    parts = F.collect_list(F.struct("h", F.unhex(F.substring(F.sha2(F.array_join("digests", ","), 256), 1, 32)).alias("digest"), "n"))
+    nodes = materialize(under.groupBy("_top").agg(
+        F.sha2(F.array_join(F.array_sort(F.flatten(F.collect_list("digests"))), ","), 256).alias("digest"),
+        F.sum("n").alias("n"), parts.alias("parts")).select(F.lower(F.hex("_top")).alias("h"), "digest", "n", "parts"))
+    _write(nodes.select(F.inline("parts")), F.substring("h", 1, FOLDER), f"{path}/lower")
+    nodes.select("h", "digest", "n").write.parquet(f"{path}/upper")
     return Version(path)
 
 
@@ -88,12 +101,16 @@ def _unequal(old: DataFrame, new: DataFrame, values: Sequence[str], extra: Seque
 def _below(table: DataFrame, parents: DataFrame, digits: int) -> DataFrame:
     """The rows of a level under ``parents`` (h of so many digits)."""
     names = [r["h"] for r in parents.select("h").limit(NAMED + 1).collect()]
+    raw = isinstance(table.schema["h"].dataType, BinaryType)
     if len(names) <= NAMED:
         near = table.filter(F.col("folder").isin(sorted({n[:FOLDER] for n in names})))
         # the ends of a node's range let row groups be skipped
-        return near.filter(" OR ".join(f"h BETWEEN '{lo}' AND '{hi}'" for lo, hi in _ranges(names)) or "false")
+        ends = [(f"X'{lo}'", f"X'{hi[:-1]:f<64}'") if raw else (f"'{lo}'", f"'{hi}'") for lo, hi in _ranges(names)]
+        return near.filter(" OR ".join(f"h BETWEEN {lo} AND {hi}" for lo, hi in ends) or "false")
     keys = parents.select(F.substring("h", 1, FOLDER).alias("folder"), F.col("h").alias("_node"))
-    return table.withColumn("_node", F.substring("h", 1, digits)).join(keys, ["folder", "_node"], "left_semi").drop("_node")
+    node = _digits(F.col("h"), digits) if raw else F.substring("h", 1, digits)
+    keys = F.broadcast(keys) if may_broadcast(keys) else keys
+    return table.withColumn("_node", node).join(keys, ["folder", "_node"], "left_semi").drop("_node")
 
 
 def _ranges(names: Sequence[str], most: int = 64) -> list[tuple[str, str]]:
@@ -126,8 +143,8 @@ def fingerprint_diff(spark: SparkSession, old: Version, new: Version) -> DataFra
     Roots and upper nodes are compared first; of the next level only what lies under differing nodes is read, and of the
     leaves only what lies under differing nodes of that. Equal versions read no leaf.
     """
-    upper = _unequal(old.table(spark, "upper"), new.table(spark, "upper"), ["digest"])
-    lower = _unequal(*[_below(v.table(spark, "lower"), upper, UPPER) for v in (old, new)], ["digest"])
+    upper = materialize(_unequal(old.table(spark, "upper"), new.table(spark, "upper"), ["digest"]).select("h"))
+    lower = materialize(_unequal(*[_below(v.table(spark, "lower"), upper, UPPER) for v in (old, new)], ["digest"]).select("h"))
     leaves = _unequal(*[_below(v.table(spark, "leaves"), lower, LOWER) for v in (old, new)], ["n"], ["row"])
     n_old, n_new = (F.coalesce(c, F.lit(0)).cast("long") for c in ("old_n", "new_n"))
     change = F.when(F.col("old_n").isNull(), "added").when(F.col("new_n").isNull(), "removed").otherwise("repeated")

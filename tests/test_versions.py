@@ -66,3 +66,12 @@ def test_ranges():
     names = [f"{i:08x}" for i in range(0, 4000, 10)]
     spans = V._ranges(names)
     assert len(spans) <= 64 and all(any(lo <= n + "ff" <= hi for lo, hi in spans) for n in names)
+
+
+def test_nodes_stay_fewer_than_leaves(spark, tmp_path):
+    """A level with a node per leaf would double the disk; hashes are bytes, and a freeze shuffles rows once."""
+    a, _ = frozen(spark, tmp_path, "a", [(i, "r") for i in range(40_000)])
+    lower = a.table(spark, "lower")
+    assert {len(r["h"]) for r in lower.select("h").distinct().collect()} == {6}
+    assert lower.agg(F.sum("n")).first()[0] == 40_000 and lower.count() < 40_000
+    assert {r["k"] for r in a.table(spark, "leaves").select(F.octet_length("h").alias("k")).distinct().collect()} == {32}
