@@ -17,18 +17,22 @@ SAMPLE_SUFFIX = "_static.json"
 def read_graph_json(spark: SparkSession, path: str, glob: str = "*" + SAMPLE_SUFFIX) -> DataFrame:
     """Graph records, one JSON per line; other files are ignored and malformed records skipped.
 
+    ``glob`` names plain files, and takes the same with ``.gz`` behind it.
     The id comes from the file name where a record carries none (``sha256`` in the record wins).
     """
     rows = (spark.read.schema(S.GRAPH_RECORD + ", sha256 string, _bad string")
-            .option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", f"{{{glob},{glob}.gz}}").option("recursiveFileLookup", True)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path))
     named = F.coalesce("sample_id", "sha256", path_sample_id(F.col("_metadata.file_name")))
     return rows.filter(F.col("_bad").isNull()).withColumn("sample_id", named).drop("_bad", "sha256")
 
 
 def write_graph_json(df: DataFrame, path: str) -> None:
-    """Compact JSON lines, one record each."""
-    df.write.option("ignoreNullFields", False).json(path)
+    """Compact JSON lines, one record each, gzipped: a record spells out every field of every node, some thirty times its text.
+
+    Such a file is read by one task, so ``df`` should come in as many parts as ``scale.spread`` gives.
+    """
+    df.write.option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 def read_jsonl_manifest(spark: SparkSession, path: str, schema: str = S.MANIFEST) -> DataFrame:
@@ -115,7 +119,7 @@ def read_event_log(spark: SparkSession, path: str, streaming: bool = False, sche
 
 
 def path_sample_id(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(_static)?\.json$", "")
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(_static)?\.json(\.gz)?$", "")
 
 
 def sample_id_from_path(df: DataFrame, col: str, out: str = "sample") -> DataFrame:

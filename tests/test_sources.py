@@ -1,4 +1,5 @@
 import json
+import os
 
 from tallyforge.operators import dedup as D, flatten as FL
 from tallyforge.sources import files as IO
@@ -91,3 +92,10 @@ def test_filters_and_columns_reach_the_scan(spark):
     import __spark_entry__ as entry
     plan = entry.queries()["metadata_prefilter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(p_size,30)" in plan and "p_retailprice" not in plan
+
+
+def test_graph_json_is_compressed(spark, tmp_path):
+    path = str(tmp_path / "records")
+    IO.write_graph_json(spark.createDataFrame([("a", 1), ("b", 0)], "sample_id string, label int"), path)
+    assert [f for f in os.listdir(path) if f.startswith("part-") and not f.endswith(".json.gz")] == []
+    assert sorted(map(tuple, IO.read_graph_json(spark, path, "*.json").select("sample_id", "label").collect())) == [("a", 1), ("b", 0)]
