@@ -36,7 +36,7 @@ def read_graph_json(spark, sf):
          coalesce(n, 0) AS n_nodes, 1::BIGINT AS n_records FROM documents LEFT JOIN n ON sample = doc_id""")
 def write_graph_json(spark, sf):
     path = new_dir(spark, "samples")
-    write_sample_json(A.graph_records(spark, sf), path)
+    write_sample_json(A.graph_records(spark, sf), path, suffix=IO.SAMPLE_SUFFIX + ".gz")
     rec = IO.read_graph_json(spark, path)
     n_nodes = F.aggregate(F.map_values(FL.UNITS), F.lit(0), lambda a, u: a + F.size(u["nodes"]))
     per_file = rec.select("sample_id", IO.path_sample_id(F.col("_metadata.file_name")).alias("file_sample"), "label", "file_size", n_nodes.alias("n_nodes"))

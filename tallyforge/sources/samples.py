@@ -80,9 +80,10 @@ class SampleFiles(DataSource):
         return _SampleWriter(self.options["path"], self.options.get("suffix", SAMPLE_SUFFIX))
 
 
-def write_sample_json(df: DataFrame, path: str, key: str = "sample_id") -> None:
+def write_sample_json(df: DataFrame, path: str, key: str = "sample_id", suffix: str = SAMPLE_SUFFIX) -> None:
     """``<sample>_static.json`` per record, compact JSON with nulls, in one folder per task below ``path``.
 
+    A ``suffix`` that ends in ``.gz`` compresses the files, which ``read_graph_json`` takes as well.
     Samples have a name, and no two records have the same: else nothing is written and an error says so. An empty
     table makes an empty folder. Files are added to what lies there. The folder is one that every task can reach.
     """
@@ -91,4 +92,4 @@ def write_sample_json(df: DataFrame, path: str, key: str = "sample_id") -> None:
         raise ValueError(f"sample {odd[0]['name']!r} is on {odd[0]['n']} rows; each needs one name of its own")
     df.sparkSession.dataSource.register(SampleFiles)
     text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    df.select(F.col(key).cast("string").alias("name"), text.alias("text")).write.format(FORMAT).mode("append").save(path)
+    df.select(F.col(key).cast("string").alias("name"), text.alias("text")).write.format(FORMAT).option("suffix", suffix).mode("append").save(path)

@@ -47,3 +47,14 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         write_sample_json(df, path)
     assert found(path) == []
+
+
+def test_compressed_samples(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 5), ("b.json", 0, 7)], "sample_id string, label int, file_size long")
+    path = str(tmp_path / "out")
+    write_sample_json(df, path, suffix=IO.SAMPLE_SUFFIX + ".gz")
+    assert all(open(f, "rb").read(2) == b"\x1f\x8b" for f in found(path))
+    back = IO.read_graph_json(spark, path)
+    assert sorted(map(tuple, back.select("sample_id", "label", "file_size").collect())) == sorted(map(tuple, df.collect()))
+    named = back.select(IO.path_sample_id(F.col("_metadata.file_name")), "label", "sample_id")
+    assert {(r[0], r[2]) for r in named.collect()} == {("a", "a"), ("b.json", "b.json")}
