@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..scale import keyed_join, ranked
+from ..scale import keyed_join, materialize, may_broadcast, ranked
 
 UNK = "<UNK>"
 
@@ -99,6 +99,18 @@ def top_k_terms(counts: DataFrame, k: int, by: str = "total", train_ids: DataFra
             .orderBy(F.col("weight").desc(), F.col("term").asc()).limit(k))
 
 
+def _known(ids: DataFrame) -> DataFrame:
+    """Distinct samples as the right side of a join that does not deal out or sort the left one, if that is dealt by sample."""
+    known = ids.select("sample").distinct()
+    return F.broadcast(known) if may_broadcast(ids) else known.hint("shuffle_hash")
+
+
+def term_weights(counts: DataFrame, train_ids: DataFrame) -> DataFrame:
+    """(term, total, df, train_df) in one pass over the counts: all the weights that ``top_k_terms`` ranks by."""
+    marked = counts.join(_known(train_ids).withColumn("_train", F.lit(True)), "sample", "left")
+    return marked.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"), F.count("_train").alias("train_df"))
+
+
 def term_count_vector(counts: DataFrame, terms: Sequence[str]) -> DataFrame:
     """One column per term with its count in the sample, 0 when absent."""
     cells = [F.sum(F.when(F.col("term") == t, F.col("n")).otherwise(0)).alias(t) for t in terms]
@@ -114,11 +126,11 @@ def tfidf(counts: DataFrame, train_ids: DataFrame, min_df: int, lowercase: bool
     if lowercase:
         counts = (counts.withColumn("term", F.lower("term")).groupBy("sample", "term")
                   .agg(F.sum("n").alias("n")))
-    train = train_ids.select("sample").distinct()
-    size = train.agg(F.count(F.lit(1)).alias("size")).scalar()
-    df = (counts.join(train, "sample", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-          .filter(F.col("df") >= min_df)
-          .select("term", (F.log((1 + size) / (1 + F.col("df")).cast("double")) + 1).alias("idf")))
+    size = train_ids.select("sample").distinct().agg(F.count(F.lit(1)).alias("size")).scalar()
+    # written, so that the join sees the size of the vocabulary and not that of the texts
+    df = materialize(counts.join(_known(train_ids), "sample", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                     .filter(F.col("df") >= min_df)
+                     .select("term", (F.log((1 + size) / (1 + F.col("df")).cast("double")) + 1).alias("idf")))
     weighted = keyed_join(counts, df, ["term"]).withColumn("w", F.col("n") * F.col("idf"))
     # a sample's terms are bounded by the vocabulary, so one window group is one document
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("sample")))

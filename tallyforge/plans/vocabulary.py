@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vocab as V
+from ..scale import materialize
 from . import adapters as A
 from .registry import big, query, rounded, table
 
@@ -98,8 +99,9 @@ COUNTS = f"{D}, counts AS (SELECT sample, token AS term, count(*) AS n FROM dnod
 def top_k_terms(spark, sf):
     counts = doc_counts(spark, sf)
     train = table(spark, sf, "labels").select(F.col("doc_id").alias("sample"))
-    parts = [V.top_k_terms(counts, 50, by, train).select(F.lit(by).alias("by"), "term", "weight")
-             for by in ("total", "df", "train_df")]
+    weights = materialize(V.term_weights(counts, train))
+    parts = [weights.select(F.lit(by).alias("by"), "term", F.col(by).alias("weight")).filter("weight > 0")
+             .orderBy(F.col("weight").desc(), F.col("term").asc()).limit(50) for by in ("total", "df", "train_df")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -111,3 +111,22 @@ def test_quantiles_sort_no_rows(tight, monkeypatch):
     exact_quantiles(df, ["g"], "v", {"mid": 0.5})
     assert len(plans) == 8  # the keys, a state per round, the hot keys of the last three
     assert not any("Window" in p or "rangepartitioning" in p for p in plans)
+
+
+def test_counts_of_documents_shuffle_texts_only(spark, tmp_path):
+    """Texts are dealt out by document once, at any size; their tokens are counted and weighed where they are."""
+    from tallyforge.operators import vocab as V
+    from tallyforge.plans import adapters as A
+
+    spark.createDataFrame([(i, f"a b{i} c{i} a\nd") for i in range(40)] + [(3, "a z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("tallyforge.smallBytes", "0")
+    try:
+        counts = V.token_counts(A.document_nodes(spark, str(tmp_path))).withColumnRenamed("token", "term")
+        weights = V.tfidf(counts, spark.createDataFrame([(i,) for i in range(9)], "sample long"), 1)
+        for df in (counts, weights):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1
+        got = {(r["sample"], r["term"]): r["n"] for r in counts.collect()}
+        assert got[(3, "a")] == 3 and got[(5, "a")] == 2 and len(got) == 40 * 4 + 1
+    finally:
+        spark.conf.unset("tallyforge.smallBytes")
