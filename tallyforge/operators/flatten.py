@@ -45,6 +45,14 @@ def explode_edges(units: DataFrame, kind: str = "edges_cfg") -> DataFrame:
             .select("sample", "unit", F.get("e", F.lit(0)).alias("src"), F.get("e", F.lit(1)).alias("dst")))
 
 
+def explode_edge_lists(units: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The edges of several lists with the ``kind`` each is given, in one pass over the records; null lists have no edges."""
+    def named(kind: str, col: str) -> Column:
+        return F.transform(_array(col, units), lambda e: F.struct(
+            F.get(e, F.lit(0)).alias("src"), F.get(e, F.lit(1)).alias("dst"), F.lit(kind).alias("kind")))
+    return units.select("sample", "unit", F.inline(F.concat(*[named(k, c) for k, c in kinds.items()])))
+
+
 def explode_evidence(units: DataFrame, kind: str = "seed_edges") -> DataFrame:
     """One row per seed edge or node indicator."""
     return units.select("sample", "unit", F.inline(_array(kind, units)))

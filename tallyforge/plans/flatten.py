@@ -38,9 +38,7 @@ def explode_blocks(spark, sf):
 @query("explode_edges", f"""WITH {D} SELECT {KEY}, 'cfg' AS kind, idx - 1 AS src, idx AS dst FROM dnodes WHERE idx % 4 = 0 AND idx > 0
   UNION ALL SELECT {KEY}, 'seq', idx - 1, idx FROM dnodes WHERE idx % 4 <> 0""")
 def explode_edges(spark, sf):
-    u = units(spark, sf)
-    cfg, seq = FL.explode_edges(u, "edges_cfg"), FL.explode_edges(u, "edges_seq")
-    return cfg.withColumn("kind", F.lit("cfg")).unionByName(seq.withColumn("kind", F.lit("seq")))
+    return FL.explode_edge_lists(units(spark, sf), {"cfg": "edges_cfg", "seq": "edges_seq"})
 
 
 @query("explode_evidence", f"WITH {D} SELECT {KEY}, 'T1' AS technique_id, 'r' AS rule_name FROM dlines WHERE unit % 5 <> 4")

@@ -99,3 +99,10 @@ def test_graph_json_is_compressed(spark, tmp_path):
     IO.write_graph_json(spark.createDataFrame([("a", 1), ("b", 0)], "sample_id string, label int"), path)
     assert [f for f in os.listdir(path) if f.startswith("part-") and not f.endswith(".json.gz")] == []
     assert sorted(map(tuple, IO.read_graph_json(spark, path, "*.json").select("sample_id", "label").collect())) == [("a", 1), ("b", 0)]
+
+
+def test_edge_lists_take_one_pass(spark):
+    units = spark.createDataFrame([("s", "u", [[0, 1]], [[1, 2], [2, 3]]), ("s", "v", None, [[5, 6]])], "sample string, unit string, edges_cfg array<array<int>>, edges_seq array<array<int>>")
+    edges = FL.explode_edge_lists(units, {"cfg": "edges_cfg", "seq": "edges_seq"})
+    assert sorted(map(tuple, edges.collect())) == [("s", "u", 0, 1, "cfg"), ("s", "u", 1, 2, "seq"), ("s", "u", 2, 3, "seq"), ("s", "v", 5, 6, "seq")]
+    assert "Union" not in edges._jdf.queryExecution().executedPlan().toString()
