@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.order import hash_index
+from ..functions.rounds import dense_draws, slice_areas
 from ..functions.stats import finite, ratio, wilson_bounds
-from ..scale import Carry, exact_quantiles, keyed_join, materialize, prefix_scan, ranked
+from ..scale import Carry, exact_quantiles, keyed_join, materialize, may_broadcast, prefix_scan, ranked
 
 
 def _pos() -> Column:
@@ -179,6 +181,37 @@ def _boot_auc(weighted: DataFrame, score: str) -> DataFrame:
     return _auc_of_points(points, ["b"]).select("b", F.col("auc").alias("value"))
 
 
+def _round_aucs(scores: DataFrame, rounds: int, seed: str, names: Sequence[str]) -> list[DataFrame]:
+    """(b, value) with the AUC of every round, for each of the named score columns, all on the same draws.
+
+    Rows are not repeated per round: a cluster has one vector of its draws, and slices of the scores add these up for
+    all rounds at once. A slice passes on one row; what lies below it is a running sum over the slices.
+    """
+    clusters = ranked(scores.select("cluster").distinct(), [], [F.col("cluster")], "cidx", 0)
+    n_clusters = clusters.count()
+    if n_clusters == 0:
+        return [scores.select(F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("value")).limit(0) for _ in names]
+    kind = dict(clusters.dtypes)["cluster"]
+    draws = _draws(clusters, n_clusters, rounds, seed).select("cluster", F.col("draws.b").alias("b"), F.col("draws.m").alias("m"))
+    times = materialize(draws.mapInPandas(dense_draws(rounds), f"cluster {kind}, times binary"))
+    count = lambda cls: F.count_if(cls).alias
+    out = []
+    for name in names:
+        points = scores.groupBy("cluster", F.col(name).alias("score")).agg(count(_pos())("pos"), count(_neg())("neg"))
+        if may_broadcast(times):  # the vectors join after the rows are in place
+            placed = points.repartitionByRange("score").join(F.broadcast(times), "cluster")
+        else:
+            placed = points.join(times, "cluster").repartitionByRange("score")
+        slices = materialize(placed.select("score", "pos", "neg", "times").sortWithinPartitions("score").mapInPandas(
+            slice_areas(rounds), "low double, area array<double>, pos array<double>, neg array<double>"))
+        cells = slices.select("low", F.posexplode(F.arrays_zip("area", "pos", "neg")).alias("b", "x")).select("low", "b", "x.*")
+        earlier = Window.partitionBy("b").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+        whole = cells.withColumn("below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))).groupBy("b").agg(
+            F.sum(F.col("area") + F.col("pos") * F.col("below")).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+        out.append(whole.select(F.col("b").cast("long").alias("b"), ratio(F.col("area"), F.col("p") * F.col("n")).alias("value")))
+    return out
+
+
 def _boot_rate(weighted: DataFrame, hit: Column, cls: Column) -> DataFrame:
     return (weighted.filter(cls).groupBy("b")
             .agg(ratio(F.sum(F.when(hit, F.col("n")).otherwise(0)), F.sum("n")).alias("value")))
@@ -201,6 +234,8 @@ def _interval(values: DataFrame, lo: float, hi: float) -> DataFrame:
 def cluster_bootstrap_ci(scores: DataFrame, metric: str | Callable[[DataFrame], DataFrame] = "auc",
                          B: int = 2000, seed: str = "1", lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Percentile interval of a metric over ``B`` draws of whole clusters; undefined rounds are left out."""
+    if metric == "auc":
+        return _interval(_round_aucs(valid_scores(scores), B, seed, ["score"])[0], lo, hi)
     fn = METRICS[metric] if isinstance(metric, str) else metric
     return _interval(fn(resampled(valid_scores(scores), B, seed, ["score"])), lo, hi)
 
@@ -211,10 +246,8 @@ def paired_bootstrap_diff(scores: DataFrame, a: str, b: str, B: int = 2000, seed
     wide = (valid_scores(scores).filter(F.col("model").isin(a, b)).groupBy("id", "label", "cluster")
             .agg(F.max(F.when(F.col("model") == a, F.col("score"))).alias("sa"),
                  F.max(F.when(F.col("model") == b, F.col("score"))).alias("sb")).dropna(subset=["sa", "sb"]))
-    weighted = resampled(wide, B, seed, ["sa", "sb"])
-    diff = (_boot_auc(weighted, "sa").withColumnRenamed("value", "va")
-            .join(_boot_auc(weighted, "sb").withColumnRenamed("value", "vb"), "b")
-            .select("b", (F.col("va") - F.col("vb")).alias("value")))
+    va, vb = _round_aucs(materialize(wide), B, seed, ["sa", "sb"])
+    diff = va.withColumnRenamed("value", "va").join(vb.withColumnRenamed("value", "vb"), "b").select("b", (F.col("va") - F.col("vb")).alias("value"))
     return _interval(diff, lo, hi)
 
 

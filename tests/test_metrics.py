@@ -70,3 +70,15 @@ def test_registered_bootstraps_draw_all_rounds(spark):
     assert evaluation.ROUNDS == 2000
     row = evaluation.cluster_bootstrap_ci(spark, "/root/testdata/sf0.001").first()
     assert row["rounds_used"] == 2000
+
+
+def test_rounds_at_once_equal_repeated_rows(tight):
+    rng = np.random.default_rng(3)
+    rows = [("m", i, int(rng.integers(2)), float(rng.integers(40)) / 8, float(rng.integers(9)), f"c{rng.integers(12)}") for i in range(900)]
+    df = tight.createDataFrame(rows, "model string, id long, label int, score double, other double, cluster string")
+    for name, got in zip(["score", "other"], M._round_aucs(df, 50, "3", ["score", "other"])):
+        want = dict(map(tuple, M._boot_auc(M.resampled(df, 50, "3", [name]), name).collect()))
+        assert dict(map(tuple, got.collect())) == pytest.approx(want) and len(want) == 50
+    assert M.cluster_bootstrap_ci(df.limit(0), "auc", 5).first()["rounds_used"] == 0
+    one = M.cluster_bootstrap_ci(df.filter("label = 1"), "auc", 5).first()  # a class is missing in every round
+    assert one["rounds_used"] == 0 and one["ci_low"] is None
