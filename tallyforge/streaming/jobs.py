@@ -7,9 +7,9 @@ output.  State is bounded by a small key set or by a watermark.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -88,30 +88,43 @@ def vocab_version(spark: SparkSession, folder: str, version: int | None = None)
 
 
 CHAIN_OUT = "sample string, unit string, src string, dst string, technique_id string, confidence string"
-CLOSED = "sample string, unit string, node_id string, api string, ts timestamp"
+CLOSED = "sample string, unit string, node_id string, api string, at long"
+BLOCK = "unit string, rows binary"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Buffer(StatefulProcessor):
-    """Keeps the rows of the units of one slot and end until the watermark passes that end, then gives them out and forgets them."""
+    """Keeps the rows of the units of one slot and end until the watermark passes that end, then gives them out and forgets them.
 
-    names = [c.split()[0] for c in CLOSED.split(", ")]
+    Rows are kept as blocks, Arrow bytes named by their first unit: a state entry per row costs far more than the row.
+    """
+
+    most = 4_096  # rows of a block
+    chunk = 10_000  # rows given out together, at least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", CLOSED)
+        self.schema = pa.schema([(c, pa.int64() if kind == "long" else pa.string()) for c, kind in (x.split() for x in CLOSED.split(", "))])
+        self.rows = handle.getListState("rows", BLOCK)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # fires once the watermark is past the end, not at it; naming the same time again changes nothing
-        self.handle.registerTimer(int(key[1].timestamp() * 1000) + 1)
+        self.handle.registerTimer(int(key[1]))  # naming the same time again changes nothing
         for chunk in rows:
-            self.rows.appendList(list(chunk[self.names].itertuples(index=False, name=None)))
+            got = pa.RecordBatch.from_pandas(chunk[self.schema.names], self.schema, preserve_index=False)
+            parts = [got.slice(i, self.most) for i in range(0, got.num_rows, self.most)]
+            self.rows.appendList([(p.column("unit")[0].as_py(), p.serialize().to_pybytes()) for p in parts])
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = iter(self.rows.get())
-        while chunk := list(islice(kept, 10_000)):
-            yield pd.DataFrame(chunk, columns=self.names)
+        held, n = [], 0
+        for _, block in self.rows.get():
+            held.append(pa.ipc.read_record_batch(pa.py_buffer(bytes(block)), self.schema))
+            n += held[-1].num_rows
+            if n >= self.chunk:
+                yield pa.Table.from_batches(held).to_pandas()
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).to_pandas()
         self.rows.clear()
 
     def close(self) -> None:
@@ -124,13 +137,16 @@ def closed_units(stream: DataFrame, watermark: str = "1 day", slots: int = 64) -
     A unit closes when the watermark, which trails the latest ``ts`` seen by ``watermark``, has passed its ``unit_end``.
     Till then its rows are kept as keyed state, and a timer gives them out and drops them, so the state holds open units
     only. Units of one end are dealt to ``slots`` keys, as a key and a timer per unit cost more than its rows; a
-    key's rows come out in chunks. Rows may come in any order; those older than the watermark, or without an end, are left out.
+    key's rows are kept in blocks and come out in chunks. Times go through the state as numbers, whatever the session's time zone.
+    Rows may come in any order; those older than the watermark, or without an end, are left out.
     """
     rows = stream.select(F.coalesce(F.col("sample").cast("string"), F.lit("")).alias("sample"), F.coalesce(F.col("unit").cast("string"), F.lit("")).alias("unit"),
-                         F.col("node_id").cast("string").alias("node_id"), "api", "ts", "unit_end")
-    rows = rows.filter(F.col("unit_end").isNotNull()).withColumn("slot", F.pmod(F.xxhash64("sample", "unit"), F.lit(slots)))
-    return (rows.withWatermark("ts", watermark).groupBy("slot", "unit_end")
-            .transformWithStateInPandas(_Buffer(), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime"))
+                         F.col("node_id").cast("string").alias("node_id"), "api", "ts", F.unix_micros("ts").alias("at"),
+                         (F.unix_millis("unit_end") + 1).alias("closes"))  # a timer fires once the watermark is past the end, not at it
+    rows = rows.filter(F.col("closes").isNotNull()).withColumn("slot", F.pmod(F.xxhash64("sample", "unit"), F.lit(slots)))
+    out = (rows.withWatermark("ts", watermark).groupBy("slot", "closes")
+           .transformWithStateInPandas(_Buffer(), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime"))
+    return out.select("sample", "unit", "node_id", "api", F.timestamp_micros("at").alias("ts"))
 
 
 def stream_ordered_chain(stream: DataFrame, rules: Sequence, folder: str, window: int = 8, watermark: str = "1 day") -> None:
@@ -138,13 +154,17 @@ def stream_ordered_chain(stream: DataFrame, rules: Sequence, folder: str, window
 
     ``stream`` is ``(sample, unit, node_id, api, ts, unit_end)``. Units come whole, so they are put in (ts, node_id)
     order and matched by the batch operator, ``seed_edges``, and the result does not depend on how rows fall into batches as long as none is
-    later than the watermark. Output goes to ``folder/data``, one partition per batch.
+    later than the watermark. Output goes to ``folder/data``, one partition per batch; a batch that closes no unit matches nothing.
     """
     spark = stream.sparkSession
 
     def step(df: DataFrame, batch: int) -> None:
-        calls = ranked(materialize(df), ["sample", "unit"], [F.col("ts"), F.col("node_id")], "position", 0)
-        found = seed_edges(calls, rule_table(spark, list(rules)), window)
+        rows = materialize(df)
+        if rows.isEmpty():
+            found = spark.createDataFrame([], CHAIN_OUT)
+        else:
+            calls = ranked(rows, ["sample", "unit"], [F.col("ts"), F.col("node_id")], "position", 0)
+            found = seed_edges(calls, rule_table(spark, list(rules)), window)
         (found.select("sample", "unit", "src", "dst", "technique_id", "confidence").write.mode("overwrite")
          .parquet(f"{folder}/data/batch={batch}"))
 

@@ -69,6 +69,35 @@ def test_restarted_stream_goes_on(spark, tmp_path):
     assert [(r["unit"], r["src"], r["dst"]) for r in J.appended(spark, str(tmp_path / "out"), J.CHAIN_OUT).collect()] == [("u", "n1", "n2")]
 
 
+def test_state_keeps_rows_in_blocks(spark, tmp_path):
+    rows = [("u", f"n{i:05d}", "ab"[i % 2] if i else None, i, 86_400) for i in range(9_000)] + [("end", "z", "a", 400_000, 500_000)]
+    times = {"ts": F.timestamp_seconds("s"), "unit_end": F.timestamp_seconds("e")}
+    full = spark.createDataFrame(rows, "unit string, node_id string, api string, s long, e long").withColumns(times).withColumn("sample", F.lit(1).cast("long"))
+    for part in (full.filter("unit = 'u'"), full.filter("unit = 'end'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        J.stream_ordered_chain(feed(spark, str(tmp_path / "in"), full.schema), [Rule("S", "s", SET, apis=("a", "b"))], str(tmp_path / "out"), 8, "1 hour")
+        # a batch of a unit takes an entry per 4,096 rows, not one per row
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/out/checkpoint").option("stateVarName", "rows").load()
+        assert [r["unit"] for r in state.select("list_element.unit").collect()] == (["u"] * 3 if part.first()["unit"] == "u" else ["end"])
+    got = sorted((r["src"], r["dst"]) for r in J.appended(spark, str(tmp_path / "out"), J.CHAIN_OUT).collect())
+    assert got == [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(1, 8_999)]
+
+
+def test_units_stay_open_till_their_end_in_any_time_zone(spark, tmp_path):
+    schema = "sample long, unit string, node_id string, api string, ts timestamp, unit_end timestamp"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for unit, node, api, s in (("u", "n1", "a", 80_000), ("v", "n3", "x", 90_000), ("v", "n5", "x", 91_000), ("u", "n2", "b", 95_000), ("w", "n4", "a", 300_000)):
+            df = spark.createDataFrame([(1, unit, node, api, s)], "sample long, unit string, node_id string, api string, s long")
+            df.select("sample", "unit", "node_id", "api", F.timestamp_seconds("s").alias("ts"), F.timestamp_seconds(F.lit(100_000 if s < 100_000 else 400_000)).alias("unit_end")) \
+                .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        J.stream_ordered_chain(feed(spark, str(tmp_path / "in"), schema), [Rule("R", "r", CHAIN, apis=("a", "b"))], str(tmp_path / "out"), 8, "1 hour")
+        assert [(r["unit"], r["src"], r["dst"]) for r in J.appended(spark, str(tmp_path / "out"), J.CHAIN_OUT).collect()] == [("u", "n1", "n2")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_funnel_and_dedup_over_batches(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([("kept", f"k{j}") for j in range(i, i + 3)], "step string, key string").coalesce(1) \
