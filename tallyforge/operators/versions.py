@@ -10,14 +10,15 @@ goes down only where digests differ, and so reads row groups of leaves in propor
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from ..scale import materialize, may_broadcast
-from .dedup import hashed_rows, tree_levels
+from ..scale import is_small, largest_group, materialize, may_broadcast, setting
+from .dedup import _row_text, tree_levels
 
 #: Digits of the hash: folders, and the stored node levels.
 FOLDER, UPPER, LOWER = 1, 4, 6
@@ -58,17 +59,27 @@ def freeze(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> Ve
     """Write the hash tree of ``df`` below ``path``, which must not exist.
 
     A row is its ``columns`` (all by default) as text. Rows may repeat; nulls are values. An empty table has a root
-    without nodes. Rows are shuffled once, hashes and counts a second time for the nodes.
+    without nodes. Rows are shuffled once, without their hashes, which are made again behind the shuffle; leaves are bucketed
+    by the first two bytes of the hash, so the nodes are made of them without another one.
     """
     columns = list(columns or df.columns)
     spark = df.sparkSession
     rows = df.select(*columns)
     spark.range(1).select(F.lit(rows.schema.json()).alias("value")).write.text(f"{path}/schema")
-    leaves = (hashed_rows(rows).select(F.unhex("h").alias("h"), "row").groupBy("h")
-              .agg(F.count(F.lit(1)).alias("n"), F.any_value("row").alias("row")))
-    _write(leaves, _digits(F.col("h"), FOLDER), f"{path}/leaves")
-    stored = Version(path).table(spark, "leaves").select("h", "n")
-    (eight,) = tree_levels(stored, (8,), top=True)
+    digest, row = F.unhex(F.sha2(_row_text(columns), 256)), F.struct(*columns).alias("row")
+    top, parts = F.substring(digest, 1, 2), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if is_small(rows):
+        parts = min(parts, spark.sparkContext.defaultParallelism)
+    counted = rows.withColumn("_n", F.lit(1).cast("long"))
+    if not is_small(rows) and largest_group(rows.select(top.alias("_top")), ["_top"]) > setting(rows, "tallyforge.hotRows"):
+        # many copies of a row would go to one task
+        copies = rows.select(digest.alias("_h"), row).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.any_value("row").alias("row"))
+        counted = copies.select("row.*", "_n")
+    leaves = (counted.repartition(parts, top).select(top.alias("_top"), digest.alias("h"), row, "_n").groupBy("_top", "h")
+              .agg(F.sum("_n").alias("n"), F.any_value("row").alias("row")).withColumn("folder", _digits(F.col("h"), FOLDER)))
+    name = f"tallyforge_{uuid.uuid4().hex}"
+    leaves.write.partitionBy("folder").bucketBy(parts, "_top").sortBy("h").option("path", f"{path}/leaves").format("parquet").saveAsTable(name)
+    (eight,) = tree_levels(spark.table(name).select("_top", "h", "n"), (8,), top=True, dealt=True)
     under = eight.groupBy("_top", F.substring("h", 1, LOWER).alias("h")).agg(
         F.sort_array(F.collect_list("digest")).alias("digests"), F.sum("n").alias("n"))
     # a node of four digits has at most 256 parts of six
@@ -78,6 +89,7 @@ def freeze(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> Ve
         F.sum("n").alias("n"), parts.alias("parts")).select(F.lower(F.hex("_top")).alias("h"), "digest", "n", "parts"))
     _write(nodes.select(F.inline("parts")), F.substring("h", 1, FOLDER), f"{path}/lower")
     nodes.select("h", "digest", "n").write.parquet(f"{path}/upper")
+    spark.sql(f"DROP TABLE {name}")  # the files are read by path from here on
     return Version(path)
 
 

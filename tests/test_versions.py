@@ -75,3 +75,22 @@ def test_nodes_stay_fewer_than_leaves(spark, tmp_path):
     assert {len(r["h"]) for r in lower.select("h").distinct().collect()} == {6}
     assert lower.agg(F.sum("n")).first()[0] == 40_000 and lower.count() < 40_000
     assert {r["k"] for r in a.table(spark, "leaves").select(F.octet_length("h").alias("k")).distinct().collect()} == {32}
+
+
+def test_nodes_need_no_second_shuffle(spark, tmp_path, monkeypatch):
+    plans, store = [], V.materialize
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+    monkeypatch.setattr(V, "materialize", kept)
+    a, df = frozen(spark, tmp_path, "a", [(i, "r") for i in range(2_000)])
+    assert len(plans) == 1 and "Aggregate" in plans[0] and "Exchange" not in plans[0]
+    assert V.root(spark, a).collect() == D.dataset_fingerprint(df).collect() and not spark.catalog.listTables()
+
+
+def test_many_copies_are_counted_before_they_meet(tight, tmp_path):
+    old, new = [(1, "x")] * 400 + [(2, None)], [(1, "x")] * 401 + [(3, None)]
+    (a, da), (b, _) = frozen(tight, tmp_path, "a", old), frozen(tight, tmp_path, "b", new)
+    assert V.root(tight, a).collect() == D.dataset_fingerprint(da).collect()
+    assert changes(tight, a, b) == plain(old, new)
