@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import flatten as FL
 from ..scale import shared_dir
 from ..sources import files as IO
-from ..sources.samples import write_sample_json
+from ..sources.samples import read_sample_json, write_sample_json
 from . import adapters as A
 from .registry import big, query, rounded, table
 
@@ -37,9 +37,9 @@ def read_graph_json(spark, sf):
 def write_graph_json(spark, sf):
     path = new_dir(spark, "samples")
     write_sample_json(A.graph_records(spark, sf), path, suffix=IO.SAMPLE_SUFFIX + ".gz")
-    rec = IO.read_graph_json(spark, path)
+    rec = read_sample_json(spark, path)
     n_nodes = F.aggregate(F.map_values(FL.UNITS), F.lit(0), lambda a, u: a + F.size(u["nodes"]))
-    per_file = rec.select("sample_id", IO.path_sample_id(F.col("_metadata.file_name")).alias("file_sample"), "label", "file_size", n_nodes.alias("n_nodes"))
+    per_file = rec.select("sample_id", IO.path_sample_id(F.col("file")).alias("file_sample"), "label", "file_size", n_nodes.alias("n_nodes"))
     return big(per_file.groupBy("sample_id", "file_sample", "label", "file_size", "n_nodes").agg(F.count(F.lit(1)).alias("n_records")), "label", "n_nodes")
 
 

@@ -14,16 +14,24 @@ from ..operators.dedup import dataset_fingerprint
 SAMPLE_SUFFIX = "_static.json"
 
 
+#: A line of a record file: the record, or the line itself if it is none.
+RECORD = S.GRAPH_RECORD + ", sha256 string, _bad string"
+
+
 def read_graph_json(spark: SparkSession, path: str, glob: str = "*" + SAMPLE_SUFFIX) -> DataFrame:
     """Graph records, one JSON per line; other files are ignored and malformed records skipped.
 
     ``glob`` names plain files, and takes the same with ``.gz`` behind it.
     The id comes from the file name where a record carries none (``sha256`` in the record wins).
     """
-    rows = (spark.read.schema(S.GRAPH_RECORD + ", sha256 string, _bad string")
-            .option("pathGlobFilter", f"{{{glob},{glob}.gz}}").option("recursiveFileLookup", True)
+    rows = (spark.read.schema(RECORD).option("pathGlobFilter", f"{{{glob},{glob}.gz}}").option("recursiveFileLookup", True)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path))
-    named = F.coalesce("sample_id", "sha256", path_sample_id(F.col("_metadata.file_name")))
+    return named_records(rows, F.col("_metadata.file_name"))
+
+
+def named_records(rows: DataFrame, file: Column) -> DataFrame:
+    """The records among parsed lines, with their ids."""
+    named = F.coalesce("sample_id", "sha256", path_sample_id(file))
     return rows.filter(F.col("_bad").isNull()).withColumn("sample_id", named).drop("_bad", "sha256")
 
 

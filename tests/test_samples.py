@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.sources import files as IO
-from tallyforge.sources.samples import write_sample_json
+from tallyforge.sources.samples import read_sample_json, write_sample_json
 
 
 def found(path):
@@ -58,3 +58,27 @@ def test_compressed_samples(spark, tmp_path):
     assert sorted(map(tuple, back.select("sample_id", "label", "file_size").collect())) == sorted(map(tuple, df.collect()))
     named = back.select(IO.path_sample_id(F.col("_metadata.file_name")), "label", "sample_id")
     assert {(r[0], r[2]) for r in named.collect()} == {("a", "a"), ("b.json", "b.json")}
+
+
+def test_folders_of_samples_are_read_by_tasks(spark, tmp_path):
+    units = "map<string, struct<addr: long, name: string>>"
+    rows = [(f"s/{i}" if i % 7 else f"é {i}", i, {f"func_{i}": (i, "n")} if i % 3 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, f"sample_id string, file_size long, intra_procedural_graphs {units}")
+    path = str(tmp_path / "s")
+    write_sample_json(df.filter("file_size < 30").repartition(3), path, suffix=IO.SAMPLE_SUFFIX + ".gz")
+    write_sample_json(df.filter("file_size >= 30"), path)
+    packed = list(tmp_path.rglob("*.json.gz"))
+    assert len(packed) == 30 and all(p.read_bytes()[8] != 2 for p in packed)  # 2: the slowest level
+    (tmp_path / "s" / "noid_static.json").write_text('\n{"file_size": 7}\n{"file_size": \n')
+    (tmp_path / "s" / "other.json").write_text('{"sample_id": "no"}')
+    (tmp_path / "s" / "_staging-1").mkdir()
+    (tmp_path / "s" / "_staging-1" / "x_static.json").write_text('{"sample_id": "no"}')
+    got = read_sample_json(spark, path)
+    plan = got.groupBy("sample_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    want = IO.read_graph_json(spark, path)
+    key = lambda r: r["sample_id"]
+    assert sorted(got.drop("file").collect(), key=key) == sorted(want.collect(), key=key) and got.count() == 41
+    assert got.filter("sample_id = 's/1'").first()["file"] == "s%2F1_static.json.gz"
+    write_sample_json(df.limit(0), str(tmp_path / "none"))
+    assert read_sample_json(spark, str(tmp_path / "none")).isEmpty()
